@@ -6,7 +6,7 @@ import importlib
 
 from obsweave.plans import registry
 
-_MODULES = ["observing"]
+_MODULES = ["observing", "relating", "profiling"]
 
 
 def _load() -> None:

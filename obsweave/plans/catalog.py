@@ -6,7 +6,7 @@ import importlib
 
 from obsweave.plans import registry
 
-_MODULES = ["observing", "relating", "profiling"]
+_MODULES = ["observing", "relating", "profiling", "retrieving", "deciding"]
 
 
 def _load() -> None:

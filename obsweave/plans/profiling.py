@@ -258,10 +258,10 @@ def structure_only(spark, folder):
   n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS no, line FROM (SELECT conv_id, turn, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d)),
   hits AS (SELECT n.conv_id, no, "column" FROM n JOIN names USING (conv_id) WHERE length(line) <= 160 AND NOT contains(lower(line), 'http') AND regexp_matches(lower(line), '(^|[^\\p{L}\\p{N}_])' || lower("column") || '($|[^\\p{L}\\p{N}_])')),
   near AS (SELECT h.conv_id, h."column", h.no AS m, n.no, trim(n.line, ' ' || chr(9) || chr(13)) AS t FROM hits h JOIN n ON n.conv_id = h.conv_id AND n.no BETWEEN h.no AND h.no + 2),
-  f AS (SELECT conv_id, "column", t, min((m, no)) AS at FROM near WHERE t <> '' AND length(t) <= 160 AND NOT contains(lower(t), 'http') GROUP BY ALL),
-  g AS (SELECT *, at[1] AS m, coalesce(sum(length(t)) OVER (PARTITION BY conv_id, "column" ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
+  f AS (SELECT conv_id, "column", t, min((m, no)) AS seen FROM near WHERE t <> '' AND length(t) <= 160 AND NOT contains(lower(t), 'http') GROUP BY ALL),
+  g AS (SELECT *, seen[1] AS m, coalesce(sum(length(t)) OVER (PARTITION BY conv_id, "column" ORDER BY seen ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
   k AS (SELECT *, min(before) OVER (PARTITION BY conv_id, "column", m) AS start FROM g)
-  SELECT conv_id::VARCHAR AS dataset_id, "column", string_agg(t, ' ' ORDER BY at) AS context FROM k WHERE start <= 200 GROUP BY ALL""")
+  SELECT conv_id::VARCHAR AS dataset_id, "column", string_agg(t, ' ' ORDER BY seen) AS context FROM k WHERE start <= 200 GROUP BY ALL""")
 def metadata_context(spark, folder):
     turns = table(spark, folder, "conversations").select(F.col("conv_id").cast("string").alias("dataset_id"), F.col("turn").cast("int").alias("ord"), "text")
     lines = turns.select("dataset_id", F.explode(F.split("text", "\n")).alias("line"))

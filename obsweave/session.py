@@ -50,19 +50,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join that broadcasts `small` when it has at most `limit` rows.
 
-    The bound is taken from the plan where the plan proves one (literal rows, limits), else counted.
     Beyond it the join shuffles, and adaptive execution splits the hot keys of `big`.
     """
-    if is_small(small, limit):
-        small = F.broadcast(small)
-    return big.join(small, on, how)
+    bounded = bounded_side(small, limit)
+    return big.join(small, on, how) if bounded is None else big.join(F.broadcast(bounded), on, how)
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+def bounded_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
+    """The same rows when there are at most `limit`, else None.
+
+    The bound is taken from the plan where the plan proves one (literal rows, limits). Otherwise at most
+    limit + 1 rows are computed, once, and kept as literal rows.
+    """
     proven = df._jdf.queryExecution().optimizedPlan().maxRows()
     if proven.isDefined() and proven.get() <= limit:
-        return True
-    return df.limit(limit + 1).count() <= limit
+        return df
+    rows = df.limit(limit + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= limit else None
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when the input comes in fewer parts than there are; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> None:

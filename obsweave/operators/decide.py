@@ -168,7 +168,9 @@ def mapping(df: DataFrame, dataset_id: str) -> DataFrame:
 def resolve(columns: DataFrame, decisions: DataFrame, menus: DataFrame, index: DataFrame, features: DataFrame, samplers: DataFrame, sampled_files: DataFrame) -> DataFrame:
     """All guards in order: one row per column with its final decision, written once for the steps that follow."""
     df = demote(decided(columns, decisions))
-    df = unify_labels(guard_membership(expand_curies(df, menus), menus))
+    # the next steps each look up something found in these rows
+    df = staged(guard_membership(expand_curies(df, menus), menus), "guarded")
+    df = unify_labels(df)
     df = resolve_units(df, index)
     df = bind_features(df, features)
     return staged(attach_sampling(df, sampled_files, samplers, features), "resolved")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from obsweave.functions import naming
 from obsweave.functions.fixed import QUDT, RDF_TYPE, SOSA, XSD
+from obsweave.operators.scalars import side_by_side
 
 LINKS = [SOSA + p for p in (
     "madeBySensor", "observedProperty", "hasFeatureOfInterest", "hasResult", "isSampleOf", "isResultOf", "madeBySampler"
@@ -46,8 +47,7 @@ def reconcile(expected: DataFrame, counted: DataFrame) -> DataFrame:
         F.sum("n").alias("triples"), n("Observation").alias("observations"), n("numericValue", "hasSimpleResult").alias("result_values")
     )
     want = expected.agg(F.sum("n_observations").alias("observations_expected"), F.sum("n_values").alias("values_expected"))
-    both = have.withColumn("_k", F.lit(1)).join(want.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row each
-    return both.withColumns({
+    return side_by_side(have, want).withColumns({
         "observations_match": F.col("observations") == F.col("observations_expected"),
         "values_match": F.col("result_values") == F.col("values_expected"),
     })
@@ -125,7 +125,7 @@ def sample_shape(triples: DataFrame) -> DataFrame:
         F.count_if(F.col("sampling") & F.col("by")).alias("samplings_with_sampler"),
     )
     about = about_samples(triples).agg(F.count(F.lit(1)).alias("observations_about_a_sample"))
-    return shapes.withColumn("_k", F.lit(1)).join(about.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row each
+    return side_by_side(shapes, about)
 
 
 def samples(triples: DataFrame) -> DataFrame:

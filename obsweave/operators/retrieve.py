@@ -287,9 +287,9 @@ def gold_ranks(ranker: Ranker, gold: DataFrame, depth: int) -> DataFrame:
 
 def recall_at(ranks: DataFrame, gold: DataFrame, by: list[str], depths: list[int] = fixed.RECALL_DEPTHS) -> DataFrame:
     """Share of gold rows ranked within k, for each k; a gold row without a rank is a miss."""
-    n = gold.agg(F.count(F.lit(1)).alias("n"))
+    n = gold.count()
     hits = ranks.select(*by, "rank", F.explode(F.array(*[F.lit(k) for k in depths])).alias("k")).groupBy(*by, "k").agg(F.count_if(F.col("rank") <= F.col("k")).alias("hits"))
-    return join_small(hits.withColumn("_k", F.lit(1)), n.withColumn("_k", F.lit(1)), "_k", "inner").select(*by, "k", "hits", "n", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0).alias("recall"))
+    return hits.withColumn("n", F.lit(n).cast("long")).withColumn("recall", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0))
 
 
 def top1_baseline(menus: DataFrame, gold: DataFrame) -> DataFrame:

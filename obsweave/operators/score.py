@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from obsweave.functions import naming
 from obsweave.operators.profile import observable
+from obsweave.operators.scalars import side_by_side
 from obsweave.session import join_small
 
 ANY_MINT = "mint:*"
@@ -102,9 +103,7 @@ def layers(compared: DataFrame, marked: DataFrame, by: list[str] = []) -> DataFr
 
 def _beside(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
     """Rows of two per-group results side by side; without groups both have one row."""
-    if by:
-        return a.join(b, by, "left")
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
+    return a.join(b, by, "left") if by else side_by_side(a, b)
 
 
 def partition_agreement(pairs: DataFrame, by: list[str] = []) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from obsweave.functions import fixed, values
 from obsweave.operators import evidence, profile
+from obsweave.plans import build
 from obsweave.plans.given import _iso
 from obsweave.plans.registry import query
 from obsweave.session import staged
@@ -267,3 +268,9 @@ def metadata_context(spark, folder):
     lines = turns.select("dataset_id", F.explode(F.split("text", "\n")).alias("line"))
     names = lines.select("dataset_id", F.regexp_extract("line", r"^\p{L}+", 0).alias("column")).where(F.length("column") >= 3).distinct()
     return evidence.metadata_context(turns, names)
+
+
+@query("""SELECT p_partkey, p_name AS "column" FROM part WHERE contains(lower(p_name), 'ring')""")
+def columns_named_like(spark, folder):
+    names = table(spark, folder, "part").select("p_partkey", F.initcap("p_name").alias("column"))
+    return build.columns_named_like(names, "RING").withColumn("column", F.lower("column"))

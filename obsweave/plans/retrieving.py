@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from obsweave.functions import fixed, text
+from obsweave.functions.values import cosine
 from obsweave.operators import retrieve, vocab
 from obsweave.plans.registry import query
 from obsweave.session import join_small, spread
@@ -241,3 +242,11 @@ def phrase_cleaning(spark, folder):
     size = F.col("p_size")
     phrases = table(spark, folder, "part").select(F.col("p_partkey").alias("column_key"), F.when(size % 4 == 0, "   ").when(size % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("phrase"))
     return clean_phrases(phrases, table(spark, folder, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("column_key")))
+
+
+@query("""WITH c AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY label)
+  SELECT vec_id, label, round(1 - list_cosine_similarity(embedding::DOUBLE[], e), 6) + 0 AS distance FROM embeddings JOIN c USING (label)""")
+def cosine_distance(spark, folder):
+    vectors = table(spark, folder, "embeddings")
+    centre = vectors.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("centre"))
+    return join_small(vectors, centre, "label", "inner").select("vec_id", "label", (F.round(1 - cosine(F.col("embedding"), F.col("centre")), 6) + 0.0).alias("distance"))

@@ -331,10 +331,14 @@ def nearest_class(phrases: DataFrame, classes: DataFrame, threshold: float = fix
     found = []
     for part in range(max(1, parts)):
         rows = numbered.where(F.col("_part") == part).orderBy("uri").collect()  # about one block
+        if not rows:
+            continue
         vectors = np.array([r["embedding"] for r in rows], dtype=float)
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         task = _class_task(np.array([r["uri"] for r in rows]), vectors)
         found.append(named.mapInPandas(task, f"phrase_id {kind}, class_uri {uri}, score double"))
+    if not found:
+        return phrases.select("phrase_id", F.lit(None).cast(uri).alias("class_uri"), F.lit(None).cast("double").alias("score"))
     best = reduce(DataFrame.unionByName, found)
     if len(found) > 1:
         best = best.groupBy("phrase_id").agg(F.min_by(F.struct("class_uri", "score"), F.struct(-F.col("score"), F.col("class_uri"))).alias("b")).select("phrase_id", "b.*")

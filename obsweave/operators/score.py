@@ -23,7 +23,7 @@ def gold_rows(raw: DataFrame) -> DataFrame:
     """Gold rows with short tokens; `soft` marks rows noted as approximate or expert choices."""
     note = F.lower(F.coalesce("note", F.lit("")))
     none = F.array().cast("array<string>")
-    kept = [c for c in raw.columns if c not in ("observedProperty", "decision", "unit", "feature_gwsw", "sensor", "accept", "note")]
+    kept = [c for c in raw.columns if c not in ("observedProperty", "decision", "unit", "feature", "feature_gwsw", "sensor", "accept", "note")]
     return raw.select(
         *kept, naming.token(F.col("observedProperty")).alias("property"), F.col("decision").alias("source"), naming.unit_token(F.col("unit")).alias("unit"),
         F.coalesce(naming.token(F.col("feature_gwsw")), F.lit("untyped")).alias("feature"), "sensor",

@@ -77,14 +77,13 @@ def observations(spark: SparkSession, folder: str, *names: str) -> DataFrame:
 
 
 def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per sample of the sampled file."""
-    kept = reshape.with_prefixes(mapping(spark).where("sampled").drop("sampler_uri"))
-    kept = kept.select("file_id", "sample_prefix", "sampling_prefix", "sample_feature_uri").distinct()
-    rows = table(spark, folder, "orders").select(
-        F.lit("orders").alias("file_id"), F.col("o_orderkey").cast("string").alias("row"), values.iso(F.col("o_orderdate")).alias("result_time"),
-        naming.scoped_uri("sampler", F.lit("orders"), F.col("o_custkey").cast("string")).alias("sampler_uri"),
+    """One row per sample of the sampled file; with one file its URI prefixes are constants."""
+    name = F.lit("orders")
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("row"), values.iso(F.col("o_orderdate")).alias("result_time"),
+        naming.row_prefix("sample", name, name).alias("sample_prefix"), naming.row_prefix("sampling", name, name).alias("sampling_prefix"),
+        naming.scoped_uri("sampler", name, F.col("o_custkey").cast("string")).alias("sampler_uri"), F.lit(_F + "orders/desk").alias("sample_feature_uri"),
     )
-    return rows.join(F.broadcast(kept), "file_id")  # one row per sampled file of a fixed list
 
 
 def entities(spark: SparkSession, folder: str) -> DataFrame:

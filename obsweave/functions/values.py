@@ -37,9 +37,8 @@ def parse_time(value: Column, fmt: Column) -> Column:
 
 def iso(instant: Column) -> Column:
     """ISO 8601 text of a timestamp, with six digits of a second only where they are not zero."""
-    base = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(instant, "SSSSSS")
-    return F.when(micros == "000000", base).otherwise(F.concat(base, F.lit("."), micros))
+    text = F.translate(instant.cast("string"), " ", "T")
+    return F.rpad(text, F.when(F.length(text) > 19, 26).otherwise(19), F.lit("0"))
 
 
 def offset(value: Column) -> Column:

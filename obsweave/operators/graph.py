@@ -33,10 +33,6 @@ def _time(s: Column) -> Column:
     return _triple(s, SOSA + "resultTime", F.col("result_time"), F.lit(XSD + "dateTime"), literal=True)
 
 
-def _dtype() -> Column:
-    return F.concat(F.lit(XSD), F.regexp_replace("value_dtype", "^xsd:", ""))
-
-
 def observation_triples(obs: DataFrame) -> DataFrame:
     """Observations and their results.
 
@@ -44,19 +40,23 @@ def observation_triples(obs: DataFrame) -> DataFrame:
     value hangs on a result node, which exists even when the value is missing; without one it is a
     simple result. `sensor_uri` may come from the mapping or from the row.
     """
-    s = F.concat(F.col("obs_prefix"), F.col("row"))
-    result = F.when(F.col("unit_uri").isNotNull(), F.concat(F.col("result_prefix"), F.col("row")))
-    sample = F.concat(F.col("sample_prefix"), F.col("row"))
-    return _spread(obs, [
+    # subjects are built once per observation, below the generator
+    row = F.col("row")
+    named = obs.select(
+        "*", F.concat(F.lit(XSD), F.substring("value_dtype", 5, 50)).alias("_dtype"), F.concat("obs_prefix", row).alias("_s"), F.when(F.col("unit_uri").isNotNull(), F.concat("result_prefix", row)).alias("_result"),
+        F.when(F.col("sampled"), F.concat("sample_prefix", row)).otherwise(F.col("foi_uri")).alias("_foi"),
+    )
+    s, result = F.col("_s"), F.col("_result")
+    return _spread(named, [
         _triple(s, RDF_TYPE, F.lit(SOSA + "Observation")),
         _time(s),
         _triple(s, SOSA + "madeBySensor", F.col("sensor_uri")),
         _triple(s, SOSA + "observedProperty", F.col("property_uri")),
-        _triple(s, SOSA + "hasFeatureOfInterest", F.when(F.col("sampled"), sample).otherwise(F.col("foi_uri"))),
+        _triple(s, SOSA + "hasFeatureOfInterest", F.col("_foi")),
         _triple(s, SOSA + "hasResult", result),
-        _triple(s, SOSA + "hasSimpleResult", F.when(F.col("unit_uri").isNull(), F.col("value")), _dtype(), literal=True),
+        _triple(s, SOSA + "hasSimpleResult", F.when(F.col("unit_uri").isNull(), F.col("value")), F.col("_dtype"), literal=True),
         _triple(result, RDF_TYPE, F.lit(QUDT + "QuantityValue")),
-        _triple(result, QUDT + "numericValue", F.col("value"), _dtype(), literal=True),
+        _triple(result, QUDT + "numericValue", F.col("value"), F.col("_dtype"), literal=True),
         _triple(result, QUDT + "unit", F.col("unit_uri")),
     ])
 
@@ -66,9 +66,9 @@ def sample_triples(rows: DataFrame) -> DataFrame:
 
     Rows carry sample_prefix, sampling_prefix, row, result_time, sampler_uri and sample_feature_uri.
     """
-    sample = F.concat(F.col("sample_prefix"), F.col("row"))
-    sampling = F.concat(F.col("sampling_prefix"), F.col("row"))
-    return _spread(rows, [
+    named = rows.select("*", F.concat("sample_prefix", "row").alias("_sample"), F.concat("sampling_prefix", "row").alias("_sampling"))
+    sample, sampling = F.col("_sample"), F.col("_sampling")
+    return _spread(named, [
         _triple(sample, RDF_TYPE, F.lit(SOSA + "Sample")),
         _triple(sample, SOSA + "isSampleOf", F.col("sample_feature_uri")),
         _triple(sample, SOSA + "isResultOf", sampling),

@@ -29,8 +29,10 @@ def _is_a(name: str) -> Column:
 
 def census(triples: DataFrame) -> DataFrame:
     """Counts of triples by predicate, observations apart from other types."""
-    kind = F.when(_is_a(SOSA + "Observation"), "Observation").when(F.col("p") == RDF_TYPE, "other type").otherwise(naming.last_segment(F.col("p")))
-    return triples.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    # whole predicates are counted first; only the few counts are named
+    counts = triples.groupBy("p", F.coalesce(_is_a(SOSA + "Observation"), F.lit(False)).alias("_obs")).agg(F.count(F.lit(1)).alias("_n"))
+    kind = F.when(F.col("_obs"), "Observation").when(F.col("p") == RDF_TYPE, "other type").otherwise(naming.last_segment(F.col("p")))
+    return counts.groupBy(kind.alias("kind")).agg(F.sum("_n").alias("n"))
 
 
 def expected_counts(obs: DataFrame) -> DataFrame:

@@ -27,11 +27,10 @@ def unpivot(df: DataFrame, file_id: str, row: Column, time: Column, columns: lis
     cells = F.array(*[
         F.struct(F.lit(c).alias("value_col"), F.col(c).cast("double").alias("value_num")) for c in columns
     ])
-    wide = df.select(
-        F.lit(file_id).alias("file_id"), row.cast("string").alias("row"), time.alias("result_time"), *extra,
-        F.explode(cells).alias("_c"),
-    )
-    return wide.select("*", "_c.value_col", "_c.value_num", F.col("_c.value_num").cast("string").alias("value")).drop("_c")
+    # what belongs to the row is computed below the generator, once per row
+    wide = df.select(F.lit(file_id).alias("file_id"), row.cast("string").alias("row"), time.alias("result_time"), *extra, cells.alias("_cells"))
+    long = wide.select("*", F.inline("_cells")).drop("_cells")
+    return long.withColumn("value", F.col("value_num").cast("string"))
 
 
 def with_prefixes(mapping: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from obsweave.functions import naming, values
 from obsweave.operators import graph, reshape
+from obsweave.session import spread
 from obsweave.sources.tables import table
 
 PROPERTY = "http://example.org/property/"
@@ -46,9 +47,8 @@ def units(spark: SparkSession) -> DataFrame:
 
 def file_row(name: str):
     """Position of a parquet row in its file; rows of further part files carry the name of their file."""
-    stem = F.regexp_replace("_metadata.file_name", r"\.[^.]+$", "")
     index = F.col("_metadata.row_index").cast("string")
-    return F.when(stem == name, index).otherwise(F.concat(stem, F.lit("-"), index))
+    return F.when(F.col("_metadata.file_name") == f"{name}.parquet", index).otherwise(F.concat(F.col("_metadata.file_name"), F.lit("-"), index))
 
 
 def _sensor(dataset: str, column: str):
@@ -60,7 +60,10 @@ def long(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = table(spark, folder, name)
     no = F.lit(None).cast("string")
     if name == "lineitem":
-        return reshape.unpivot(df, name, file_row(name), values.iso(F.col("l_shipdate")), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], _sensor(name, "l_suppkey"), no.alias("row_sampler_uri"))
+        # its row numbers come from the scan; a file of one row group is then spread over the cores
+        cols = ["l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+        df = spread(df.select(*cols, file_row(name).alias("_row")), "_row")
+        return reshape.unpivot(df, name, F.col("_row"), values.iso(F.col("l_shipdate")), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], _sensor(name, "l_suppkey"), no.alias("row_sampler_uri"))
     if name == "orders":
         return reshape.unpivot(df, name, F.col("o_orderkey"), values.iso(F.col("o_orderdate")), ["o_totalprice"], no.alias("row_sensor_uri"), naming.scoped_uri("sampler", F.lit(name), F.col("o_custkey").cast("string")).alias("row_sampler_uri"))
     if name == "part":
@@ -228,13 +231,16 @@ triples AS (
 
 
 def digest(triples: DataFrame) -> DataFrame:
-    """Comparable summary of every triple of a large graph, by predicate and kind of object."""
-    code = F.conv(F.substring(F.md5(F.concat_ws("|", "s", "o")), 1, 8), 16, 10).cast("long")
-    return triples.groupBy("p", "o_kind", "o_datatype", "o_lang").agg(
-        F.count(F.lit(1)).alias("n"), F.min("s").alias("min_s"), F.max("s").alias("max_s"), F.min("o").alias("min_o"), F.max("o").alias("max_o"),
-        F.sum(code).alias("code"),
+    """Comparable summary of every triple of a large graph, by predicate and kind of object.
+
+    All aggregates are numbers, which Spark keeps in a hash aggregation; text minima would sort.
+    """
+    coded = triples.select("p", "o_kind", "o_datatype", "o_lang", "s", "o", F.conv(F.substring(F.md5(F.concat("s", F.lit("|"), "o")), 1, 8), 16, 10).cast("long").alias("code"))
+    return coded.groupBy("p", "o_kind", "o_datatype", "o_lang").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("s")).alias("s_chars"), F.sum(F.length("o")).alias("o_chars"),
+        F.sum("code").alias("code"), F.min("code").alias("min_code"), F.max("code").alias("max_code"),
     )
 
 
-DIGEST_SQL = """SELECT p, o_kind, o_datatype, o_lang, count(*) AS n, min(s) AS min_s, max(s) AS max_s, min(o) AS min_o, max(o) AS max_o,
-  sum(('0x' || substr(md5(s || '|' || o), 1, 8))::BIGINT)::BIGINT AS code FROM {source} GROUP BY ALL"""
+DIGEST_SQL = """SELECT p, o_kind, o_datatype, o_lang, count(*) AS n, sum(length(s))::BIGINT AS s_chars, sum(length(o))::BIGINT AS o_chars,
+  sum(code)::BIGINT AS code, min(code) AS min_code, max(code) AS max_code FROM (SELECT *, ('0x' || substr(md5(s || '|' || o), 1, 8))::BIGINT AS code FROM {source}) GROUP BY ALL"""

@@ -103,12 +103,12 @@ def merged_graph(spark, folder):
 @query(f"""{_GRAPH}, lines AS (SELECT '<' || s || '> <' || p || '> ' || CASE WHEN o_kind = 'iri' THEN '<' || o || '>'
     ELSE '"' || replace(replace(replace(replace(o, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r') || '"'
       || CASE WHEN o_lang IS NOT NULL THEN '@' || o_lang WHEN o_datatype IS NOT NULL THEN '^^<' || o_datatype || '>' ELSE '' END END || ' .' AS line, p FROM triples)
-  SELECT p, count(*) AS n, sum(length(line))::BIGINT AS chars, min(line) AS first_line, max(line) AS last_line,
+  SELECT p, count(*) AS n, sum(length(line))::BIGINT AS chars,
     sum(('0x' || substr(md5(line), 1, 8))::BIGINT)::BIGINT AS code FROM lines GROUP BY p""")
 def ntriples_lines(spark, folder):
     lines = given.whole_graph(spark, folder).select("p", sinks.nt_line().alias("line"))
     return lines.groupBy("p").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"), F.min("line").alias("first_line"), F.max("line").alias("last_line"),
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"),
         F.sum(F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("long")).alias("code"),
     )
 

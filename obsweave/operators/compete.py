@@ -1,7 +1,7 @@
 """Questions across datasets: shared properties, values in one unit, sensors of a property.
 
 Each question has two forms with the same answer. The `*_of_observations` form reads the long
-observation table once. The other one takes any graph of triples and joins on shared subjects.
+observation table once; its `dataset` is the slug in the observation URIs. The other one takes any graph of triples and joins on shared subjects.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def _shared(counts: DataFrame) -> DataFrame:
 
 def shared_properties_of_observations(obs: DataFrame) -> DataFrame:
     """Properties observed in more than one dataset."""
-    return _shared(obs.groupBy("property_uri", naming.slug(F.col("dataset_id")).alias("dataset")).agg(F.count(F.lit(1)).alias("n")))
+    return _shared(obs.groupBy("property_uri", "dataset").agg(F.count(F.lit(1)).alias("n")))
 
 
 def converted_range_of_observations(obs: DataFrame, units: DataFrame, prop: str | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def converted_range_of_observations(obs: DataFrame, units: DataFrame, prop: str
     obs = obs if prop is None else obs.where(F.col("property_uri") == prop)
     # factors never reorder values inside one unit, so count, min and max come first
     raw = obs.where(F.col("value_num").isNotNull() & F.col("unit_uri").isNotNull()).groupBy(
-        "property_uri", naming.slug(F.col("dataset_id")).alias("dataset"), "unit_uri"
+        "property_uri", "dataset", "unit_uri"
     ).agg(F.count(F.lit(1)).alias("n"), F.min("value_num").alias("_lo"), F.max("value_num").alias("_hi"))
     return _converted(raw, units)
 
@@ -46,7 +46,7 @@ def _converted(raw: DataFrame, units: DataFrame) -> DataFrame:
 
 def sensors_of_observations(obs: DataFrame, labels: DataFrame, prop: str) -> DataFrame:
     """Sensors that observe a property, with their label when there is one."""
-    counts = obs.where(F.col("property_uri") == prop).groupBy(naming.slug(F.col("dataset_id")).alias("dataset"), "sensor_uri").agg(F.count(F.lit(1)).alias("n"))
+    counts = obs.where(F.col("property_uri") == prop).groupBy("dataset", "sensor_uri").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(labels, "sensor_uri", "left").select("dataset", "sensor_uri", "label", "n").orderBy("dataset", "sensor_uri")
 
 

@@ -77,7 +77,7 @@ def cardinality(triples: DataFrame) -> DataFrame:
 
 
 def typed_subjects(triples: DataFrame) -> DataFrame:
-    return triples.where(F.col("p") == RDF_TYPE).select("s").distinct()
+    return triples.where(F.col("p") == RDF_TYPE).select("s")
 
 
 def dangling(triples: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def to_wide(facts: DataFrame, keys: list[str], variables: list[str], order: list
 
     The variable list is given, so no job looks for it. Rows whose values are all null are left out.
     """
-    rank = F.struct(*order)
+    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     present = facts.where(F.col("value").isNotNull() & F.col("variable").isin(variables))
     return present.groupBy(*keys).agg(*[
         F.min_by("value", F.when(F.col("variable") == v, rank)).alias(v) for v in variables

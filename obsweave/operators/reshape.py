@@ -37,7 +37,7 @@ def with_prefixes(mapping: DataFrame) -> DataFrame:
     """Mapping with the row-free part of every URI, built once per column rather than once per cell."""
     ds, file, col = F.col("dataset_id"), F.col("file_id"), F.col("value_col")
     return mapping.withColumns({
-        "obs_prefix": naming.row_prefix("obs", ds, file, col),
+        "dataset": naming.slug(ds), "obs_prefix": naming.row_prefix("obs", ds, file, col),
         "result_prefix": naming.row_prefix("result", ds, file, col),
         "sample_prefix": naming.row_prefix("sample", ds, file),
         "sampling_prefix": naming.row_prefix("sampling", ds, file),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsweave.functions import fixed
-from obsweave.session import join_small, ship, spread, staged
+from obsweave.session import join_small, ship, staged
 
 BLOCK_QUERIES = 256
 DIGITS = 9
@@ -190,7 +190,7 @@ class Ranker:
         spark = corpus.sparkSession
         ship(spark)
         # read once per pass and block: written once as tokens instead of split again each time
-        self.corpus = staged(spread(corpus.select("source", "uri", "tokens", "embedding"), "uri"), "corpus")
+        self.corpus = staged(corpus.select("source", "uri", "tokens", "embedding"), "corpus")
         self.uri_type = corpus.schema["uri"].dataType.simpleString()
         self.query_type = queries.schema["query_id"].dataType.simpleString()
         tokens = staged(token_statistics(self.corpus), "tokens")

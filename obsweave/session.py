@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,11 +77,17 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, for the few Python tasks; once per application."""
+    """Send this package to the executors, for the few Python tasks; once per application.
+
+    The archive lies in the shared folder where that is a plain path, else in the folder Spark keeps for
+    files it hands out.
+    """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
     package = os.path.dirname(os.path.abspath(__file__))
-    base = os.path.join(tempfile.mkdtemp(prefix="spark-ship-", dir="/tmp"), f"obsweave-{app}")
-    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), "obsweave"))
+    shared = shared_dir(spark).removeprefix("file://")
+    target = SparkFiles.getRootDirectory() if "://" in shared else shared
+    archive = shutil.make_archive(os.path.join(target, f"obsweave-{app}"), "zip", os.path.dirname(package), "obsweave")
+    spark.sparkContext.addPyFile(archive)

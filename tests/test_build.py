@@ -119,7 +119,7 @@ def test_questions(spark, datasets, merged):
     assert [(r["dataset"], r["n"], r["min_value"], r["max_value"]) for r in got] == [("one", 9, 1.0, 11.0), ("two", 2, -0.0205, pytest.approx(1.5005))]
     sensors = compete.sensors(merged, CONCEPT).collect()
     assert [(r["dataset"], r["label"], r["n"]) for r in sensors] == [("one", "Probe", 12), ("two", "Station", 2)]
-    obs = graph.add(*[build.observations(*d).select("dataset_id", "property_uri", "unit_uri", "value_num", "sensor_uri") for d in datasets])
+    obs = graph.add(*[build.observations(*d).select("dataset", "property_uri", "unit_uri", "value_num", "sensor_uri") for d in datasets])
     assert compete.shared_properties_of_observations(obs).collect() == shared
     assert compete.converted_range_of_observations(obs, units, CONCEPT).collect() == got
 

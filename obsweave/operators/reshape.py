@@ -56,8 +56,8 @@ def observations(long: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def slug_collisions(mapping: DataFrame) -> DataFrame:
-    """Columns of one file whose slugs are equal: their observations would share URIs."""
+    """Columns of one file id whose slugs are equal: their observations would share URIs."""
     return (
-        mapping.select("dataset_id", "file_id", naming.slug(F.col("value_col")).alias("slug"), "value_col").distinct()
-        .groupBy("dataset_id", "file_id", "slug").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        mapping.groupBy("dataset_id", "file_id", naming.slug(F.col("value_col")).alias("slug"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("value_col").alias("n_columns")).where("n > 1")
     )

@@ -5,6 +5,7 @@ Decisions made by people or models come in as tables (see `Decisions`).
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,7 +113,11 @@ def decide_columns(found: Profile, given: Decisions) -> Resolved:
         declared("FeatureOfInterest", decide.prune(features, df, "feature_id"), F.col("class_uri")),
         declared("Sampler", decide.used_samplers(decide.with_defaults(given.samplers), df)),
     )
-    return Resolved(df, staged(decide.mapping(df, ds), "mapping"), entities)
+    mapping = staged(decide.mapping(df, ds), "mapping")
+    same = mapping.groupBy("file_id", "value_col").count().where("count > 1").limit(1).collect()
+    if same:
+        raise ValueError(f"two files of {ds} have the id {same[0]['file_id']}")
+    return Resolved(df, mapping, entities)
 
 
 def normalized(found: Profile, max_rows: int | None = None) -> DataFrame:
@@ -125,15 +130,25 @@ def observations(found: Profile, resolved: Resolved, max_rows: int | None = None
 
 
 def dataset_graph(found: Profile, resolved: Resolved, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(data triples, declaration triples) of one dataset."""
+    """(data triples, declaration triples) of one dataset, each a set."""
     long = normalized(found, max_rows)
     obs = reshape.observations(long, resolved.mapping)
     sampled = reshape.with_prefixes(resolved.mapping.where("sampled")).select("file_id", "sample_prefix", "sampling_prefix", "sampler_uri", "sample_feature_uri").distinct()
     samples = join_small(long.where("pos = 0").select("file_id", "row", "result_time"), sampled, "file_id", "inner")
     data = graph.add(graph.observation_triples(obs), graph.sample_triples(samples))
+    if not reshape.slug_collisions(resolved.mapping).isEmpty():
+        data = data.distinct()  # columns that share URIs can repeat a triple
     return data, graph.declarations(resolved.entities)
 
 
-def merged_graph(parts: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """One graph of several datasets: shared declarations once, scoped data as it is."""
+def merged_graph(datasets: list[tuple[Profile, Resolved]], max_rows: int | None = None) -> DataFrame:
+    """One graph of several datasets as a set of triples.
+
+    Data is scoped by dataset and taken as it is; only declarations can repeat. Dataset ids with equal slugs
+    would share data URIs too, then everything is deduplicated.
+    """
+    parts = [dataset_graph(found, resolved, max_rows) for found, resolved in datasets]
+    slugs = {re.sub("[^a-z0-9]+", "-", found.dataset_id.lower()).strip("-") for found, _ in datasets}
+    if len(slugs) < len(datasets):
+        return graph.merge(*[t for part in parts for t in part])
     return graph.merge_scoped([data for data, _ in parts], [declared for _, declared in parts])

@@ -171,8 +171,8 @@ _T = "'http://www.w3.org/1999/02/22-rdf-syntax-ns#type'"
 _S = "http://www.w3.org/ns/sosa/"
 _Q = "http://qudt.org/schema/qudt/"
 _X = "http://www.w3.org/2001/XMLSchema#"
-_IRI, _LIT = "'iri', NULL, NULL", "'literal', NULL, NULL"
-_DBL, _DT = f"'literal', '{_X}double', NULL", f"'literal', '{_X}dateTime', NULL"
+_IRI = "'iri', NULL::VARCHAR, NULL::VARCHAR"
+_DBL, _DT = f"'literal', '{_X}double', NULL::VARCHAR", f"'literal', '{_X}dateTime', NULL::VARCHAR"
 
 OBSERVATION_TRIPLES_SQL = f"""
 observation_triples(s, p, o, o_kind, o_datatype, o_lang) AS (
@@ -220,7 +220,7 @@ entities(kind, uri, label, class_uri) AS (
 declaration_triples(s, p, o, o_kind, o_datatype, o_lang) AS (
   SELECT uri, {_T}, '{_S}' || kind, {_IRI} FROM entities
   UNION ALL SELECT uri, {_T}, class_uri, {_IRI} FROM entities WHERE class_uri IS NOT NULL
-  UNION ALL SELECT uri, 'http://www.w3.org/2000/01/rdf-schema#label', label, 'literal', NULL, CASE WHEN kind = 'ObservableProperty' THEN 'en' END FROM entities WHERE label <> ''
+  UNION ALL SELECT uri, 'http://www.w3.org/2000/01/rdf-schema#label', label, 'literal', NULL::VARCHAR, CASE WHEN kind = 'ObservableProperty' THEN 'en' END FROM entities WHERE label <> ''
 )"""
 
 GRAPH_SQL = f"""WITH {LONG_SQL}, {OBSERVATION_TRIPLES_SQL}, {SAMPLE_TRIPLES_SQL}, {DECLARATIONS_SQL},

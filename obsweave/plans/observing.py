@@ -196,7 +196,7 @@ def observations_not_about_samples(spark, folder):
 def slug_collisions(spark, folder):
     part = table(spark, folder, "part")
     names = F.array(F.concat_ws(" ", "p_name", "p_type"), F.concat_ws("/", "p_type", "p_name"), F.concat_ws("-", "p_name", "p_type"))
-    rows = part.select(F.lit("part").alias("dataset_id"), F.lit("part").alias("file_id"), F.explode(names).alias("value_col"))
+    rows = part.select(F.lit("part").alias("dataset_id"), F.lit("part").alias("file_id"), F.explode(names).alias("value_col")).distinct()
     return reshape.slug_collisions(rows).select("slug", "n")
 
 

@@ -87,7 +87,10 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(app)
     package = os.path.dirname(os.path.abspath(__file__))
-    shared = shared_dir(spark).removeprefix("file://")
+    shared = shared_dir(spark)
+    if shared.startswith("file:"):
+        shared = "/" + shared.removeprefix("file:").lstrip("/")
     target = SparkFiles.getRootDirectory() if "://" in shared else shared
+    os.makedirs(target, exist_ok=True)
     archive = shutil.make_archive(os.path.join(target, f"obsweave-{app}"), "zip", os.path.dirname(package), "obsweave")
     spark.sparkContext.addPyFile(archive)

@@ -48,7 +48,7 @@ def datasets(spark, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def merged(datasets):
-    return build.merged_graph([build.dataset_graph(*d) for d in datasets]).cache()
+    return build.merged_graph(datasets).cache()
 
 
 def test_decisions(datasets):
@@ -177,3 +177,28 @@ def test_retrieval_queries(spark, datasets):
 def test_slug_collisions(rows):
     cols = rows("dataset_id string, file_id string, value_col string", ("d", "f", "a b"), ("d", "f", "a-b"), ("d", "g", "a b"))
     assert [r["slug"] for r in reshape.slug_collisions(cols).collect()] == ["a-b"]
+
+
+def test_equal_slugs_share_one_observation(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("time,a b,a-b\n2020-01-01 10:00:00,1,1\n")
+    found = build.profile_folder(spark, str(tmp_path), "d")
+    none = lambda schema: spark.createDataFrame([], schema)
+    given = build.Decisions(
+        spark.createDataFrame([(f"f.csv::{c}", "s", "MINT", "x", None, None, None) for c in ("a b", "a-b")], build.DECISION), none(build.ENTITY), none(build.FEATURE), none(build.ENTITY),
+        none(build.SAMPLED), none(build.MENU), none("key string, unit_uri string"),
+    )
+    data, _ = build.dataset_graph(found, build.decide_columns(found, given))
+    assert data.count() == 5
+
+
+def test_files_with_one_id_are_refused(spark, tmp_path):
+    for name in ("a b.csv", "a-b.csv"):
+        (tmp_path / name).write_text("time,v\n2020-01-01 10:00:00,1\n")
+    found = build.profile_folder(spark, str(tmp_path), "d")
+    none = lambda schema: spark.createDataFrame([], schema)
+    given = build.Decisions(
+        spark.createDataFrame([(f"{f}::v", "s", "MINT", "x", None, None, None) for f in ("a b.csv", "a-b.csv")], build.DECISION), none(build.ENTITY), none(build.FEATURE), none(build.ENTITY),
+        none(build.SAMPLED), none(build.MENU), none("key string, unit_uri string"),
+    )
+    with pytest.raises(ValueError, match="a-b"):
+        build.decide_columns(found, given)

@@ -36,7 +36,7 @@ def test_unit_token_merges_one_pair(spark):
 
 
 def test_dataset_of(spark):
-    assert value(spark, naming.dataset_of, "http://example.org/obs/graz/f/c/0", "other") == ["graz", "other"]
+    assert value(spark, naming.dataset_of, "http://example.org/obs/lab/f/c/0", "other") == ["lab", "other"]
 
 
 def test_clean_term(spark):

@@ -2,11 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import TABLES, compare
 from obsweave.operators import graph, profile
-from obsweave.plans import deciding, given, observing, relating
+from obsweave.plans import given, relating
 from obsweave.streaming import append
 
 SMALL = "/root/testdata/sf0.001"
@@ -47,7 +48,7 @@ def test_scan_gets_filters_and_columns(spark):
 
 
 def test_head_of_columns_is_cut_before_the_shuffle(spark):
-    rows = profile.as_rows(spark.range(10).selectExpr("id", "cast(id as string) as v"), "f", given.F.col("id"), ["v"])
+    rows = profile.as_rows(spark.range(10).selectExpr("id", "cast(id as string) as v"), "f", F.col("id"), ["v"])
     assert "WindowGroupLimit" in plan(profile.first_values(profile.cells(rows), 5))
 
 
@@ -75,4 +76,3 @@ def test_stream_equals_batch(spark, tmp_path):
     want = graph.observation_triples(given.observations(spark, SMALL, "orders"))
     got = spark.read.parquet(str(sink))
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
-    assert observing and deciding

@@ -3,7 +3,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from obsweave.operators import score
 from obsweave.sources import sinks, tables
@@ -130,4 +129,3 @@ def test_report_and_feature_classes(spark, rows, tmp_path):
 def test_call_log(rows):
     log = rows("config string, seconds double, input_tokens long, output_tokens long", ("a", 1.0, 2, 3), ("a", 3.0, 4, 5))
     assert tuple(score.call_log_summary(log, ["config"]).first()) == ("a", 2, 4.0, 2.0, 3.0, 6, 8)
-    assert F.col

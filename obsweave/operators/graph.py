@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsweave.functions import fixed
 from obsweave.functions.fixed import QUDT, RDF_TYPE, RDFS_LABEL, SOSA, XSD
 
 TRIPLE = ["s", "p", "o", "o_kind", "o_datatype", "o_lang"]

@@ -76,28 +76,43 @@ def cardinality(triples: DataFrame) -> DataFrame:
     )
 
 
-def typed_subjects(triples: DataFrame) -> DataFrame:
-    return triples.where(F.col("p") == RDF_TYPE).select("s")
+def _ends(triples: DataFrame) -> DataFrame:
+    """Per identifier whether it is typed, with which declared classes, and which links name it.
+
+    One pass and one aggregation of flags, instead of joining the graph with itself: a triple counts for its
+    subject when it gives a type and for its object when it is a link. An identifier named by a third of all
+    triples is already one row per task before the shuffle.
+    """
+    p, is_type = F.col("p"), F.col("p") == RDF_TYPE
+    no = F.lit(None).cast("string")
+    link = p.isin(LINKS) & (F.col("o_kind") == "iri")
+    both = F.array(
+        F.struct(F.when(is_type, F.col("s")).alias("id"), F.col("o").alias("class"), no.alias("link")),
+        F.struct(F.when(link, F.col("o")).alias("id"), no.alias("class"), p.alias("link")),
+    )
+    rows = triples.where(is_type | link).select(F.inline(both)).where(F.col("id").isNotNull())
+    some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    return rows.groupBy("id").agg(
+        some(F.col("class").isNotNull()).alias("typed"), *[some(F.col("class") == SOSA + c).alias(f"is_{c}") for c, _ in DECLARED],
+        *[some(F.col("link") == x).alias(f"by_{x.rsplit('/', 1)[-1]}") for x in LINKS],
+    )
+
+
+def _positive(counts: DataFrame, name: str) -> DataFrame:
+    """The columns of one row of counts as rows (name, n), zeros left out."""
+    rows = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).alias("n")) for c in counts.columns])
+    return counts.select(F.inline(rows)).where("n > 0")
 
 
 def dangling(triples: DataFrame) -> DataFrame:
     """Linked identifiers that have no type, counted by predicate."""
-    linked = triples.where(F.col("p").isin(LINKS) & (F.col("o_kind") == "iri")).select("p", "o").distinct()
-    loose = linked.join(typed_subjects(triples), F.col("o") == F.col("s"), "left_anti")
-    return loose.groupBy(naming.last_segment(F.col("p")).alias("predicate")).agg(F.count(F.lit(1)).alias("n"))
+    names = [x.rsplit("/", 1)[-1] for x in LINKS]
+    return _positive(_ends(triples).where(~F.col("typed")).agg(*[F.count_if(f"by_{n}").alias(n) for n in names]), "predicate")
 
 
 def unused(triples: DataFrame) -> DataFrame:
     """Declared entities no link names, counted by class."""
-    link_of = F.when(F.lit(False), F.lit(""))
-    for cls, link in DECLARED:
-        link_of = link_of.when(F.col("o") == SOSA + cls, SOSA + link)
-    declared = triples.where(F.col("p") == RDF_TYPE).select(
-        "s", naming.last_segment(F.col("o")).alias("class"), link_of.alias("link")
-    ).where(F.col("link").isNotNull())
-    linked = triples.where(F.col("p").isin([SOSA + link for _, link in DECLARED])).select("p", "o").distinct()
-    idle = declared.join(linked, (F.col("s") == F.col("o")) & (F.col("link") == F.col("p")), "left_anti")
-    return idle.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return _positive(_ends(triples).agg(*[F.count_if(F.col(f"is_{c}") & ~F.col(f"by_{x}")).alias(c) for c, x in DECLARED]), "class")
 
 
 def completeness(triples: DataFrame) -> DataFrame:
@@ -116,30 +131,32 @@ def completeness(triples: DataFrame) -> DataFrame:
 
 
 def sample_shape(triples: DataFrame) -> DataFrame:
-    """Counts of samples, samplings and observations about a sample."""
-    per = triples.groupBy("s").agg(
-        F.max(_is_a(SOSA + "Sample")).alias("sample"), F.max(_is_a(SOSA + "Sampling")).alias("sampling"),
-        F.max(F.col("p") == SOSA + "isSampleOf").alias("of"), F.max(F.col("p") == SOSA + "madeBySampler").alias("by"),
-    ).where("sample or sampling")
-    shapes = per.agg(
+    """Counts of samples, samplings and links to a sample as feature of interest, in one pass by identifier."""
+    p, is_foi = F.col("p"), F.col("p") == SOSA + "hasFeatureOfInterest"
+    no = F.lit(None).cast("string")
+    wanted = p.isin(RDF_TYPE, SOSA + "isSampleOf", SOSA + "madeBySampler") | is_foi
+    both = F.array(
+        F.struct(F.when(~is_foi, F.col("s")).alias("id"), p.alias("p"), F.col("o").alias("o")),
+        F.struct(F.when(is_foi, F.col("o")).alias("id"), p.alias("p"), no.alias("o")),
+    )
+    rows = triples.where(wanted).select(F.inline(both)).where(F.col("id").isNotNull())
+    some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
+    per = rows.groupBy("id").agg(
+        some(_is_a(SOSA + "Sample")).alias("sample"), some(_is_a(SOSA + "Sampling")).alias("sampling"),
+        some(p == SOSA + "isSampleOf").alias("of"), some(p == SOSA + "madeBySampler").alias("by"), F.count_if(is_foi).alias("links"),
+    )
+    return per.agg(
         F.count_if("sample").alias("samples"), F.count_if("sampling").alias("samplings"),
         F.count_if(F.col("sample") & F.col("of")).alias("samples_with_feature"),
         F.count_if(F.col("sampling") & F.col("by")).alias("samplings_with_sampler"),
+        F.coalesce(F.sum(F.when(F.col("sample"), F.col("links"))), F.lit(0)).alias("observations_about_a_sample"),
     )
-    about = about_samples(triples).agg(F.count(F.lit(1)).alias("observations_about_a_sample"))
-    return side_by_side(shapes, about)
 
 
 def samples(triples: DataFrame) -> DataFrame:
     return triples.where(_is_a(SOSA + "Sample")).select(F.col("s").alias("sample"))
 
 
-def about_samples(triples: DataFrame) -> DataFrame:
-    """Links to a feature of interest that is a sample."""
-    foi = triples.where(F.col("p") == SOSA + "hasFeatureOfInterest").select("s", F.col("o").alias("sample"))
-    return foi.join(samples(triples), "sample", "left_semi")
-
-
 def not_about_samples(triples: DataFrame, sampled_files: DataFrame) -> DataFrame:
     """Observations of sampled files whose feature of interest is not a sample, counted by file."""
     foi = triples.where((F.col("p") == SOSA + "hasFeatureOfInterest") & F.contains("s", F.lit("/obs/"))).select(

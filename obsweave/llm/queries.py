@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.llm import bpe
+from obsweave.llm import bpe, packing, warc
 from obsweave.llm.common import table
+from obsweave.session import shared_dir
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -23,7 +26,40 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of all pieces of all documents in sequences of 4096 tokens."""
+    pieces = packing.pack(table(spark, folder, "documents"), WORD_BPE)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages through archives in the shared folder: digests of what comes back."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive_pages(table(spark, folder, "pages"), path)
+    whole = warc.read_archives(spark, path).where("record_type = 'response'").withColumn("digest", F.sha2("payload", 256))
+    again = warc.read_archives(spark, path, payload=False).where("record_type = 'revisit'").withColumn("digest", F.col("payload_digest"))
+    return whole.unionByName(again).select(
+        _page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", _page("refers_to").alias("refers_to"),
+    )
+
+
+def _page(urn: str):
+    return F.expr("try_cast(x AS BIGINT)".replace("x", f"nullif(regexp_extract({urn}, '^<urn:page:(.*)>$', 1), '')"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
+    "op6_warc": op6_warc,
     "op9_bpe": op9_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages
+        ), f AS (SELECT d, min(page_id) AS low FROM p WHERE n >= 100 GROUP BY d)
+        SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+            CASE WHEN n >= 100 AND page_id <> low THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 100 AND page_id <> low THEN low END AS refers_to
+        FROM p LEFT JOIN f USING (d)
+    """,
+}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.llm import bpe, packing, warc
+from obsweave.llm import bpe, near_vectors, packing, warc
 from obsweave.llm.common import table
 from obsweave.session import shared_dir
 
@@ -43,6 +43,11 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors of equal label."""
+    return near_vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
 def _page(urn: str):
     return F.expr("try_cast(x AS BIGINT)".replace("x", f"nullif(regexp_extract({urn}, '^<urn:page:(.*)>$', 1), '')"))
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
     "op9_bpe": op9_bpe,
+    "op10_near_vectors": op10_near_vectors,
 }
 ORACLES: dict[str, str] = {
     "op6_warc": """

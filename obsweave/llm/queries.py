@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.llm import bpe, near_vectors, packing, warc
+from obsweave.llm import bpe, near_vectors, packing, quality_rules, warc
 from obsweave.llm.common import table
 from obsweave.session import shared_dir
 
@@ -26,6 +26,13 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Text statistics of every document and what rules learned from all labels say of it."""
+    return quality_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+    )
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Places of all pieces of all documents in sequences of 4096 tokens."""
     pieces = packing.pack(table(spark, folder, "documents"), WORD_BPE)
@@ -53,6 +60,7 @@ def _page(urn: str):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
     "op9_bpe": op9_bpe,

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.llm import bpe, near_vectors, packing, quality_rules, warc
+from obsweave.llm import bpe, maxent, near_vectors, packing, quality_rules, warc
 from obsweave.llm.common import table
 from obsweave.session import shared_dir
 
@@ -17,6 +17,11 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op7_maxent(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all documents under the unigram base and the model."""
+    return maxent.scores(table(spark, folder, "documents"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and their text again, as digests."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
+    "op7_maxent": op7_maxent,
     "op9_bpe": op9_bpe,
     "op10_near_vectors": op10_near_vectors,
 }

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.llm import bpe, maxent, near_vectors, packing, quality_rules, warc
+from obsweave.llm import bpe, maxent, near_vectors, ngram_join, packing, quality_rules, warc
 from obsweave.llm.common import table
 from obsweave.session import shared_dir
 
@@ -38,6 +38,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents by three-word shingles, similarity 0.9."""
+    return ngram_join.ngram_join(table(spark, folder, "documents"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Places of all pieces of all documents in sequences of 4096 tokens."""
     pieces = packing.pack(table(spark, folder, "documents"), WORD_BPE)
@@ -66,6 +71,7 @@ def _page(urn: str):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_join": op2_ngram_join,
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
     "op7_maxent": op7_maxent,

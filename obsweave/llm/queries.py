@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.llm import bpe, maxent, near_vectors, ngram_join, packing, quality_rules, warc
+from obsweave.llm import bpe, language_id, maxent, near_vectors, ngram_join, packing, pii, quality_rules, warc
 from obsweave.llm.common import table
 from obsweave.session import shared_dir
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PII_KEY = "key of this run"  # a production run takes it from its secret store
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -22,6 +23,20 @@ def op7_maxent(spark: SparkSession, folder: str) -> DataFrame:
     return maxent.scores(table(spark, folder, "documents"))
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page by its text, its declaration, its address and its host."""
+    pages, url, html = table(spark, folder, "pages"), F.col("url"), F.col("html")
+    pages = pages.select("page_id", "url", language_id.declared_in(html).alias("lang"), language_id.visible(html).alias("text"))
+    found = language_id.identify(pages, suffix=language_id.suffix_of(url), host=language_id.host_of(url))
+    return found.select("page_id", "language", "probability", "text_language", F.col("lang").alias("declared"))
+
+
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with pseudonyms in place of personal data."""
+    done = pii.pseudonymize(table(spark, folder, "documents"), PII_KEY)
+    return done.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.array_distinct("found.kind").alias("kinds"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and their text again, as digests."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -74,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
+    "op5_pii": op5_pii,
+    "op8_language_id": op8_language_id,
     "op7_maxent": op7_maxent,
     "op9_bpe": op9_bpe,
     "op10_near_vectors": op10_near_vectors,

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.llm import bpe, language_id, maxent, near_vectors, ngram_join, packing, pii, quality_rules, warc
+from obsweave.llm import bpe, language_id, line_dedup, maxent, near_vectors, ngram_join, packing, pii, quality_rules, warc
 from obsweave.llm.common import table
 from obsweave.session import shared_dir
 
@@ -58,6 +58,12 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, folder, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without lines that repeat earlier ones within two edits."""
+    done = line_dedup.without_repeated_lines(table(spark, folder, "documents"))
+    return done.select("doc_id", "text", "removed_lines")
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Places of all pieces of all documents in sequences of 4096 tokens."""
     pieces = packing.pack(table(spark, folder, "documents"), WORD_BPE)
@@ -87,6 +93,7 @@ def _page(urn: str):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
+    "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op6_warc": op6_warc,
     "op5_pii": op5_pii,

@@ -42,11 +42,11 @@ DATE_FORMATS = [
 
 # Free day-first parsing has no Spark form; this ordered list stands in for it.
 AMBIGUOUS = "AMBIGUOUS"
+_FRACTION = "[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"
 AMBIGUOUS_PATTERNS = [
-    "yyyy-M-d'T'H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
-    "yyyy-M-d H:m:s[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]",
-    "yyyy-M-d'T'H:m", "yyyy-M-d H:m", "yyyy/M/d H:m:s", "yyyy/M/d H:m", "yyyy/M/d",
-    "d.M.yyyy", "d/M/yyyy", "d-M-yyyy H:m:s", "d-M-yyyy H:m", "d-M-yyyy", "d MMM yyyy",
+    f"yyyy-M-d'T'H:m[:s{_FRACTION}]", f"yyyy-M-d H:m[:s{_FRACTION}]", f"yyyy/M/d[ H:m[:s{_FRACTION}]]",
+    f"d.M.yyyy[ H:m[:s{_FRACTION}]]", f"d/M/yyyy[ H:m[:s{_FRACTION}]]", f"d-M-yyyy[ H:m[:s{_FRACTION}]]",
+    f"d MMM yyyy[ H:m[:s{_FRACTION}]]", f"d MMMM yyyy[ H:m[:s{_FRACTION}]]", f"MMM d, yyyy[ H:m[:s{_FRACTION}]]", f"MMMM d, yyyy[ H:m[:s{_FRACTION}]]",
 ]
 
 # Patterns of the profiler.

@@ -29,12 +29,21 @@ def parse_with(value: Column, patterns: list[str]) -> Column:
 
 def parse_time(value: Column, fmt: Column) -> Column:
     """Instant of a text in the named format; one branch per format, so every pattern is a constant."""
-    out = F.when(fmt == fixed.AMBIGUOUS, parse_with(value, fixed.AMBIGUOUS_PATTERNS))
+    zone = F.regexp_extract(offset(value), r"^([+-])(\d\d):(\d\d)$", 0)
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")
+    shift = F.coalesce(F.when(F.startswith(zone, F.lit("-")), -minutes).otherwise(minutes), F.lit(0))
+    out = F.when(fmt == fixed.AMBIGUOUS, ambiguous_local(value) - F.make_dt_interval(mins=shift))
     for name, patterns in fixed.DATE_FORMATS:
         out = out.when(fmt == name, parse_with(value, patterns))
     return out
 
 
+def ambiguous_local(value: Column) -> Column:
+    """Local time of a text that no named format fits, day first; an offset after the time and digits past microseconds are left out."""
+    bare = F.regexp_replace(value, r"(:\d{1,2}(?:\.\d+)?)\s*([Zz]|[+-]\d{2}:?\d{2})$", "$1")
+    return parse_with(F.regexp_replace(bare, r"(\.\d{6})\d+$", "$1"), fixed.AMBIGUOUS_PATTERNS)
+
+
 def iso(instant: Column) -> Column:
     """ISO 8601 text of a timestamp, with six digits of a second only where they are not zero."""
     text = F.translate(instant.cast("string"), " ", "T")
@@ -57,7 +66,7 @@ def local_time(value: Column, fmt: Column) -> Column:
     The instant alone would lose the offset, so the text is parsed without it (see `with_offset`).
     """
     bare = F.regexp_replace(value, r"([Zz]|[+-]\d{2}:?\d{2})$", "")
-    out = F.when(fmt == fixed.AMBIGUOUS, parse_with(value, fixed.AMBIGUOUS_PATTERNS))
+    out = F.when(fmt == fixed.AMBIGUOUS, ambiguous_local(value))
     for name, patterns in fixed.DATE_FORMATS:
         if name.endswith("%z"):
             zoned = F.when(offset(value) != "", F.try_to_timestamp(bare, F.lit(patterns[0].removesuffix("XXX"))))
@@ -69,7 +78,7 @@ def local_time(value: Column, fmt: Column) -> Column:
 
 def with_offset(local: Column, value: Column, fmt: Column) -> Column:
     """ISO 8601 text of a local time, followed by the offset its source text had."""
-    return F.concat(iso(local), F.when(F.endswith(fmt, F.lit("%z")), offset(value)).otherwise(F.lit("")))
+    return F.concat(iso(local), F.when(F.endswith(fmt, F.lit("%z")) | (fmt == fixed.AMBIGUOUS), offset(value)).otherwise(F.lit("")))
 
 
 def duration_text(micros: Column) -> Column:

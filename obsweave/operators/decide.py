@@ -27,7 +27,9 @@ def clean_phrases(phrases: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def decided(columns: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Columns with their decision; `resolved` tells whether there is one."""
+    """Columns with their decision; `resolved` tells whether there is one. Only observable columns are decided."""
+    wanted = columns.where(observable(F.col("role"))).select("column_key").distinct()
+    decisions = decisions.join(wanted, "column_key", "left_semi")
     return columns.join(decisions.withColumn("resolved", F.lit(True)), "column_key", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
 
 

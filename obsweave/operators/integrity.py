@@ -158,9 +158,9 @@ def samples(triples: DataFrame) -> DataFrame:
 
 
 def not_about_samples(triples: DataFrame, sampled_files: DataFrame) -> DataFrame:
-    """Observations of sampled files whose feature of interest is not a sample, counted by file."""
-    foi = triples.where((F.col("p") == SOSA + "hasFeatureOfInterest") & F.contains("s", F.lit("/obs/"))).select(
-        F.regexp_extract("s", "/obs/[^/]+/([^/]+)/", 1).alias("file_id"), F.col("o").alias("sample")
-    )
-    mine = foi.join(sampled_files.select("file_id"), "file_id", "left_semi")
-    return mine.join(samples(triples), "sample", "left_anti").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+    """Observations of sampled files none of whose features of interest is a sample, also those without any, counted by file."""
+    observed = triples.where(_is_a(SOSA + "Observation")).select("s", F.regexp_extract("s", "/obs/[^/]+/([^/]+)/", 1).alias("file_id"))
+    mine = observed.join(sampled_files.select("file_id"), "file_id", "left_semi")
+    foi = triples.where(F.col("p") == SOSA + "hasFeatureOfInterest").select("s", F.col("o").alias("sample"))
+    about = foi.join(samples(triples), "sample", "left_semi").select("s")
+    return mine.join(about, "s", "left_anti").groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))

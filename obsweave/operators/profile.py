@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from obsweave.functions import fixed, naming, values
 from obsweave.session import join_small
 
-PROFILE_ROWS = 100_000
 VOTE_ROWS = 500
 
 
@@ -54,7 +53,7 @@ def date_format_vote(rank: Column, value: Column, n: int = 20) -> Column:
     for name, patterns in fixed.DATE_FORMATS:
         every = first(values.parse_with(value, patterns).isNotNull())
         out = F.when(every, name) if out is None else out.when(every, name)
-    return out.when(first(values.parse_with(value, fixed.AMBIGUOUS_PATTERNS).isNotNull()), fixed.AMBIGUOUS)
+    return out.when(first(values.ambiguous_local(value).isNotNull()), fixed.AMBIGUOUS)
 
 
 def date_formats(first: DataFrame) -> DataFrame:
@@ -181,9 +180,16 @@ def role(name: Column, is_timestamp: Column, samples: Column, dtype: Column) ->
     )
 
 
-def profile_columns(rows: DataFrame, max_rows: int = PROFILE_ROWS) -> DataFrame:
-    """Profile of every column, decided on the first `max_rows` rows of each file."""
-    cell = cells(rows.where(F.col("row") < max_rows))
+def _head(rows: DataFrame, max_rows: int | None) -> DataFrame:
+    return rows if max_rows is None else rows.where(F.col("row") < max_rows)
+
+
+def profile_columns(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Profile of every column over all rows, or over the first `max_rows` rows of each file.
+
+    Number and date forms are votes of the first values of a column; `values_lost` counts what they cost.
+    """
+    cell = cells(_head(rows, max_rows))
     first = first_values(cell, VOTE_ROWS)
     columns = typed(column_counts(cell), column_votes(first))
     is_date = datetime_test(F.col("column"), F.col("iso_first"), F.col("format"))
@@ -203,7 +209,7 @@ def profile_columns(rows: DataFrame, max_rows: int = PROFILE_ROWS) -> DataFrame:
     )
 
 
-def profile_files(rows: DataFrame, columns: DataFrame, max_rows: int = PROFILE_ROWS) -> DataFrame:
+def profile_files(rows: DataFrame, columns: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Profile of every file: rows, decimal mark, timestamp column with its format, offset and frequency."""
     stamp = F.when(F.col("role") == "timestamp", F.col("pos"))
     files = columns.groupBy("file").agg(
@@ -212,9 +218,10 @@ def profile_files(rows: DataFrame, columns: DataFrame, max_rows: int = PROFILE_R
         F.min_by("format", stamp).alias("datetime_format"), F.min_by("timezone", stamp).alias("timezone"),
     )
     stamps = columns.where(F.col("role") == "timestamp").select("file", "pos", "column", "format")
-    cell = cells(rows.where(F.col("row") < max_rows)).join(stamps.select("file", "pos"), ["file", "pos"], "left_semi")
+    cell = cells(_head(rows, max_rows)).join(stamps.select("file", "pos"), ["file", "pos"], "left_semi")
     freq = frequencies(first_values(cell, 100), stamps).select("file", "frequency")
-    return files.join(freq, "file", "left").withColumn("row_count_sampled", F.col("row_count") == max_rows)
+    sampled = F.lit(False) if max_rows is None else F.col("row_count") == max_rows
+    return files.join(freq, "file", "left").withColumn("row_count_sampled", sampled)
 
 
 def observable(role_col: Column) -> Column:
@@ -227,19 +234,29 @@ def normalize(rows: DataFrame, columns: DataFrame, files: DataFrame, max_rows: i
     The decisions of the profile travel as one small row per file; the data is read once and not shuffled.
     Missing values stay as rows. A time that does not parse becomes null.
     """
+    return _decided(rows, columns, files, max_rows).drop("cell", "is_stamp")
+
+
+def values_lost(rows: DataFrame, columns: DataFrame, files: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """(file_id, column, present, lost): cells with a value, and those that the decided type or time format turns into null."""
+    long = _decided(rows, columns, files, max_rows).where(F.col("cell").isNotNull())
+    gone = F.when(F.col("is_stamp"), F.col("result_time").isNull()).otherwise(F.col("value").isNull())
+    return long.groupBy("file_id", "column").agg(F.count(F.lit(1)).alias("present"), F.count_if(gone).alias("lost"))
+
+
+def _decided(rows: DataFrame, columns: DataFrame, files: DataFrame, max_rows: int | None) -> DataFrame:
+    """Normalized rows with the raw cell, and whether it is the one that gives the time."""
     kinds = columns.groupBy("file").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "dtype"))), lambda c: c["dtype"]).alias("dtypes")
     )  # one entry per column of the file
     plan = files.select("file", "decimal", "datetime_pos", "datetime_format").join(kinds, "file")
-    if max_rows is not None:
-        rows = rows.where(F.col("row") < max_rows)
-    joined = join_small(rows, plan, "file", "inner")
+    joined = join_small(_head(rows, max_rows), plan, "file", "inner")
     stamp = F.get(F.col("cells"), F.col("datetime_pos"))
     timed = joined.withColumn("_stamp", stamp)
     timed = timed.withColumn("_local", values.local_time(F.col("_stamp"), F.col("datetime_format")))
     timed = timed.withColumn("result_time", values.with_offset(F.col("_local"), F.col("_stamp"), F.col("datetime_format")))
     long = timed.select(
-        naming.file_id(F.col("file")).alias("file_id"), "row", "result_time", "decimal",
+        naming.file_id(F.col("file")).alias("file_id"), "row", "result_time", "decimal", "datetime_pos",
         F.posexplode(F.arrays_zip("names", "dtypes", "cells")).alias("pos", "_c"),
     )
     numeric = F.col("_c.dtypes").isin(fixed.NUMERIC_DTYPES)
@@ -247,6 +264,7 @@ def normalize(rows: DataFrame, columns: DataFrame, files: DataFrame, max_rows: i
     return long.select(
         "file_id", "row", "result_time", "pos", F.col("_c.names").alias("column"), F.col("_c.dtypes").alias("dtype"),
         shown(F.col("_c.cells"), F.col("_c.dtypes"), F.col("decimal")).alias("value"), num.alias("value_num"),
+        F.col("_c.cells").alias("cell"), F.coalesce(F.col("pos") == F.col("datetime_pos"), F.lit(False)).alias("is_stamp"),
     )
 
 

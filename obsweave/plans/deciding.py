@@ -37,7 +37,7 @@ dec AS (SELECT column_key, CASE WHEN p_size % 8 <> 3 THEN 'probe ' || p_brand EN
     CASE p_size % 5 WHEN 0 THEN '{CONCEPT}' || s WHEN 1 THEN 'MINT' WHEN 2 THEN CASE WHEN s % 2 = 0 THEN 'gemet:' ELSE 'qudt:' END || s WHEN 3 THEN NULL ELSE '{CONCEPT}' || p_size END AS property_uri,
     CASE WHEN p_size % 4 = 0 THEN ' SUPPLIER ' || p_size % 9 WHEN p_size % 4 = 1 THEN '' WHEN p_size % 4 = 2 THEN p_name END AS property_label,
     {_texts(UNIT_TEXTS)}[p_size % 10 + 1] AS unit, p_type AS feature_id,
-    CASE p_brand WHEN 'Brand#1' THEN 'derived' WHEN 'Brand#2' THEN 'quality' WHEN 'Brand#3' THEN 'nonsense' WHEN 'Brand#4' THEN 'measurement' END AS column_class FROM cols JOIN firsts ON l_partkey = p_partkey WHERE p_size <> 17),
+    CASE p_brand WHEN 'Brand#1' THEN 'derived' WHEN 'Brand#2' THEN 'quality' WHEN 'Brand#3' THEN 'nonsense' WHEN 'Brand#4' THEN 'measurement' END AS column_class FROM cols JOIN firsts ON l_partkey = p_partkey WHERE p_size <> 17 AND role IN ('observable_property', 'unknown')),
 a AS (SELECT cols.*, sensor_id AS sensor0, property_uri AS uri0, property_label AS label0, unit AS unit0, feature_id AS feature0, d.column_key IS NOT NULL AS res0, CASE WHEN column_class IN ('measurement', 'derived', 'diagnostic', 'quality') THEN column_class END AS column_class FROM cols LEFT JOIN dec d USING (column_key)),
 b AS (SELECT *, coalesce(column_class <> 'measurement', FALSE) AS demoted FROM a),
 c AS (SELECT b.*, res0 AND NOT demoted AS resolved, coalesce(m.uri, uri0, 'MINT') AS choice FROM b LEFT JOIN menus m ON m.column_key = b.column_key AND m.source || ':' || regexp_extract(m.uri, '([^/]*)$', 1) = uri0),

@@ -183,8 +183,8 @@ def sample_shape(spark, folder):
 
 
 @query(f"""{_GRAPH}, sampled_file(file_id) AS (VALUES ('orders'), ('events'))
-  SELECT file_id, count(*) AS n FROM (SELECT regexp_extract(s, '/obs/[^/]+/([^/]+)/', 1) AS file_id, o FROM triples WHERE p = '{given._S}hasFeatureOfInterest' AND s LIKE '%/obs/%')
-  JOIN sampled_file USING (file_id) WHERE o NOT IN (SELECT s FROM triples WHERE o = '{given._S}Sample') GROUP BY file_id""")
+  SELECT file_id, count(*) AS n FROM (SELECT s, regexp_extract(s, '/obs/[^/]+/([^/]+)/', 1) AS file_id FROM triples WHERE o = '{given._S}Observation')
+  JOIN sampled_file USING (file_id) WHERE s NOT IN (SELECT s FROM triples WHERE p = '{given._S}hasFeatureOfInterest' AND o IN (SELECT s FROM triples WHERE o = '{given._S}Sample')) GROUP BY file_id""")
 def observations_not_about_samples(spark, folder):
     files = spark.createDataFrame([("orders",), ("events",)], "file_id string")
     return integrity.not_about_samples(given.whole_graph(spark, folder), files)

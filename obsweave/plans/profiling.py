@@ -71,7 +71,7 @@ def profile_columns(spark, folder):
   best AS (SELECT file, arg_min(gap, (-c, gap)) AS gap FROM q GROUP BY file)
   SELECT file, max(p.n)::BIGINT AS row_count, '.' AS decimal, count(*) AS n_columns, max("column") FILTER (is_ts) AS datetime_column, max(format) FILTER (is_ts) AS datetime_format,
     max(floor(gap / 86400000000)::BIGINT || ' days ' || CASE WHEN gap < 0 THEN '+' ELSE '' END || strftime(make_timestamp(((gap % 86400000000) + 86400000000) % 86400000000), '%H:%M:%S') || CASE WHEN gap % 1000000 = 0 THEN '' ELSE '.' || lpad((((gap % 1000000) + 1000000) % 1000000)::VARCHAR, 6, '0') END) AS frequency,
-    max(p.n) = 100000 AS row_count_sampled
+    FALSE AS row_count_sampled
   FROM p LEFT JOIN best USING (file) GROUP BY file""")
 def profile_files(spark, folder):
     rows = _rows(spark, folder)
@@ -181,6 +181,14 @@ def normalize_values(spark, folder):
     return out.select("file_id", "row", "column", "value_num", "value")
 
 
+@query(f"""WITH {_MESSY_SQL}, k AS (SELECT file, CASE WHEN CASE WHEN decimal = ',' THEN vc ELSE vd END >= 0.9 THEN try_cast(replace(value, ',', '.') AS DOUBLE)::VARCHAR ELSE value END AS kept FROM cells JOIN d USING (file))
+  SELECT file AS file_id, 'level' AS "column", count(*) AS present, count(*) FILTER (kept IS NULL) AS lost FROM k GROUP BY file""")
+def values_lost(spark, folder):
+    rows = _messy(spark, folder)
+    cols = staged(profile.profile_columns(rows), "columns")
+    return profile.values_lost(rows, cols, profile.profile_files(rows, cols))
+
+
 @query("""SELECT event_type AS file_id, event_id AS row, CASE event_type WHEN 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+01:00' WHEN 'error' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
     WHEN 'signup' THEN strftime(ts, '%Y-%m-%dT00:00:00') ELSE strftime(ts, '%Y-%m-%dT%H:%M:00') END AS result_time, value AS value_num FROM events""")
 def normalize_rows(spark, folder):
@@ -192,10 +200,15 @@ def normalize_rows(spark, folder):
 
 @query("""SELECT user_id, count(*) AS n, max(k) AS last_row FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events) WHERE k < 40 GROUP BY ALL""")
 def row_cap(spark, folder):
+    """The cap is the feature: the first 40 rows of each user's file reach the normal form."""
     from pyspark.sql import Window
     by_file = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, folder, "events").select("user_id", F.row_number().over(by_file).alias("k")).where("k <= 40")
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), (F.max("k") - 1).alias("last_row"))
+    rows = table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("file"), (F.row_number().over(by_file) - 1).alias("row"), F.array(F.lit("value")).alias("names"),
+        F.array(F.col("value").cast("string")).alias("cells"))
+    cols = staged(profile.profile_columns(rows), "columns")
+    long = profile.normalize(rows, cols, profile.profile_files(rows, cols), max_rows=40)
+    return long.groupBy(F.col("file_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("last_row"))
 
 
 @query("""WITH c AS (SELECT 'user ' || user_id AS file, event_id AS row, unnest([{'c': 'level', 'v': CASE WHEN value >= 25 THEN value::VARCHAR END}, {'c': 'kind', 'v': CASE WHEN event_type <> 'view' THEN event_type END}]) AS x, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS time FROM events)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import shutil
 import tempfile
@@ -33,12 +34,16 @@ def local_session(cores: str | int = "*", memory: str = "16g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Folder all executors see: spark.checkpoint.dir. Only a session on one machine may do without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-obsweave-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-obsweave-")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -6,11 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsweave.functions.text import escape
+from obsweave.session import join_small
+
+# Rows that one file of a folder holds about; larger folders get several files.
+FILE_ROWS = 5_000_000
+
+
+def _by_folder(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out so that a folder gets one file for every FILE_ROWS rows, and not one from every task."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).alias("_files"))
+    salted = join_small(rows, sizes, list(keys), "inner").withColumn("_salt", F.floor(F.rand(17) * F.col("_files")))
+    return salted.repartition(*keys, "_salt").drop("_files", "_salt")
 
 
 def write_normalized(rows: DataFrame, path: str, form: str = "parquet") -> None:
     """Normalized long rows, one folder per file."""
-    rows.write.mode("overwrite").partitionBy("file_id").format(form).save(path)
+    _by_folder(rows, "file_id").write.mode("overwrite").partitionBy("file_id").format(form).save(path)
 
 
 def nt_line() -> Column:
@@ -31,7 +42,7 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
 
 def write_sites(wide: DataFrame, path: str) -> None:
     """Wide rows, one folder per site and device."""
-    wide.write.mode("overwrite").partitionBy("site", "device").option("header", "true").csv(path)
+    _by_folder(wide, "site", "device").write.mode("overwrite").partitionBy("site", "device").option("header", "true").csv(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

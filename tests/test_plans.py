@@ -6,10 +6,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import TABLES, compare
 from obsweave.operators import graph, profile
-from obsweave.plans import given, relating
+from obsweave.plans import catalog, given, relating
 from obsweave.streaming import append
 
 SMALL = "/root/testdata/sf0.001"
@@ -27,9 +27,9 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_query_equals_sql(spark, con, name):
-    line = compare(spark, con, SMALL, name, queries()[name], oracle_sql()[name])
+    line = compare(spark, con, SMALL, name, catalog.queries()[name], catalog.oracles()[name])
     assert " ok " in line and "CROSS" not in line, line
 
 

@@ -40,6 +40,9 @@ DATE_FORMATS = [
     ("%Y-%m-%d", ["yyyy-M-d"]),
 ]
 
+# Corpora in the order in which candidates are listed; others follow by name.
+CORPORA = ["qudt", "gemet"]
+
 # Free day-first parsing has no Spark form; this ordered list stands in for it.
 AMBIGUOUS = "AMBIGUOUS"
 _FRACTION = "[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"

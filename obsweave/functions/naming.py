@@ -38,6 +38,12 @@ def file_id(file: Column) -> Column:
     return slug(F.regexp_replace(file, r"\.[^./]+$", ""))
 
 
+def corpus_place(source: Column) -> Column:
+    """Sort key of a corpus: the fixed order, others after it by name."""
+    place = F.array_position(F.array(*map(F.lit, fixed.CORPORA)), source)
+    return F.struct(F.when(place > 0, place).otherwise(len(fixed.CORPORA) + 1).alias("place"), source.alias("source"))
+
+
 def column_key(file: Column, column: Column) -> Column:
     return F.concat(file, F.lit("::"), column)
 

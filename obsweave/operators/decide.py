@@ -19,6 +19,11 @@ from obsweave.session import join_small, staged
 MINT = "MINT"
 
 
+def _listed():
+    """Place of a candidate in its column's menu."""
+    return F.struct(naming.corpus_place(F.col("source")).alias("corpus"), "rank")
+
+
 def clean_phrases(phrases: DataFrame, columns: DataFrame) -> DataFrame:
     """Phrases of requested columns, trimmed; blank ones left out."""
     wanted = columns.select("column_key").distinct()
@@ -43,7 +48,7 @@ def demote(df: DataFrame) -> DataFrame:
 
 def expand_curies(df: DataFrame, menus: DataFrame) -> DataFrame:
     """Short identifiers become the URIs of the column's own menu; others stay."""
-    short = menus.groupBy("column_key", naming.curie(F.col("source"), F.col("uri")).alias("property_uri")).agg(F.max_by("uri", F.struct("source", "rank")).alias("_full"))
+    short = menus.groupBy("column_key", naming.curie(F.col("source"), F.col("uri")).alias("property_uri")).agg(F.max_by("uri", _listed()).alias("_full"))
     joined = df.join(short, ["column_key", "property_uri"], "left")
     return joined.withColumn("property_uri", F.coalesce("_full", "property_uri")).drop("_full")
 
@@ -51,7 +56,7 @@ def expand_curies(df: DataFrame, menus: DataFrame) -> DataFrame:
 def guard_membership(df: DataFrame, menus: DataFrame) -> DataFrame:
     """A chosen URI must be in the column's own menu, else a property is minted from label or name."""
     own = menus.groupBy("column_key", F.col("uri").alias("property_uri")).agg(
-        F.max_by(F.struct("label", "source"), F.struct("source", "rank")).alias("_hit")
+        F.max_by(F.struct("label", "source"), _listed()).alias("_hit")
     )
     choice = df.withColumn("property_uri", F.coalesce("property_uri", F.lit(MINT)))
     joined = choice.join(own, ["column_key", "property_uri"], "left")
@@ -184,7 +189,7 @@ def shared_lists(menus: DataFrame, columns: DataFrame) -> DataFrame:
     A list has at most k entries per vocabulary. Lists are numbered in buckets of the column order, so no
     task sees them all.
     """
-    entry = F.struct("source", "rank", naming.curie(F.col("source"), F.col("uri")).alias("curie"))
+    entry = F.struct(_listed().alias("at"), naming.curie(F.col("source"), F.col("uri")).alias("curie"))
     lists = menus.groupBy("column_key").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["curie"]).alias("curies"))
     keyed = staged(columns.select("column_key", "ord").join(lists, "column_key"), "lists")
     first = keyed.groupBy("curies").agg(F.min("ord").alias("_first"))
@@ -195,7 +200,7 @@ def shared_lists(menus: DataFrame, columns: DataFrame) -> DataFrame:
 def shared_concepts(menus: DataFrame, columns: DataFrame) -> DataFrame:
     """(curie, label): every candidate once, with the label of its first appearance."""
     seen = menus.join(columns.select("column_key", "ord"), "column_key")
-    return seen.groupBy(naming.curie(F.col("source"), F.col("uri")).alias("curie")).agg(F.min_by("label", F.struct("ord", "source", "rank")).alias("label"))
+    return seen.groupBy(naming.curie(F.col("source"), F.col("uri")).alias("curie")).agg(F.min_by("label", F.struct("ord", _listed().alias("at"))).alias("label"))
 
 
 def split_columns(gold: DataFrame) -> DataFrame:

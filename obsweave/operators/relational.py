@@ -55,13 +55,16 @@ def device_files(facts: DataFrame) -> DataFrame:
 def site_metadata(files: DataFrame, devices: DataFrame, variables: DataFrame, sites: DataFrame, special: DataFrame) -> DataFrame:
     """One nested document per site: the site, its devices with their special values, its variables.
 
-    `devices` is (device, device_type, serial, description), `variables` (variable, unit, description),
+    `devices` is (device, device_type, serial, description) and, where known, (type_description, manufacturer), `variables` (variable, unit, description),
     `sites` (site, description), `special` (device_type, value, meaning). A document lists the devices
     and variables of one site; the readings stay out of it.
     """
     docs = special.groupBy("device_type").agg(F.array_sort(F.collect_list(F.struct("value", "meaning"))).alias("special_values"))
-    kinds = devices.join(docs, "device_type", "left")
-    device = F.struct("device", "serial", "description", "device_type", F.coalesce("special_values", F.array().cast("array<struct<value:double,meaning:string>>")).alias("special_values"))
+    kinds = devices.join(docs, "device_type", "left").withColumn("file", F.concat("device", F.lit(".csv")))
+    for name in ("type_description", "manufacturer"):
+        if name not in devices.columns:
+            kinds = kinds.withColumn(name, F.lit(None).cast("string"))
+    device = F.struct("device", "file", "serial", "description", "device_type", "type_description", "manufacturer", F.coalesce("special_values", F.array().cast("array<struct<value:double,meaning:string>>")).alias("special_values"))
     per_site = files.select("site", "device").distinct().join(kinds, "device").groupBy("site").agg(F.array_sort(F.collect_list(device)).alias("devices"))
     used = files.select("site", F.explode("variables").alias("variable")).distinct().join(variables, "variable")
     per_site_vars = used.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("variable", "unit", "description"))).alias("variables"))

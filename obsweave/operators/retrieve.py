@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsweave.functions import fixed
+from obsweave.functions.naming import corpus_place
 from obsweave.session import join_small, ship, staged
 
 BLOCK_QUERIES = 256
@@ -106,12 +107,13 @@ class Scorer:
         cosine = np.einsum("nd,qd->nq", vectors, self.vectors, optimize=False)
         return have, np.round(cosine - 1, DIGITS) + 0.0  # no negative zero
 
-    def scores(self, batch: pd.DataFrame):
+    def scores(self, batch: pd.DataFrame, modes: tuple[str, ...] = MODES):
         """(mode, source, uris, query numbers, score matrix) of every source in the batch."""
         for source, part in batch.groupby("source", sort=False):
             uris = part["uri"].to_numpy()
-            yield "bm25", source, uris, range(len(self.ids)), self.bm25(source, part["tokens"])
-            have, dense = self.dense(part["embedding"])
+            if "bm25" in modes:
+                yield "bm25", source, uris, range(len(self.ids)), self.bm25(source, part["tokens"])
+            have, dense = self.dense(part["embedding"]) if "dense" in modes else (None, np.zeros((0, 0)))
             if dense.size:
                 yield "dense", source, uris[have], self.with_vector, dense
 
@@ -121,12 +123,12 @@ def _best(found: pd.DataFrame, depth: int) -> pd.DataFrame:
     return found.groupby(["mode", "source", "query"], sort=False).head(depth)
 
 
-def _top_task(scorer: Scorer, depth: int):
+def _top_task(scorer: Scorer, depth: int, modes: tuple[str, ...]):
     def run(batches):
         kept: list[pd.DataFrame] = []
         held = 0
         for batch in batches:
-            for mode, source, uris, numbers, matrix in scorer.scores(batch):
+            for mode, source, uris, numbers, matrix in scorer.scores(batch, modes):
                 order = np.argsort(uris, kind="stable")
                 uris, matrix = uris[order], matrix[order]
                 for j, q in enumerate(numbers):
@@ -204,9 +206,9 @@ class Ranker:
     def _schema(self, last: str) -> str:
         return f"mode string, source string, query_id {self.query_type}, uri {self.uri_type}, {last}"
 
-    def top(self, depth: int) -> DataFrame:
+    def top(self, depth: int, modes: tuple[str, ...] = MODES) -> DataFrame:
         """(mode, source, query_id, uri, score, rank) of the best `depth` documents per query and source."""
-        parts = [self.corpus.mapInPandas(_top_task(s, depth), self._schema("score double")) for s in self.scorers]
+        parts = [self.corpus.mapInPandas(_top_task(s, depth, modes), self._schema("score double")) for s in self.scorers]
         best = Window.partitionBy("mode", "source", "query_id").orderBy(F.desc("score"), "uri")
         ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best))
         return ranked.where(F.col("rank") <= depth)
@@ -285,10 +287,14 @@ def gold_ranks(ranker: Ranker, gold: DataFrame, depth: int) -> DataFrame:
     return single.unionByName(join_small(hybrid, keys, ["query_id", "source", "uri"], "left_semi").select(*single.columns).withColumn("rank", F.col("rank").cast("long")))
 
 
-def recall_at(ranks: DataFrame, gold: DataFrame, by: list[str], depths: list[int] = fixed.RECALL_DEPTHS) -> DataFrame:
+def recall_at(ranks: DataFrame, gold: DataFrame, by: list[str], depths: list[int] = fixed.RECALL_DEPTHS, modes: list[str] | None = None) -> DataFrame:
     """Share of gold rows ranked within k, for each k; a gold row without a rank is a miss."""
     n = gold.count()
     hits = ranks.select(*by, "rank", F.explode(F.array(*[F.lit(k) for k in depths])).alias("k")).groupBy(*by, "k").agg(F.count_if(F.col("rank") <= F.col("k")).alias("hits"))
+    if modes is not None:  # a mode without any rank has no hits, and still a row
+        spark = ranks.sparkSession
+        every = spark.createDataFrame([(m, k) for m in modes for k in depths], "mode string, k int")
+        hits = every.join(hits, ["mode", "k"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return hits.withColumn("n", F.lit(n).cast("long")).withColumn("recall", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0))
 
 
@@ -297,7 +303,7 @@ def top1_baseline(menus: DataFrame, gold: DataFrame) -> DataFrame:
 
     Queries without a menu do not count.
     """
-    place = F.struct("distance", "source", "rank")
+    place = F.struct("distance", corpus_place(F.col("source")).alias("corpus"), "rank")
     nearest = menus.groupBy("query_id").agg(F.min_by(F.struct("source", "uri"), place).alias("any"))
     own = menus.where(F.col("rank") == 1).select("query_id", "source", F.col("uri").alias("own"))
     joined = gold.join(nearest, "query_id").join(own, ["query_id", "source"], "left")

@@ -8,11 +8,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsweave.functions import naming
 from obsweave.operators import decide, evidence, graph, profile, reshape, retrieve
+from obsweave.operators.numbering import number_by
 from obsweave.session import join_small, staged
 from obsweave.sources import folder
 
@@ -60,7 +61,9 @@ def profile_folder(spark: SparkSession, root: str, dataset_id: str) -> Profile:
     rows = folder.raw_rows(spark, root, found)
     columns = staged(profile.profile_columns(rows), "columns")
     files = staged(profile.profile_files(rows, columns).join(found.select("file", "sep", "encoding", "header_rows"), "file"), "files")
-    keyed = columns.withColumn("column_key", naming.column_key(F.col("file"), F.col("column"))).withColumn("ord", F.struct("file", "pos"))
+    keyed = columns.withColumn("column_key", naming.column_key(F.col("file"), F.col("column")))
+    # a number that follows file and position: the columns are staged rows of a few files, their count is small
+    keyed = number_by(keyed.withColumn("_place", F.dense_rank().over(Window.orderBy("file")) * 1_000_000 + F.col("pos")), "_place", "ord").drop("_place")
     return Profile(dataset_id, rows, keyed, files)
 
 
@@ -136,8 +139,13 @@ def dataset_graph(found: Profile, resolved: Resolved, max_rows: int | None = Non
     sampled = reshape.with_prefixes(resolved.mapping.where("sampled")).select("file_id", "sample_prefix", "sampling_prefix", "sampler_uri", "sample_feature_uri").distinct()
     samples = join_small(long.where("pos = 0").select("file_id", "row", "result_time"), sampled, "file_id", "inner")
     data = graph.add(graph.observation_triples(obs), graph.sample_triples(samples))
-    if not reshape.slug_collisions(resolved.mapping).isEmpty():
-        data = data.distinct()  # columns that share URIs can repeat a triple
+    same = reshape.slug_collisions(resolved.mapping)
+    if not same.isEmpty():  # columns that share URIs can repeat a triple; only their files are deduplicated
+        files = same.select("file_id").distinct()
+        file_id = F.regexp_extract("s", "/(?:obs|result|sample|sampling)/[^/]+/([^/]+)/", 1)
+        marked = data.withColumn("file_id", file_id)
+        data = join_small(marked, files, "file_id", "left_anti").select(*data.columns).unionByName(
+            join_small(marked, files, "file_id", "left_semi").select(*data.columns).distinct())
     return data, graph.declarations(resolved.entities)
 
 

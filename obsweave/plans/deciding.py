@@ -204,13 +204,13 @@ def mapping_assembly(spark, folder):
     return decide.mapping(resolved(spark, folder), "parts")
 
 
-@query(f"""WITH {SQL}, l AS (SELECT column_key, string_agg(source || ':' || regexp_extract(uri, '([^/]*)$', 1), ',' ORDER BY source, rank) AS curies FROM menus GROUP BY column_key),
+@query(f"""WITH {SQL}, l AS (SELECT column_key, string_agg(source || ':' || regexp_extract(uri, '([^/]*)$', 1), ',' ORDER BY source DESC, rank) AS curies FROM menus GROUP BY column_key),
   f AS (SELECT curies, row_number() OVER (ORDER BY min(ord)) AS no FROM l JOIN cols USING (column_key) GROUP BY curies) SELECT column_key, 'L' || no AS list_name, curies FROM l JOIN f USING (curies)""")
 def shared_menu(spark, folder):
     return decide.shared_lists(menus(spark, folder), columns(spark, folder)).withColumn("curies", F.array_join("curies", ","))
 
 
-@query(f"WITH {SQL} SELECT source || ':' || regexp_extract(uri, '([^/]*)$', 1) AS curie, arg_min(label, (ord, source, rank)) AS label FROM menus JOIN cols USING (column_key) GROUP BY 1")
+@query(f"WITH {SQL} SELECT source || ':' || regexp_extract(uri, '([^/]*)$', 1) AS curie, arg_min(label, (ord, source <> 'qudt', rank)) AS label FROM menus JOIN cols USING (column_key) GROUP BY 1")
 def shared_concepts(spark, folder):
     return decide.shared_concepts(menus(spark, folder), columns(spark, folder))
 

@@ -100,7 +100,7 @@ def device_files(spark, folder):
 
 @query(f"""WITH {FACTS_SQL}, used AS (SELECT DISTINCT site, device, device_type, variable FROM cleaned WHERE value IS NOT NULL),
   docs AS (SELECT device_type, list_sort(list({{'value': value, 'meaning': meaning}})) AS sv FROM special GROUP BY device_type),
-  d AS (SELECT site, list_sort(list({{'device': device, 'serial': c_custkey::VARCHAR, 'description': NULL::VARCHAR, 'device_type': x.device_type, 'special_values': coalesce(sv, [])}})) AS devices
+  d AS (SELECT site, list_sort(list({{'device': device, 'file': device || '.csv', 'serial': c_custkey::VARCHAR, 'description': NULL::VARCHAR, 'device_type': x.device_type, 'type_description': 'kind ' || x.device_type, 'manufacturer': left(c_name, 2), 'special_values': coalesce(sv, [])}})) AS devices
     FROM (SELECT DISTINCT site, device, device_type FROM used) x JOIN customer ON c_name = device LEFT JOIN docs ON docs.device_type = x.device_type GROUP BY site),
   v AS (SELECT site, list_sort(list({{'variable': variable, 'unit': NULL::VARCHAR, 'description': 'events of kind ' || variable}})) AS variables FROM (SELECT DISTINCT site, variable FROM used) GROUP BY site)
   SELECT site, to_json({{'site': {{'site': site, 'description': r_name}}, 'devices': devices, 'variables': variables}})::VARCHAR AS metadata
@@ -109,7 +109,8 @@ def site_metadata(spark, folder):
     facts = _cleaned(spark, folder)
     no = F.lit(None).cast("string")
     devices = table(spark, folder, "customer").select(
-        F.col("c_name").alias("device"), F.col("c_mktsegment").alias("device_type"), F.col("c_custkey").cast("string").alias("serial"), no.alias("description")
+        F.col("c_name").alias("device"), F.col("c_mktsegment").alias("device_type"), F.col("c_custkey").cast("string").alias("serial"), no.alias("description"),
+        F.concat(F.lit("kind "), "c_mktsegment").alias("type_description"), F.left("c_name", F.lit(2)).alias("manufacturer"),
     )
     variables = spark.createDataFrame([(k, f"events of kind {k}") for k in KINDS], "variable string, description string").withColumn("unit", no)
     sites = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("site"), F.col("r_name").alias("description"))
@@ -127,10 +128,14 @@ def unknown_variables(spark, folder):
     return relational.unknown_variables(relational.device_files(_part_facts(spark, folder)), gold, excluded)
 
 
-@query(f"WITH {PARTS_SQL} SELECT variable, property FROM gold WHERE variable NOT IN (SELECT variable FROM facts WHERE timestamp < TIMESTAMP '1995-03-01')")
+@query(f"""WITH {PARTS_SQL}, declared AS (SELECT variable, property FROM gold UNION SELECT p_name || ' ' || p_type, 'http://example.org/property/' || p_brand FROM part)
+  SELECT variable, property FROM declared WHERE variable NOT IN (SELECT variable FROM facts)""")
 def declared_without_data(spark, folder):
-    early = _part_facts(spark, folder).where("timestamp < timestamp_ntz '1995-03-01 00:00:00'")
-    return relational.without_data(_gold(spark, folder)[0], early)
+    """Names with a type instead of a brand have no facts."""
+    part = table(spark, folder, "part")
+    other = part.select(F.concat_ws(" ", "p_name", "p_type").alias("variable"), F.concat(F.lit("http://example.org/property/"), "p_brand").alias("property"))
+    declared = _gold(spark, folder)[0].union(other).distinct()
+    return relational.without_data(declared, _part_facts(spark, folder))
 
 
 @query(f"WITH {FACTS_SQL} SELECT variable, rank, event_id, ts, site, device, device_type, value FROM (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY ts, event_id) AS rank FROM facts) WHERE rank <= 3")

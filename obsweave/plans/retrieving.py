@@ -85,13 +85,13 @@ def corpus_statistics(spark, folder):
 
 @query(f"{_WITH} SELECT query_id, source, uri, rank, round(score, 6) AS score FROM bm25 WHERE rank <= {K}")
 def bm25_topk(spark, folder):
-    top = _ranker(spark, folder).top(K).where("mode = 'bm25'")
+    top = _ranker(spark, folder).top(K, ("bm25",))
     return top.select("query_id", "source", "uri", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"{_WITH} SELECT query_id, source, uri, rank, round(0 - score, 6) AS distance FROM dense WHERE rank <= {K}")
 def dense_topk(spark, folder):
-    top = _ranker(spark, folder).top(K).where("mode = 'dense'")
+    top = _ranker(spark, folder).top(K, ("dense",))
     return top.select("query_id", "source", "uri", "rank", F.round(0.0 - F.col("score"), 6).alias("distance"))
 
 
@@ -120,11 +120,11 @@ def gold_rank(spark, folder):
     return retrieve.gold_ranks(_ranker(spark, folder), gold(spark, folder), 50)
 
 
-@query(f"{_WITH}, {_GOLD_RANKS}, ks(k) AS (VALUES {', '.join(f'({k})' for k in fixed.RECALL_DEPTHS)}) SELECT mode, k, count_if(rank <= k)::BIGINT AS hits, (SELECT count(*) FROM gold) AS n, round(count_if(rank <= k) / (SELECT count(*) FROM gold), 6) AS recall FROM gr, ks GROUP BY ALL")
+@query(f"{_WITH}, {_GOLD_RANKS}, ks(k) AS (VALUES {', '.join(f'({k})' for k in fixed.RECALL_DEPTHS)}) SELECT m.mode, k, count_if(rank <= k)::BIGINT AS hits, (SELECT count(*) FROM gold) AS n, round(count_if(rank <= k) / (SELECT count(*) FROM gold), 6) AS recall FROM (VALUES ('bm25'), ('dense'), ('hybrid')) m(mode), ks LEFT JOIN gr ON gr.mode = m.mode GROUP BY m.mode, k")
 def recall_at_k(spark, folder):
     wanted = gold(spark, folder)
     ranks = retrieve.gold_ranks(_ranker(spark, folder), wanted, max(fixed.RECALL_DEPTHS))
-    return retrieve.recall_at(ranks, wanted, ["mode"]).withColumn("recall", F.round("recall", 6))
+    return retrieve.recall_at(ranks, wanted, ["mode"], modes=["bm25", "dense", "hybrid"]).withColumn("recall", F.round("recall", 6))
 
 
 @query(f"""{_WITH}, menu AS (SELECT query_id, source, uri, rank, round(coalesce(0 - d, 1), 3) AS distance FROM fused WHERE rank <= {K}),

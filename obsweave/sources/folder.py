@@ -49,6 +49,11 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     return listed.select("path", _relative(F.col("path"), _root_uri(spark, root)).alias("file"), "length", kind.alias("kind"))
 
 
+def _any_case(extensions: list[str]) -> str:
+    """Glob of names with one of the extensions, whatever the case of each letter."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in extensions) + "}"
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -168,7 +173,8 @@ def dialects(head: DataFrame) -> DataFrame:
     found = found.withColumn("header_rows", header_rows(F.col("lines"), F.col("sep")))
     return found.select(
         "path", "file", "encoding", "sep", "header_rows",
-        column_names("lines", "sep", "header_rows").alias("names"),
+        # blank lines are no header, as they are no rows
+        column_names(F.filter("lines", lambda x: F.trim(x) != ""), "sep", "header_rows").alias("names"),
     )
 
 
@@ -183,6 +189,25 @@ def _cells(line: Column, sep: str) -> Column:
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 
+def _leaves_quote_open(line: Column, sep: str) -> Column:
+    """Whether a line that begins outside quotes ends within a quoted cell."""
+    cell = f'(?:"(?:[^"]|"")*"[^{sep}]*|[^"{sep}][^{sep}]*|)'
+    return F.contains(line, F.lit('"')) & ~line.rlike(f"^{cell}(?:{sep}{cell})*$")
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _records(lines: pd.Series, sep: pd.Series) -> pd.Series:
+    """Records of a whole file whose cells hold line breaks."""
+    return pd.Series([list(csv.reader([f"{x}\n" for x in own], delimiter=s)) for own, s in zip(lines, sep)])
+
+
+def _whole_records(rows: DataFrame) -> DataFrame:
+    """(file, header_rows, names, _line, cells) of the files with line breaks in quoted cells; a file is read by one task."""
+    text = F.transform(F.array_sort(F.collect_list(F.struct("_line", "_text"))), lambda x: x["_text"])
+    files = rows.groupBy("file", "header_rows", "names", "sep").agg(text.alias("_lines"))
+    return files.select("file", "header_rows", "names", F.posexplode(_records("_lines", "sep")).alias("_line", "cells"))
+
+
 def raw_rows(spark: SparkSession, root: str, found: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Rows of all tables as (file, row, names, cells), in one scan whatever their dialects.
 
@@ -190,8 +215,7 @@ def raw_rows(spark: SparkSession, root: str, found: DataFrame, max_rows: int | N
     headers share the scan. The lines are written once to the shared folder, then get their position in
     the file (see `number_lines`): both passes then see the same blocks.
     """
-    globs = ",".join(fixed.TABLE_EXTENSIONS + [e.upper() for e in fixed.TABLE_EXTENSIONS])
-    scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + globs + "}").text(root)
+    scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(fixed.TABLE_EXTENSIONS)).text(root)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = F.regexp_replace(path, "^file:/+", "file:/")
     lines = scan.where(F.trim("value") != "").select(
@@ -200,18 +224,26 @@ def raw_rows(spark: SparkSession, root: str, found: DataFrame, max_rows: int | N
     )
     numbered = number_lines(staged(lines, "lines"), "_line")
     rows = join_small(numbered, found.select("file", "encoding", "sep", "header_rows", "names"), "file", "inner")
-    line = F.when(F.col("encoding") == "latin-1", F.decode("line", "ISO-8859-1")).otherwise(
-        F.make_valid_utf8(F.col("line").cast("string"))
-    )
+    # a line that is no UTF-8 keeps its characters, though the head of its file said otherwise
+    text = F.col("line").cast("string")
+    line = F.when((F.col("encoding") == "latin-1") | ~F.is_valid_utf8(text), F.decode("line", "ISO-8859-1")).otherwise(text)
     tab, semi, comma = fixed.SEPARATORS
     cells = (
         F.when(F.col("sep") == tab, _cells(F.col("_text"), tab))
         .when(F.col("sep") == semi, _cells(F.col("_text"), semi))
         .otherwise(_cells(F.col("_text"), comma))
     )
-    rows = rows.where(F.col("_line") >= F.col("header_rows")).withColumn("_text", line)
+    rows = rows.withColumn("_text", line)
+    left_open = F.lit(False)
+    for s in fixed.SEPARATORS:
+        left_open = left_open | ((F.col("sep") == s) & _leaves_quote_open(F.col("_text"), s))
+    broken = staged(rows.where(left_open).select("file").distinct(), "open-quotes")
+    plain = join_small(rows, broken, "file", "left_anti").withColumn("cells", cells)
+    columns = ["file", "header_rows", "names", "_line", "cells"]
+    rows = plain.select(*columns).unionByName(_whole_records(join_small(rows, broken, "file", "left_semi")).select(*columns))
+    rows = rows.where(F.col("_line") >= F.col("header_rows"))
     padded = F.transform("names", lambda n, i: F.get(F.col("cells"), i))
-    rows = rows.withColumn("cells", cells).select(
+    rows = rows.select(
         "file", (F.col("_line") - F.col("header_rows")).alias("row"), "names",
         F.transform(padded, known).alias("cells"),
     )
@@ -222,7 +254,7 @@ def companions(spark: SparkSession, root: str) -> DataFrame:
     """(file, source, text) of the readable companion files that are not empty."""
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{" + ",".join(fixed.TEXT_EXTENSIONS + [e.upper() for e in fixed.TEXT_EXTENSIONS]) + "}")
+        .option("pathGlobFilter", _any_case(fixed.TEXT_EXTENSIONS))
         .load(root)
     )
     valid = F.make_valid_utf8(F.col("content").cast("string"))

@@ -161,3 +161,39 @@ def test_listing_reads_no_content(spark, root):
     root("f.csv", "a,b\n1,2\n")
     plan = folder.discover(spark, root.path)._jdf.queryExecution().executedPlan().toString()
     assert "content:binary" not in plan
+
+
+def test_no_file_and_no_row_is_lost(spark, root):
+    root("a.Csv", "x,y\n1,2\n")
+    root("blank.csv", "\nx,y\n1,2\n")
+    root("late.csv", "x,y\n" + "1,2\n" * 5000 + "µ,1\n", "latin-1")
+    root("notes.Md", "text")
+    found = folder.dialects(folder.heads(folder.discover(spark, root.path).where("kind = 'table'")))
+    rows = folder.raw_rows(spark, root.path, found)
+    got = {(r["file"], r["row"]): (r["names"], r["cells"]) for r in rows.where("row = 0 or row = 5000").collect()}
+    assert got["a.Csv", 0] == got["blank.csv", 0] == (["x", "y"], ["1", "2"])
+    assert got["late.csv", 5000][1] == ["µ", "1"]
+    assert [r["source"] for r in folder.companions(spark, root.path).collect()] == ["notes.Md"]
+
+
+def test_cells_with_line_breaks(spark, root):
+    root("q.csv", 'time,note,v\n2020-01-01,"two\nlines, ""quoted""",1\n2020-01-02,5" pipe,2\n2020-01-03,"x\ny\nz",3\n')
+    root("p.csv", 'time,note,v\n2020-01-01,5" pipe,1\n2020-01-02,"a,b",2\n')
+    found = folder.dialects(folder.heads(folder.discover(spark, root.path).where("kind = 'table'")))
+    got = {(r["file"], r["row"]): r["cells"] for r in folder.raw_rows(spark, root.path, found).collect()}
+    assert got == {
+        ("q.csv", 0): ["2020-01-01", 'two\nlines, "quoted"', "1"], ("q.csv", 1): ["2020-01-02", '5" pipe', "2"], ("q.csv", 2): ["2020-01-03", "x\ny\nz", "3"],
+        ("p.csv", 0): ["2020-01-01", '5" pipe', "1"], ("p.csv", 1): ["2020-01-02", "a,b", "2"],
+    }
+
+
+def test_profile_reads_all_rows_and_lost_values_are_counted(spark, root):
+    from obsweave.operators import profile
+
+    root("long.csv", "level,late\n" + "1.5,7\n" * 100_500 + "n1,8\n99.5,x\n")
+    found = build.profile_folder(spark, root.path, "d")
+    got = {r["column"]: r for r in found.columns.collect()}
+    assert got["level"]["max"] == 99.5 and found.files.first()["row_count"] == 100_502
+    lost = {r["column"]: (r["present"], r["lost"]) for r in profile.values_lost(found.rows, found.columns, found.files).collect()}
+    assert lost == {"level": (100_502, 1), "late": (100_502, 1)}
+    assert found.columns.schema["ord"].dataType.typeName() == "long"

@@ -34,7 +34,7 @@ def test_site_metadata(rows):
     doc = json.loads(relational.site_metadata(files, devices, variables, rows("site string, description string", ("s", "here")), special).first()["metadata"])
     assert doc == {
         "site": {"site": "s", "description": "here"},
-        "devices": [{"device": "d", "serial": None, "description": "x", "device_type": "k", "special_values": [{"value": -1.0, "meaning": "off"}]}],
+        "devices": [{"device": "d", "file": "d.csv", "serial": None, "description": "x", "device_type": "k", "type_description": None, "manufacturer": None, "special_values": [{"value": -1.0, "meaning": "off"}]}],
         "variables": [{"variable": "h", "unit": "m", "description": "level"}, {"variable": "q", "unit": "l/s", "description": None}],
     }
 

@@ -138,10 +138,12 @@ class Reader(DataSourceReader):
 
     def partitions(self):
         where, folder = store(self.path)
-        found = where.get_file_info(fs.FileSelector(folder, recursive=True))
+        found = where.get_file_info(fs.FileSelector(folder, recursive=True, allow_not_found=True))
         return [Archive(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith((".warc", ".warc.gz"))]
 
-    def read(self, partition: Archive):
+    def read(self, partition: Archive | None):
+        if partition is None:  # what Spark hands over where there are no partitions
+            return
         where, _ = store(self.path)
         with where.open_input_file(partition.path) as f:
             for offset, head, rest in records(f, partition.path.endswith(".gz")):

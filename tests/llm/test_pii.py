@@ -27,7 +27,7 @@ def test_values_are_gone_in_their_format_and_linked(done):
     new = done[1]["text"]
     for old in ("bosbt", "4041894974608795", "4111 1111", "988", "70.123.182.155", "1985-02-28", "02/28/1985", "28.02.1985", "123-45-6789", "MD62HKU6", "e3b3ed3c", "0641917ea4e9"):
         assert old not in new
-    shape = lambda t: re.sub(r"\d", "9", t)
+    shape = lambda t: re.sub(r"\d", "9", re.sub(r"\d+\.\d+\.\d+\.\d+", "ip", t))
     assert shape(new).split("card")[1].split("key")[0] == shape(TEXT).split("card")[1].split("key")[0]
     cards = [x["pseudonym"] for x in done[1]["found"] if x["kind"] == "card"]
     assert len(cards) == 2 and all(map(luhn, cards))

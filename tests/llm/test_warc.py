@@ -59,5 +59,4 @@ def test_plain_and_foreign_archives(spark, tmp_path):
 def test_no_pages(spark, rows, tmp_path):
     path = str(tmp_path / "none")
     warc.archive_pages(rows("page_id long, url string, html string", (1, "u", "h")).limit(0), path)
-    (tmp_path / "none").mkdir(exist_ok=True)
     assert warc.read_archives(spark, path).count() == 0

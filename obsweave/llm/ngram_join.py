@@ -11,8 +11,8 @@ Before the index is built, texts leave it that cannot have a partner or have one
    same number may be missing in that part. Tasks first settle what they see twice themselves, so a shingle sends one
    entry per task.
 2. Equal sets are one class under their smallest id.
-3. Each class is compared with the smallest one that shares its least shingle, for a few orders of shingles. Groups of near
-   copies fall together so, with one comparison per member and order.
+3. Each class is compared with the most typical one that shares its least shingle, for a few orders of shingles. Groups of
+   near copies fall together so, with one comparison per member and order.
 4. Only links between components of 3. are still wanted: shingles of a single component count as missing, and the test
    of 1. is made again. What remains is indexed, and pairs of different components are verified.
 
@@ -36,12 +36,12 @@ from obsweave.session import ship, staged
 
 SHARE = 4  # one shingle of so many takes part in the tests of 1. and 4.
 DOCS_PER_BUCKET = 8_000
-SENT = 1 << 21  # entries that a task gathers before it sends them
+SENT = 1 << 20  # entries that a task gathers before it sends them
 BROADCAST_IDS = 2_000_000
 FREQUENT = 64
 # With more shingles than may be missing than this, pairs would outnumber what they save; texts near the border are indexed both ways.
 PAIRS_UP_TO = 64
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 ORDERS = 3
 
 _HASHES: dict[bytes, int] = {}
@@ -203,10 +203,13 @@ def least_shingles(reps: DataFrame) -> DataFrame:
     return reps.select("id", "n", "set").mapInArrow(run, f"order int, h long, id {kind}, n long")
 
 
-def star_pairs(reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set with the smallest id among those that share a least shingle."""
-    heads = staged(least_shingles(reps), "ngram-least")
-    centres = heads.groupBy("order", "h").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
+def star_pairs(reps: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each set with the most typical one among those that share a least shingle: least alone, then smallest id.
+
+    `alone`: (id, alone), the share of a set's tested shingles that no other set has.
+    """
+    heads = staged(least_shingles(reps).join(alone, "id"), "ngram-least")
+    centres = heads.groupBy("order", "h").agg(F.min(F.struct("alone", "id", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
     pairs = heads.join(centres, ["order", "h"]).where("id <> c.id").where(close_in_size("n", "c.n", percent))
     return pairs.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
 
@@ -232,56 +235,53 @@ def in_several(tokens: DataFrame) -> DataFrame:
 
 
 def signatures(tokens: DataFrame, percent: int) -> DataFrame:
-    """(id, n, component, mode, s1, s2): single rare and pairs of frequent shingles of each prefix.
+    """(id, n, m, component, larger, mode, s1, s2): single rare and pairs of frequent shingles of each prefix.
 
-    `tokens`: (id, n, component, h, df), shingles of several components only; the others count as missing.
+    `tokens`: (id, n, component, h, df), shingles of several components only; the others, n - m, count as missing.
+    A set may miss more of a smaller partner's shingles than of one that is not smaller. So it has a full prefix to be
+    the larger of two (`larger`), and a shorter one to be the smaller; with too much missing it can only be the larger.
     """
     kind, comp = (tokens.schema[c].dataType.simpleString() for c in ("id", "component"))
     lists = tokens.groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
-    lists = lists.select("id", "n", "component", F.col("t.df").alias("df"), F.col("t.h").alias("h"))
+    lists = lists.select("id", "n", F.size("t").cast("long").alias("m"), "component", F.col("t.df").alias("df"), F.col("t.h").alias("h"))
 
     def run(batches):
         for batch in slices(batches, 64):
-            owner, mode, one, two = [], [], [], []
-            for i, (n, df, h) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)))):
+            owner, larger, mode, one, two = [], [], [], [], []
+            for i, (n, df, h) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 4, 5)))):
                 may = n - -(-percent * n // 100)
-                lost = may - (n - len(h))
-                if lost < 0:
-                    continue
                 rare = sum(x <= FREQUENT for x in df)
-                if may * percent <= PAIRS_UP_TO * 100:
-                    take = h[:lost + 1] if rare > lost else h[:rare]
-                    frequent = [] if rare > lost else h[rare:lost + 2]
-                    owner += [i] * len(take)
-                    mode += [0] * len(take)
-                    one += take
-                    two += [0] * len(take)
-                    for k, x in enumerate(frequent):
-                        rest = frequent[k + 1:]
-                        owner += [i] * len(rest)
-                        mode += [1] * len(rest)
-                        one += [x] * len(rest)
-                        two += rest
-                if may * 100 >= PAIRS_UP_TO * percent:
-                    take = h[:lost + 1]
-                    owner += [i] * len(take)
-                    mode += [2] * len(take)
-                    one += take
-                    two += [0] * len(take)
+                for role, bound in ((True, may), (False, n - -(-2 * percent * n // (100 + percent)))):
+                    lost = bound - (n - len(h))
+                    if lost < 0:
+                        continue
+                    rows = []
+                    if may * percent <= PAIRS_UP_TO * 100:
+                        frequent = [] if rare > lost else h[rare:lost + 2]
+                        rows += [(0, x, 0) for x in h[:min(rare, lost + 1)]]
+                        rows += [(1, x, y) for k, x in enumerate(frequent) for y in frequent[k + 1:]]
+                    if may * 100 >= PAIRS_UP_TO * percent:
+                        rows += [(2, x, 0) for x in h[:lost + 1]]
+                    owner += [i] * len(rows)
+                    larger += [role] * len(rows)
+                    mode += [x[0] for x in rows]
+                    one += [x[1] for x in rows]
+                    two += [x[2] for x in rows]
             at = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(at) for k in range(3)), pa.array(mode, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
-                names=["id", "n", "component", "mode", "s1", "s2"])
+                [*(batch.column(k).take(at) for k in range(4)), pa.array(larger, pa.bool_()), pa.array(mode, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
+                names=["id", "n", "m", "component", "larger", "mode", "s1", "s2"])
 
-    return lists.mapInArrow(run, f"id {kind}, n long, component {comp}, mode int, s1 long, s2 long")
+    return lists.mapInArrow(run, f"id {kind}, n long, m long, component {comp}, larger boolean, mode int, s1 long, s2 long")
 
 
 def index_pairs(found: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets of different components that share a signature."""
+    """(a, b): sets of different components that share a signature, and whose sizes and shared shingles allow a link."""
     mine = [F.col(c).alias(c) for c in ("mode", "s1", "s2")]
-    left = found.select(*mine, *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "component")))
-    right = found.select(*mine, *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "component")))
-    pairs = left.join(right, ["mode", "s1", "s2"]).where("a_component <> b_component and a_id < b_id").where(close_in_size("a_n", "b_n", percent))
+    left = found.where("not larger").select(*mine, *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "m", "component")))
+    right = found.where("larger").select(*mine, *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "m", "component")))
+    enough = F.expr(f"{percent} * (a_n + b_n) <= {100 + percent} * least(a_m, b_m)")
+    pairs = left.join(right, ["mode", "s1", "s2"]).where("a_component <> b_component and (a_n < b_n or a_n = b_n and a_id < b_id)").where(enough)
     return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
@@ -304,7 +304,8 @@ def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
     reps = staged(reps.select("id", "n", "sig", "set"), "ngram-reps")
     # ids of one class are one node; an id with several sets joins their classes
     joint = sets.join(classes, "sig").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    links = staged(verified(star_pairs(reps, percent), reps, percent), "ngram-stars")
+    alone = counted.where("n > 0").groupBy("id").agg(F.min((F.col("part") - F.col("shared")) / F.greatest("part", F.lit(1))).alias("alone"))
+    links = staged(verified(star_pairs(reps, alone, percent), reps, percent), "ngram-stars")
     first = components(links.union(joint), "ngram")
     grouped = reps.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     tested = tokens_of(grouped, whole=False)

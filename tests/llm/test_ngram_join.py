@@ -62,7 +62,7 @@ def test_components_equal_brute_force(rows, monkeypatch, size, percent, frequent
 
 def test_index_finds_links_without_stars(spark, rows, monkeypatch):
     """With no first comparison everything must come from the prefixes."""
-    monkeypatch.setattr(ngram_join, "star_pairs", lambda reps, percent: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(ngram_join, "star_pairs", lambda reps, alone, percent: spark.createDataFrame([], "a long, b long"))
     monkeypatch.setattr(ngram_join, "FREQUENT", 2)
     docs = near_copies()
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in join(rows("doc_id long, text string", *docs)).collect()}

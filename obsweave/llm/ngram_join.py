@@ -88,8 +88,8 @@ def some(hashes: np.ndarray) -> np.ndarray:
     return hashes[(hashes >> np.uint64(17)) % np.uint64(SHARE) == 0]
 
 
-def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
-    """(id, n, part, shared): for each row of `sets`, how many of its `part` tested shingles other rows hold too."""
+def shared_counts(sets: DataFrame, buckets: int, whole: bool = False) -> DataFrame:
+    """(id, n, part, shared): for each row of `sets`, how many of its `part` tested (or all) shingles other rows hold too."""
     kind = sets.schema["id"].dataType.simpleString()
 
     def send(batches):
@@ -132,7 +132,8 @@ def shared_counts(sets: DataFrame, buckets: int) -> DataFrame:
             id_type = batch.column(0).type
             for i, n, s in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 rows.append((task + number, i, n))
-                tested.append(some(np.frombuffer(s, np.uint64)))
+                hashes = np.frombuffer(s, np.uint64)
+                tested.append(hashes if whole else some(hashes))
                 size, number = size + len(tested[-1]), number + 1
             if size > SENT:
                 yield from out()
@@ -206,7 +207,7 @@ def least_shingles(reps: DataFrame) -> DataFrame:
 def star_pairs(reps: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
     """(a, b): each set with the most typical one among those that share a least shingle: least alone, then smallest id.
 
-    `alone`: (id, alone), the share of a set's tested shingles that no other set has.
+    `alone`: (id, alone), the number of a set's shingles that no other set has.
     """
     heads = staged(least_shingles(reps).join(alone, "id"), "ngram-least")
     centres = heads.groupBy("order", "h").agg(F.min(F.struct("alone", "id", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -235,11 +236,12 @@ def in_several(tokens: DataFrame) -> DataFrame:
 
 
 def signatures(tokens: DataFrame, percent: int) -> DataFrame:
-    """(id, n, m, component, larger, mode, s1, s2): single rare and pairs of frequent shingles of each prefix.
+    """(id, n, m, component, larger, reach, mode, s1, s2): single rare and pairs of frequent shingles of each prefix.
 
     `tokens`: (id, n, component, h, df), shingles of several components only; the others, n - m, count as missing.
     A set may miss more of a smaller partner's shingles than of one that is not smaller. So it has a full prefix to be
     the larger of two (`larger`), and a shorter one to be the smaller; with too much missing it can only be the larger.
+    The prefix for a given partner ends where nothing more may be missing: `reach` is the largest partner that needs a signature.
     """
     kind, comp = (tokens.schema[c].dataType.simpleString() for c in ("id", "component"))
     lists = tokens.groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("t"))
@@ -247,7 +249,7 @@ def signatures(tokens: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, 64):
-            owner, larger, mode, one, two = [], [], [], [], []
+            owner, larger, reach, mode, one, two = [], [], [], [], [], []
             for i, (n, df, h) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 4, 5)))):
                 may = n - -(-percent * n // 100)
                 rare = sum(x <= FREQUENT for x in df)
@@ -258,29 +260,31 @@ def signatures(tokens: DataFrame, percent: int) -> DataFrame:
                     rows = []
                     if may * percent <= PAIRS_UP_TO * 100:
                         frequent = [] if rare > lost else h[rare:lost + 2]
-                        rows += [(0, x, 0) for x in h[:min(rare, lost + 1)]]
-                        rows += [(1, x, y) for k, x in enumerate(frequent) for y in frequent[k + 1:]]
+                        rows += [(0, x, 0, k) for k, x in enumerate(h[:min(rare, lost + 1)])]
+                        rows += [(1, x, y, rare + k + j) for k, x in enumerate(frequent) for j, y in enumerate(frequent[k + 1:])]
                     if may * 100 >= PAIRS_UP_TO * percent:
-                        rows += [(2, x, 0) for x in h[:lost + 1]]
+                        rows += [(2, x, 0, k) for k, x in enumerate(h[:lost + 1])]
                     owner += [i] * len(rows)
                     larger += [role] * len(rows)
+                    reach += [(100 + percent) * (len(h) - x[3]) // percent - n for x in rows]
                     mode += [x[0] for x in rows]
                     one += [x[1] for x in rows]
                     two += [x[2] for x in rows]
             at = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(at) for k in range(4)), pa.array(larger, pa.bool_()), pa.array(mode, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64())],
-                names=["id", "n", "m", "component", "larger", "mode", "s1", "s2"])
+                [*(batch.column(k).take(at) for k in range(4)), pa.array(larger, pa.bool_()), pa.array(reach, pa.int64()), pa.array(mode, pa.int32()),
+                 pa.array(one, pa.int64()), pa.array(two, pa.int64())],
+                names=["id", "n", "m", "component", "larger", "reach", "mode", "s1", "s2"])
 
-    return lists.mapInArrow(run, f"id {kind}, n long, m long, component {comp}, larger boolean, mode int, s1 long, s2 long")
+    return lists.mapInArrow(run, f"id {kind}, n long, m long, component {comp}, larger boolean, reach long, mode int, s1 long, s2 long")
 
 
 def index_pairs(found: DataFrame, percent: int) -> DataFrame:
     """(a, b): sets of different components that share a signature, and whose sizes and shared shingles allow a link."""
     mine = [F.col(c).alias(c) for c in ("mode", "s1", "s2")]
-    left = found.where("not larger").select(*mine, *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "m", "component")))
-    right = found.where("larger").select(*mine, *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "m", "component")))
-    enough = F.expr(f"{percent} * (a_n + b_n) <= {100 + percent} * least(a_m, b_m)")
+    left = found.where("not larger").select(*mine, *(F.col(c).alias(f"a_{c}") for c in ("id", "n", "m", "component", "reach")))
+    right = found.where("larger").select(*mine, *(F.col(c).alias(f"b_{c}") for c in ("id", "n", "m", "component", "reach")))
+    enough = F.expr(f"b_n <= a_reach and a_n <= b_reach and {percent} * (a_n + b_n) <= {100 + percent} * least(a_m, b_m)")
     pairs = left.join(right, ["mode", "s1", "s2"]).where("a_component <> b_component and (a_n < b_n or a_n = b_n and a_id < b_id)").where(enough)
     return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
 
@@ -304,7 +308,8 @@ def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str =
     reps = staged(reps.select("id", "n", "sig", "set"), "ngram-reps")
     # ids of one class are one node; an id with several sets joins their classes
     joint = sets.join(classes, "sig").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    alone = counted.where("n > 0").groupBy("id").agg(F.min((F.col("part") - F.col("shared")) / F.greatest("part", F.lit(1))).alias("alone"))
+    alone = shared_counts(reps.select("id", "n", "set"), buckets, whole=True).select("id", (F.col("n") - F.col("shared")).alias("alone"))
+    alone = alone.groupBy("id").agg(F.min("alone").alias("alone"))
     links = staged(verified(star_pairs(reps, alone, percent), reps, percent), "ngram-stars")
     first = components(links.union(joint), "ngram")
     grouped = reps.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -36,7 +36,7 @@ CLASSES = HEAD // WIDTH + TAILS
 START = HEAD + TAILS
 ROWS = 1 << 14  # of either weight table
 FEATURES = 5
-CHUNK, STEP = 4096, 2048
+CHUNK, STEP = 2048, 4096
 # A word is frequent, and its count broadcast, if it makes up this share of the training tokens: so many can be at most 1 / share.
 FREQUENT = 1e-5
 REMEMBERED = 600_000
@@ -169,12 +169,28 @@ def inner_rows(features: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return rows
 
 
-def log_softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = table[rows[:, 0]]
+def sums_of(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of rows of the table, shifted to a largest value of 0 each."""
+    z = np.take(table, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        z += table[rows[:, k]]
+        z += np.take(table, rows[:, k], axis=0)
     z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def softmax(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = sums_of(table, rows)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def log_softmax_at(table: np.ndarray, rows: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Log probability of one place of each row."""
+    z = sums_of(table, rows)
+    chosen = z[np.arange(len(z)), right]
+    np.exp(z, out=z)
+    return chosen - np.log(z.sum(1))
 
 
 def contexts(units: list[np.ndarray]):
@@ -186,6 +202,21 @@ def contexts(units: list[np.ndarray]):
     return row[at], row[at - 1], row[at - 2], row[at - 3]
 
 
+def run_sums(values: np.ndarray, first: np.ndarray, lengths: np.ndarray, turns: int = 8) -> np.ndarray:
+    """Sums over runs of rows: short runs all at once, a row a turn, and what is left of the long ones one by one."""
+    by = np.argsort(-lengths, kind="stable")
+    start, size = first[by], lengths[by]
+    sums = np.take(values, start, axis=0)
+    for turn in range(1, turns):
+        n = np.searchsorted(-size, -turn)
+        sums[:n] += np.take(values, start[:n] + turn, axis=0)
+    for i in range(np.searchsorted(-size, -turns)):
+        sums[i] += values[start[i] + turns:start[i] + size[i]].sum(0)
+    out = np.empty_like(sums)
+    out[by] = sums
+    return out
+
+
 class Learner:
     """Gradient steps with step sizes that fall by what each weight has seen."""
 
@@ -195,14 +226,26 @@ class Learner:
         self.used = [np.zeros(len(t), np.int64) for t in tables]
 
     def step(self, k: int, rows: np.ndarray, right: np.ndarray) -> None:
-        p = np.exp(log_softmax(self.tables[k], rows))
+        p = softmax(self.tables[k], rows)
         p[np.arange(len(p)), right] -= 1
-        flat = rows.ravel()
+        # the constant's rows are few and come first: a product with indicators sums their changes
+        few = 1 if k == 0 else HEAD // WIDTH
+        own = (np.arange(few)[:, None] == rows[:, 0]).astype(np.float32)
+        flat = rows[:, 1:].ravel().astype(np.uint16)  # which sort by digits
         order = np.argsort(flat, kind="stable")
-        row, first, times = np.unique(flat[order], return_index=True, return_counts=True)
-        change = np.add.reduceat(p[order // rows.shape[1]], first, axis=0)
-        self.seen[k][row] += change * change
-        self.tables[k][row] -= self.rate * change / np.sqrt(self.seen[k][row])
+        flat = flat[order].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        lengths = np.diff(np.append(first, len(flat)))
+        row = np.concatenate([np.arange(few), flat[first]])
+        times = np.concatenate([own.sum(1).astype(np.int64), lengths])
+        change = np.concatenate([own @ p, run_sums(np.take(p, order // (FEATURES - 1), axis=0), first, lengths)])
+        seen = self.seen[k][row]
+        seen += change * change
+        self.seen[k][row] = seen
+        np.sqrt(seen, out=seen)
+        change /= seen
+        change *= self.rate
+        self.tables[k][row] -= change
         self.used[k][row] += times
 
     def learn(self, units: list[np.ndarray]) -> None:
@@ -288,11 +331,10 @@ def scored_parts(docs: DataFrame, words: Words, tables: list[np.ndarray]) -> Dat
                 features, word = feature_rows(u1[s:e], u2[s:e], u3[s:e]), now[s:e]
                 head = word < HEAD
                 classes = np.where(head, word // WIDTH, word - HEAD + HEAD // WIDTH)
-                logs[s:e] += log_softmax(table, features)[np.arange(len(word)), classes] / math.log(10)
+                logs[s:e] += log_softmax_at(table, features, classes) / math.log(10)
                 if head.any():
-                    found = log_softmax(inner, inner_rows(features[head], classes[head]))
-                    logs[s:e][head] += found[np.arange(len(found)), word[head] % WIDTH] / math.log(10)
-            rare = [Counter(w for w, r in zip(t, c >= n_often) if r) for t, c in zip(texts, codes)]
+                    logs[s:e][head] += log_softmax_at(inner, inner_rows(features[head], classes[head]), word[head] % WIDTH) / math.log(10)
+            rare = [Counter([t[i] for i in np.flatnonzero(c >= n_often).tolist()]) for t, c in zip(texts, codes)]
             yield pa.RecordBatch.from_arrays([
                 pa.array((part << 33) + number + np.arange(len(texts))), batch.column(0), batch.column(1), pa.array(lengths),
                 pa.array(np.add.reduceat((every < n_often).astype(np.int64), firsts)), pa.array(np.add.reduceat(often_log[every], firsts)),
@@ -304,7 +346,7 @@ def scored_parts(docs: DataFrame, words: Words, tables: list[np.ndarray]) -> Dat
     return docs.mapInArrow(run, f"row long, id {kind}, out boolean, n_tokens long, n_often long, often_log double, part_log double, rare array<long>, times array<int>")
 
 
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 0.1, seed: int = 11) -> DataFrame:
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, rate: float = 0.3, seed: int = 11) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text)."""
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("out"), F.col(text_col).alias("text"))
     learned = rows.where("not out")

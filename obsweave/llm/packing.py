@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import struct
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -29,7 +31,9 @@ from obsweave.llm.common import slices
 from obsweave.session import ship, staged
 
 # Words whose ids a Python worker remembers at most; then it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+
+_PUNCTUATED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 
 _LOADED: dict = {}
 
@@ -49,10 +53,16 @@ def word_ids(path: str, texts: list[str]) -> list[bytes]:
     if len(known) > REMEMBERED:
         known.clear()
     split = [(raw if b"<|" in raw else raw.lower()).split() for raw in (t.encode() for t in texts)]
-    new = list({w for words in split for w in words if w not in known})
-    for word, coded in zip(new, tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-        known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+    found = [list(map(known.get, words)) for words in split]
+    new = list({w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None})
+    # punctuation after a letter is a token of its own, so such words consist of two that may be known
+    parts = {w: m.groups() for w in new if (m := _PUNCTUATED.fullmatch(w)) and m[1].decode()[-1].isalpha()}
+    bare = list({x for w in new for x in parts.get(w, (w,)) if x not in known})
+    for word, coded in zip(bare, tokenizer.encode_batch_fast([w.decode() for w in bare], add_special_tokens=False)):
+        ids = coded.ids
+        known[word] = struct.pack(f"<{len(ids)}I", *ids)
+    known.update({w: known[x] + known[y] for w, (x, y) in parts.items()})
+    return [b"".join([known[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
 
 
 @dataclass

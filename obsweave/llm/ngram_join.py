@@ -41,7 +41,7 @@ BROADCAST_IDS = 2_000_000
 FREQUENT = 64
 # With more shingles than may be missing than this, pairs would outnumber what they save; texts near the border are indexed both ways.
 PAIRS_UP_TO = 64
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 ORDERS = 3
 
 _HASHES: dict[bytes, int] = {}
@@ -79,6 +79,7 @@ def shingled(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
             sets = [shingle_hashes(t, size) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "set"])
+        _HASHES.clear()  # workers outlive their tasks
 
     return rows.mapInArrow(run, f"id {kind}, n long, set binary")
 

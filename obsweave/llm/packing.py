@@ -31,7 +31,7 @@ from obsweave.llm.common import slices
 from obsweave.session import ship, staged
 
 # Words whose ids a Python worker remembers at most; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 _PUNCTUATED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -206,6 +206,7 @@ def tokenized(docs: DataFrame, path: str, end: int, size: int, id_col: str, text
                 [batch.column(0), pa.array(n, pa.int64()), pa.array([x % size for x in n], pa.int32()), pa.array([part] * len(n), pa.int64()),
                  pa.array(numbers, pa.int64()), pa.array(fulls, pa.int64()), pa.array(narrow, pa.binary())],
                 names=["doc_id", "n", "tail", "part", "number", "full", "ids"])
+        _LOADED.clear()  # workers outlive their tasks
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

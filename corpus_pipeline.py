@@ -36,9 +36,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines of 40 characters or more that repeat an earlier one within two edits; documents that lose all their words go."""
+    """Cuts lines that repeat an earlier one, from 20 characters on within one edit and from 40 within two; documents that lose all their words go."""
     done = line_dedup.without_repeated_lines(docs)
-    return _sized(done.where((F.col("removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")), docs)
+    return _sized(done.where((F.col("removed_lines") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]")), docs)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

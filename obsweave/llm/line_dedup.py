@@ -5,6 +5,9 @@ line is cut into k + 1 segments, which are indexed by length and place; the subs
 that may equal a segment, given how far edits can shift it, probe the index. Hits are verified by a banded
 bit-parallel edit distance.
 
+The shorter of two lines says how many edits they may differ by: one for each full EDIT_EVERY characters, k at most.
+Below EDIT_EVERY characters only exact repeats count. These need no keys: equal lines meet by their hash in step 3.
+
 1. Tasks read lines from whole texts and send, for each distinct line and key (length, place, content of a segment), eight
    bytes and the line's number, packed by key range. Keys that an index and a probe of different lines share give
    candidate lines; most lines end here.
@@ -13,13 +16,16 @@ bit-parallel edit distance.
 3. Of each group of lines the first occurrence by document id and line number stays; later ones are removed. A line
    that repeats exactly is a group by itself.
 
-Lines under `least` characters (after trimming) always stay and are no evidence. Null and empty texts are kept as they
-are. Rows that repeat id and text are one document. A null id comes after all others. Lines are compared trimmed
+Lines of every length that hold a letter or digit take part; others do from RULE characters on. If `least` is given, lines
+under so many characters (after trimming) stay and are no evidence, and all others may differ by k edits. Null and empty
+texts are kept as they are. Rows that repeat id and text are one document. A null id comes after all others. Lines are compared trimmed
 and by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,7 +38,10 @@ from obsweave.session import ship, staged
 LINES_PER_BUCKET = 60_000
 SENT = 1 << 20  # keys that a task gathers before it sends them
 BROADCAST_LINES = 1_000_000
+EDIT_EVERY = 20  # characters of a line for each edit that it may differ by
+RULE = 40  # characters from which a line without letters and digits takes part
 _SPACE = " \t\x0b\f\r"
+_WORD = re.compile(r"[^\W_]")
 
 
 def segments(length: int, k: int) -> list[tuple[int, int]]:
@@ -113,25 +122,33 @@ def line_hash(line: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def long_lines(text: str | None, least: int):
+def part_lines(text: str | None, least: int | None):
     """(number, trimmed line) of the lines that take part."""
     for i, line in enumerate((text or "").split("\n")):
         line = line.strip(_SPACE)
-        if len(line) >= least:
+        if len(line) >= least if least is not None else len(line) >= RULE or _WORD.search(line):
             yield i, line
 
 
-def _keys(line: str, k: int, least: int):
-    """(key, is probe) of a line."""
+def edits(length: int, k: int, least: int | None) -> int:
+    """Edits that a line of this length and a longer one may differ by."""
+    return k if least is not None else min(k, length // EDIT_EVERY)
+
+
+def _keys(line: str, k: int, least: int | None):
+    """(key, is probe) of a line; none where only its exact repeats count."""
     n = len(line)
-    for i, (s, size) in enumerate(segments(n, k)):
+    own = edits(n, k, least)
+    if least is None and not own:
+        return
+    for i, (s, size) in enumerate(segments(n, own)):
         yield xxhash.xxh64_intdigest(line[s:s + size].encode(), seed=n * (k + 1) + i), False
-    for m in range(max(n - k, least), n + 1):
-        for i, s, size in probes(n, m, k):
+    for m in range(max(n - own, least or EDIT_EVERY), n + 1):
+        for i, s, size in probes(n, m, edits(m, k, least)):
             yield xxhash.xxh64_intdigest(line[s:s + size].encode(), seed=m * (k + 1) + i), True
 
 
-def shared_keys(texts: DataFrame, k: int, least: int, buckets: int) -> DataFrame:
+def shared_keys(texts: DataFrame, k: int, least: int | None, buckets: int) -> DataFrame:
     """(key, line, probe): entries of keys that an indexed and a probing line share, lines by hash. `texts`: (text)."""
     ship(texts.sparkSession)
 
@@ -152,7 +169,7 @@ def shared_keys(texts: DataFrame, k: int, least: int, buckets: int) -> DataFrame
 
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                for _, line in long_lines(text, least):
+                for _, line in part_lines(text, least):
                     h = line_hash(line)
                     if h not in seen:
                         seen.add(h)
@@ -185,14 +202,14 @@ def shared_keys(texts: DataFrame, k: int, least: int, buckets: int) -> DataFrame
     return sent.groupBy("bucket").applyInArrow(meet, "key long, line long, probe boolean").distinct()
 
 
-def occurrences(docs: DataFrame, least: int) -> DataFrame:
+def occurrences(docs: DataFrame, least: int | None) -> DataFrame:
     """(id, t, i, line): every line that takes part; t is the text's hash. `docs`: (id, text)."""
     ship(docs.sparkSession)
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in slices(batches):
-            found = [[(i, line_hash(x)) for i, x in long_lines(t, least)] for t in batch.column(1).to_pylist()]
+            found = [[(i, line_hash(x)) for i, x in part_lines(t, least)] for t in batch.column(1).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             flat = [x for f in found for x in f]
             yield pa.RecordBatch.from_arrays(
@@ -201,11 +218,11 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"id {kind}, t long, i int, line long")
 
 
-def texts_of(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+def texts_of(docs: DataFrame, lines: DataFrame, least: int | None) -> DataFrame:
     """(line, content) of the wanted lines."""
     def run(batches):
         for batch in slices(batches):
-            found = list({line_hash(x): x for t in batch.column(0).to_pylist() for _, x in long_lines(t, least)}.items())
+            found = list({line_hash(x): x for t in batch.column(0).to_pylist() for _, x in part_lines(t, least)}.items())
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.string())], names=["line", "content"])
 
     every = docs.select("text").mapInArrow(run, "line long, content string")
@@ -213,26 +230,27 @@ def texts_of(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     return every.join(wanted, "line", "left_semi").dropDuplicates(["line"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """(a, b) within k edits."""
+def verified(pairs: DataFrame, texts: DataFrame, k: int, least: int | None) -> DataFrame:
+    """(a, b) within the edits that the shorter one may differ by."""
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     def run(batches):
         for batch in slices(batches):
-            good = [within(x, y, k) <= k for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            pairs = [(x, y, edits(min(len(x), len(y)), k, least)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            good = [within(x, y, most) <= most for x, y, most in pairs]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def near_lines(docs: DataFrame, k: int, least: int, n_lines: int) -> DataFrame:
-    """(line, component) of distinct lines within k edits of another, grouped by the smallest hash reachable. `docs`: (id, text)."""
+def near_lines(docs: DataFrame, k: int, least: int | None, n_lines: int) -> DataFrame:
+    """(line, component) of distinct lines within few edits of another, grouped by the smallest hash reachable. `docs`: (id, text)."""
     buckets = max(16, -(-n_lines // LINES_PER_BUCKET))
     keys = staged(shared_keys(docs.select("text"), k, least, buckets), "lines-keys")
     texts = staged(texts_of(docs, keys.select("line").distinct(), least), "lines-texts")
     smallest = keys.groupBy("key").agg(F.min("line").alias("a"))
     stars = keys.select("key", F.col("line").alias("b")).join(smallest, "key").where("a <> b").select("a", "b").distinct()
-    links = staged(verified(stars, texts, k), "lines-stars")
+    links = staged(verified(stars, texts, k, least), "lines-stars")
     groups = components(links, "lines")
     grouped = keys.join(groups.withColumnRenamed("id", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
     several = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
@@ -240,11 +258,11 @@ def near_lines(docs: DataFrame, k: int, least: int, n_lines: int) -> DataFrame:
     left = grouped.where("not probe").select("key", F.col("line").alias("x"), F.col("component").alias("cx"))
     right = grouped.where("probe").select("key", F.col("line").alias("y"), F.col("component").alias("cy"))
     pairs = left.join(right, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = staged(verified(pairs, texts, k), "lines-links")
+    more = staged(verified(pairs, texts, k, least), "lines-links")
     return components(links.union(more), "lines-all").withColumnRenamed("id", "line")
 
 
-def repeated_lines(docs: DataFrame, k: int = 2, least: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, k: int = 2, least: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, t, i, line, component): occurrences of lines that repeat an earlier one; i counts a text's lines from 0, t is the text's hash."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     every = staged(occurrences(rows, least).distinct(), "lines-occurrences")
@@ -255,7 +273,7 @@ def repeated_lines(docs: DataFrame, k: int = 2, least: int = 40, id_col: str = "
     return every.join(firsts, "component").where(place != F.col("first")).select("id", "t", "i", "line", "component")
 
 
-def without_repeated_lines(docs: DataFrame, k: int = 2, least: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, k: int = 2, least: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with repeated lines cut out of the texts, and removed_lines (their number).
 
     A text that loses all its lines becomes empty. A column that is called removed_lines is replaced.

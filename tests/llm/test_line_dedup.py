@@ -87,3 +87,39 @@ def test_odd_documents(odd_documents, no_documents):
     assert texts[6][1] == 2 and texts[10] == ("", 3)  # the second text with these lines loses all of them
     assert sum(r["doc_id"] == 6 and r["removed_lines"] == 2 for r in done) == 2  # a repeated row is one document
     assert ld.without_repeated_lines(no_documents).count() == 0
+
+
+def test_short_lines_repeat_exactly_and_edits_follow_length(rows):
+    short, middle, long = "All rights reserved.", "Terms of use and privacy notes", "the same line of a text that is long enough"
+    docs = [
+        (1, f"{short}\nTitle\n---\n{middle}\n{long}"), (2, f"own words\n{short}\n Title \n---\n\n"), (3, f"Titles\n{middle[1:]}\n{long[2:]}"),
+        (4, f"{middle[2:]}\n{long[1:]}\nTitle"),
+    ]
+    got = {r["doc_id"]: (r["text"], r["removed_lines"]) for r in ld.without_repeated_lines(rows("doc_id long, text string", *docs)).collect()}
+    assert got[1] == (docs[0][1], 0)
+    assert got[2] == ("own words\n---\n\n", 2)  # a line without a word stays
+    assert got[3] == ("Titles", 2)
+    assert got[4] == ("", 3)  # each line is one edit from one that fell
+
+
+def test_every_length_equals_brute_force(rows):
+    random.seed(5)
+    base = ["".join(random.choices("abcd", k=random.choice([1, 3, 8, 18, 19, 20, 21, 22, 38, 39, 40, 41, 42, 43]))) for _ in range(40)]
+    docs = [(i, "\n".join(edited(random.choice(base), random.choice([0, 0, 1, 1, 2, 3])) for _ in range(6))) for i in range(50)]
+    lines = [(i, n, x) for i, t in docs for n, x in enumerate(t.split("\n")) if x]
+    group = {x: {x} for _, _, x in lines}
+    for x in list(group):
+        for y in list(group):
+            most = min(2, min(len(x), len(y)) // 20)
+            if x < y and group[x] is not group[y] and abs(len(x) - len(y)) <= most and distance(x, y) <= most:
+                group[x] |= group[y]
+                for z in group[y]:
+                    group[z] = group[x]
+    seen, gone = set(), set()
+    for i, n, x in lines:
+        if id(group[x]) in seen:
+            gone.add((i, n))
+        seen.add(id(group[x]))
+    want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in docs}
+    got = ld.without_repeated_lines(rows("doc_id long, text string", *docs)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want

@@ -33,6 +33,13 @@ def test_stages_keep_columns_and_take_effect(spark, rows, tmp_path):
     assert kept["packing"] == {1, 3, 4, None}
 
 
+def test_copies_leave_no_stub_of_short_lines(spark, rows):
+    text = "A title\n---\nthe same line of a text that is long enough\nAll rights reserved."
+    docs = rows("doc_id long, text string, n_chars long", (1, text, len(text)), (2, text, len(text)), (3, f"{text}\nmore", len(text) + 5))
+    got = {r["doc_id"]: r["text"] for r in pipeline.dedup_lines(spark, docs, SMALL).collect()}
+    assert got == {1: text, 3: "---\nmore"}
+
+
 def test_near_duplicates_of_other_lines_go(spark, rows):
     random.seed(1)
     words = [f"w{random.randrange(500)}" for _ in range(200)]

@@ -5,6 +5,9 @@ permuted among the valid values of their format, so that equal values get equal
 values stay different, and whoever has the key can go back. Mail addresses and secrets (access keys, tokens, passwords)
 have no bounded domain and get a keyed digest in their shape instead. Numbers that fail validation stay.
 
+A secret is what follows its name: up to the closing quote, or without quotes up to white space, a quote that ends a
+word, or the stops (. , ;) of a sentence, so that one secret looks the same within a sentence and at its end.
+
 All of it is column functions: a text is split at what may be personal, each match is replaced, and the parts are joined.
 Null texts stay null, empty ones empty. Whole texts are read.
 """
@@ -18,21 +21,30 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+# Names of secrets, values without quotes (possessive, so that long ones need no stack), phone numbers without a country code.
+_NAMES = "(?i:password|passwd|secret|token|api_key)"
+_NAMED = rf"{_NAMES} ?(?:=>|:=|[=:]) ?"
+_BARE = r"(?:[^\s\"'.,;]++|[.,;]++(?=[^\s.,;\"'])|(?<=[^\s\"'=:>])[\"'](?=[^\s\"'.,;)}\]>]))++"
+_LOCAL = r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+
 # Shapes of personal data, most specific first.
 SHAPES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i:password|passwd|secret|token|api_key)(?: ?[=:] ?)[\"']?[A-Za-z0-9_+/-]*[0-9][A-Za-z0-9_+/-]*[\"']?",
-    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "secret": rf"{_NAMED}(?:\"[^\"\r\n]+\"|'[^'\r\n]+'|[\"']?{_BARE})",
+    "phone": rf"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?{_LOCAL}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 ANY = "|".join(SHAPES.values())
+# Every match holds one of these.
+SIGN = f"[0-9@]|AKIA|ASIA|{_NAMES}"
 
 # Dates are permuted within spans of so many days, 256 squared, that start at 1920-01-01 and before and after.
 _SPAN, _FIRST = 256, "1920-01-01"
+_AFTER_12TH = 146_097 / 4_800 - 12  # mean number of days of a month after the 12th
 
 
 def feistel(a: Column, b: Column, size_a, size_b, key: str, tag: str, inverse: bool = False) -> Column:
@@ -98,8 +110,8 @@ def _card(m: Column, key: str, inverse: bool) -> Column:
 
 def _phone(m: Column, key: str, inverse: bool) -> Column:
     """All but a country code is permuted."""
-    code = F.regexp_extract(m, r"^(\+?1[ .-]?)?(.*)$", 1)
-    rest = F.regexp_extract(m, r"^(\+?1[ .-]?)?(.*)$", 2)
+    pattern = rf"^(\+?1[ .-]?)?({_LOCAL})$"  # an area code may start with 1, too
+    code, rest = F.regexp_extract(m, pattern, 1), F.regexp_extract(m, pattern, 2)
     return F.concat(code, _poured(rest, _permuted_digits(_digits(rest), key, "phone", inverse)))
 
 
@@ -124,14 +136,45 @@ def _ip(m: Column, key: str, inverse: bool) -> Column:
 
 
 def _date(m: Column, key: str, inverse: bool) -> Column:
-    """Year first with hyphens, month first with slashes, day first with dots."""
+    """Year first with hyphens, day first with dots; with slashes month first, and day first where that is no date."""
     def within(pattern: str) -> Column:
         days = F.datediff(F.try_to_timestamp(m, F.lit(pattern)).cast("date"), F.lit(_FIRST).cast("date"))
         span, place = F.floor(days / (_SPAN * _SPAN)), F.pmod(days, F.lit(_SPAN * _SPAN))
         x = feistel(F.floor(place / _SPAN), place % _SPAN, _SPAN, _SPAN, key, "date", inverse)
         moved = F.date_add(F.lit(_FIRST).cast("date"), (span * _SPAN * _SPAN + x["a"] * _SPAN + x["b"]).cast("int"))
         return F.date_format(moved, pattern)
-    return F.when(m.contains("-"), within("yyyy-MM-dd")).when(m.contains("/"), within("MM/dd/yyyy")).otherwise(within("dd.MM.yyyy"))
+    slashes = F.coalesce(within("MM/dd/yyyy"), _day_first(m, key, inverse))
+    return F.when(m.contains("-"), within("yyyy-MM-dd")).when(m.contains("/"), slashes).otherwise(within("dd.MM.yyyy"))
+
+
+def _day_first(m: Column, key: str, inverse: bool) -> Column:
+    """dd/MM/yyyy after the 12th, permuted among such dates: others read month first, so neither kind becomes the other.
+
+    A date's place is the number of such dates since _FIRST, that is its days less twelve for each month begun.
+    """
+    first = F.lit(_FIRST).cast("date")
+    start = lambda month: F.datediff(F.add_months(first, month.cast("int")), first)
+    date = F.try_to_timestamp(m, F.lit("dd/MM/yyyy")).cast("date")
+    months = (F.year(date) - int(_FIRST[:4])) * 12 + F.month(date) - 1
+    number = F.datediff(date, first) - 12 * (months + 1)
+    square = _SPAN * _SPAN
+
+    def permuted(n: Column) -> Column:
+        place = F.pmod(n, F.lit(square))
+        x = feistel(F.floor(place / _SPAN), place % _SPAN, _SPAN, _SPAN, key, "day first", inverse)
+        return _with(x, lambda x: F.floor(n / square) * square + x["a"] * _SPAN + x["b"])
+
+    def dated(n: Column) -> Column:
+        reached = lambda month: start(month) - 12 * month <= n
+        month = _with(F.floor(n / _AFTER_12TH), lambda g: F.when(reached(g + 1), g + 1).when(reached(g), g).otherwise(g - 1))
+        return F.date_format(F.date_add(first, (n + 12 * (month + 1)).cast("int")), "dd/MM/yyyy")
+
+    return F.when(F.dayofmonth(date) > 12, _with(_with(number, permuted), dated))
+
+
+def _with(value: Column, use) -> Column:
+    """`use(value)` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _digest(m: Column, key: str, tag: str) -> Column:
@@ -148,7 +191,7 @@ def _access_key(m: Column, key: str, inverse: bool) -> Column:
 
 def _secret(m: Column, key: str, inverse: bool) -> Column:
     """The value after its name becomes a digest of as many characters, 64 at most."""
-    pattern = r"^([A-Za-z_]+ ?[=:] ?[\"']?)(.*?)([\"']?)$"
+    pattern = rf"(?s)^({_NAMED}[\"']?)(.*?)([\"']?)$"
     value = F.regexp_extract(m, pattern, 2)
     return F.concat(F.regexp_extract(m, pattern, 1), F.substring(_digest(value, key, "secret"), F.lit(1), F.length(value)), F.regexp_extract(m, pattern, 3))
 
@@ -180,7 +223,7 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: s
     `inverse` brings numbers and dates back; digests stay.
     """
     text = F.col(text_col)
-    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
+    matches = F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
     rows = docs.withColumn("__matches", matches)
     made = F.transform("__matches", lambda m: F.struct(kind_of(m).alias("kind"), replaced(m, key, inverse).alias("new"), m.alias("old")))
     rows = rows.withColumn("__made", made)

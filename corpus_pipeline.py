@@ -28,10 +28,13 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts whose language stays open (under even odds); lang becomes what the evidence says."""
+    """Rejects texts without a letter and texts whose language stays open (under even odds); lang becomes what the evidence says.
+
+    Where no row declares a language there is no model, and texts with a letter pass.
+    """
     host = F.col("source") if "source" in docs.columns else None
     found = language_id.identify(docs, declared_col="lang", host=host)
-    kept = found.where(F.col("text").rlike(r"\p{L}") & (F.coalesce("probability", F.lit(0.0)) >= 0.5))
+    kept = found.where(F.col("text").rlike(r"\p{L}") & (F.coalesce("probability", F.lit(1.0)) >= 0.5))
     return kept.withColumn("lang", F.coalesce("language", "lang")).select(*docs.columns)
 
 

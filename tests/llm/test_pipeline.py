@@ -33,6 +33,11 @@ def test_stages_keep_columns_and_take_effect(spark, rows, tmp_path):
     assert kept["packing"] == {1, 3, 4, None}
 
 
+def test_documents_pass_where_no_language_is_declared(spark, rows):
+    docs = rows("doc_id long, text string, lang string, source string", (1, "some words", None, "a"), (2, "123", None, "a"), (3, None, None, None))
+    assert [tuple(r) for r in pipeline.identify_language(spark, docs, SMALL).collect()] == [(1, "some words", None, "a")]
+
+
 def test_copies_leave_no_stub_of_short_lines(spark, rows):
     text = "A title\n---\nthe same line of a text that is long enough\nAll rights reserved."
     docs = rows("doc_id long, text string, n_chars long", (1, text, len(text)), (2, text, len(text)), (3, f"{text}\nmore", len(text) + 5))

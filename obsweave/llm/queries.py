@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.llm import bpe, language_id, line_dedup, maxent, near_vectors, ngram_join, packing, pii, quality_rules, warc
+from obsweave.llm import (
+    ball_tree, bpe, language_id, line_dedup, maxent, near_vectors, ngram_join, packing, pii, pooled_quality, quality_rules, vector_codes,
+    warc,
+)
 from obsweave.llm.common import table
 from obsweave.session import shared_dir
 
@@ -86,6 +89,24 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, folder, "embeddings"))
 
 
+def op11_ball_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item among all documents."""
+    return ball_tree.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors: eight parts, sixteen entries each, six rounds."""
+    coded, books = vector_codes.vector_codes(table(spark, folder, "embeddings"))
+    return vector_codes.with_label_error(coded).select(
+        F.col("id").alias("vec_id"), F.concat_ws("", F.transform("code", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0"))).alias("code"), "error",
+        "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_pooled_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of all documents by a network over pooled word vectors."""
+    return pooled_quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def _page(urn: str):
     return F.expr("try_cast(x AS BIGINT)".replace("x", f"nullif(regexp_extract({urn}, '^<urn:page:(.*)>$', 1), '')"))
 
@@ -101,8 +122,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_maxent": op7_maxent,
     "op9_bpe": op9_bpe,
     "op10_near_vectors": op10_near_vectors,
+    "op11_ball_tree": op11_ball_tree,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_pooled_quality": op13_pooled_quality,
 }
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Exact Lloyd rounds as a chain of tables: assignment of every part, then replaced entries."""
+    nearest = """
+        SELECT vec_id, p, min(d * 16 + e) % 16 AS e, min(d * 16 + e) // 16 AS away FROM (
+            SELECT vec_id, p, e, sum((parts.x - b.x) * (parts.x - b.x))::BIGINT AS d FROM parts JOIN book{r} b USING (p, i) GROUP BY ALL
+        ) GROUP BY vec_id, p"""
+    replaced = """
+        SELECT b.p, b.e, b.i, coalesce((s - ((s % n) + n) % n) // n, b.x) AS x FROM book{r} b LEFT JOIN (
+            SELECT p, e, i, sum(x)::BIGINT AS s, count(*) AS n FROM parts JOIN near{r} USING (vec_id, p) GROUP BY p, e, i
+        ) m USING (p, e, i)"""
+    steps = "".join(
+        f", near{r} AS MATERIALIZED ({nearest.format(r=r)}), book{r + 1} AS MATERIALIZED ({replaced.format(r=r)})" for r in range(rounds))
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), parts AS MATERIALIZED (
+            SELECT vec_id, i // (len(v) // 8) AS p, i % (len(v) // 8) AS i, x
+            FROM (SELECT vec_id, v, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM kept)
+        ), book0 AS MATERIALIZED (
+            SELECT p, e, i, x FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16)
+            USING (vec_id)
+        ){steps}, last AS MATERIALIZED ({nearest.format(r=rounds)}), coded AS (
+            SELECT vec_id, string_agg(printf('%02x', e::INTEGER), '' ORDER BY p) AS code, sum(away)::BIGINT AS error FROM last GROUP BY vec_id
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) FROM book{rounds}) AS codebooks_sha256
+        FROM coded JOIN kept USING (vec_id)"""
+
+
+
 ORACLES: dict[str, str] = {
+    "op11_ball_tree": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), s AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+        m AS (SELECT doc_id, 10 + (90 * len(terms) * s.n) // s.l AS m FROM d, s),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+        w AS (
+            SELECT term, floor(1000 * ln((2 * s.n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, s.n
+        ), found AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM found WHERE score > 0
+        ) SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
+    "op12_vector_codes": _codes_sql(),
     "op6_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsweave.session import join_small
+from obsweave.session import join_small, staged
 
 
 def number_by(df: DataFrame, order: str, name: str, bucket: int = 100_000) -> DataFrame:
@@ -26,19 +26,24 @@ def number_by(df: DataFrame, order: str, name: str, bucket: int = 100_000) -> Da
     )
 
 
-def number_lines(lines: DataFrame, name: str) -> DataFrame:
-    """0-based position of each line in its file from (file, block, mono).
+def number_in_order(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """1-based position of each row among the rows of equal `keys`, by `order`, which should end in something unique.
 
-    `mono` rises with the lines of a block, so the position is the lines of earlier blocks plus the
-    distance to the block's first line. Lines of one block are contiguous in `mono`.
+    Rows are dealt to tasks by range of keys and order and sorted there; the counts of the (task, key) runs are summed up
+    to what lies before each run. A group of any size spreads over many tasks, and with no keys the whole table is one.
+    Rows are written once, so that the counts and the rows see the same ranges.
     """
-    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("mono").alias("_first"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(
-        "file", "block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    return (
-        join_small(lines, offsets, ["file", "block"], "inner")
-        .withColumn(name, F.col("_before") + F.col("mono") - F.col("_first"))
-        .drop("_first", "_before", "block", "mono")
-    )
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    by = [*keys, *order]
+    at = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("*", F.shiftright(at, 33).alias("_part"), at.alias("_at"))
+    rows = staged(rows, "ordered")
+    runs = rows.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        F.col("_part").alias("_run"), *[F.col(k).alias(f"_of_{k}") for k in keys], (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_add"))
+    same = F.col("_part") == F.col("_run")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return join_small(rows, runs, same, "inner").withColumn(name, F.col("_at") + F.col("_add")).select(*df.columns, name)

@@ -3,15 +3,14 @@
 corpus: (source, uri, tokens ARRAY<STRING>, embedding ARRAY<FLOAT> or null); every source is a corpus of
 its own. queries: (query_id, tokens, embedding or null).
 
-A document meets all queries of a block inside one task, as one matrix product. What leaves the task are
-the best few documents per query, or counts, never a row per pair. Blocks hold a fixed number of queries;
-more queries make more blocks, each one pass over the corpus. Scores are rounded to nine digits, equal
-scores are ordered by uri.
+BM25 joins the tokens of the queries with postings and sums in the JVM; dense ranking joins blocks of documents with blocks
+of queries, each pair of blocks one matrix product. Queries stay tables; none reaches the driver. Positions in a
+list of any length come from ranges and counts. Scores are rounded to nine digits, equal scores are ordered by uri.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import functools
 from functools import reduce
 
 import numpy as np
@@ -21,19 +20,28 @@ from pyspark.sql import functions as F
 
 from obsweave.functions import fixed
 from obsweave.functions.naming import corpus_place
-from obsweave.session import join_small, ship, staged
+from obsweave.operators.numbering import number_in_order
+from obsweave.session import broadcast_within, fits_broadcast, join_small, ship, staged
 
 BLOCK_QUERIES = 256
+BLOCK_DOCUMENTS = 1024
+TERM_BYTES = 64 << 20
+# Lists whose length is known to stay within this are numbered by a window, others by ranges that no task holds whole.
+WINDOW_ROWS = 1_000_000
 DIGITS = 9
 MODES = ("bm25", "dense")
 
 
-def token_statistics(corpus: DataFrame) -> DataFrame:
-    """(source, token, df, idf): tokens found in more than half of the documents get a share of the mean."""
+def token_statistics(corpus: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(source, token, df, idf): tokens found in more than half of the documents get a share of the mean.
+
+    `sizes` is what `corpus_statistics` gives, if it is there already.
+    """
     df = corpus.select("source", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("source", "token").agg(F.count(F.lit(1)).alias("df"))
-    sizes = corpus_statistics(corpus).select("source", "n_docs")
+    sizes = staged(corpus_statistics(corpus), "sizes") if sizes is None else sizes
     n, d = F.col("n_docs"), F.col("df")
-    raw = join_small(df, sizes, "source", "inner").withColumn("_raw", F.log(n - d + 0.5) - F.log(d + 0.5))
+    raw = join_small(df, sizes.select("source", "n_docs"), "source", "inner").withColumn("_raw", F.log(n - d + 0.5) - F.log(d + 0.5))
+    raw = staged(raw, "token-counts")  # read twice: for the mean and for the tokens
     means = raw.groupBy("source").agg(F.avg("_raw").alias("_mean"))
     floor = fixed.BM25_EPSILON * F.col("_mean")
     return join_small(raw, means, "source", "inner").select(
@@ -46,204 +54,198 @@ def corpus_statistics(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("avg_length"))
 
 
-def query_blocks(queries: DataFrame, size: int = BLOCK_QUERIES) -> list[list]:
-    """Queries in blocks of at most `size` rows; a block is what a task holds in memory."""
-    keyed = queries.select("query_id", "tokens", "embedding")
-    total = keyed.count()
-    parts = -(-total // size)
-    if parts <= 1:
-        return [keyed.collect()] if total else []
-    even = keyed.withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(2 * parts)))
-    even = staged(even, "queries")
-    blocks = []
-    for part in range(2 * parts):
-        rows = even.where(F.col("_part") == part).drop("_part").collect()  # about size / 2 rows
-        blocks += [rows[i:i + size] for i in range(0, len(rows), size)]
-    return [b for b in blocks if b]
-
-
-class Scorer:
-    """Scores a batch of documents against a block of queries."""
-
-    def __init__(self, block, token_rows, sizes):
-        self.ids = [r["query_id"] for r in block]
-        words = sorted({t for r in block for t in r["tokens"]})
-        self.column = {w: i for i, w in enumerate(words)}
-        self.times = np.zeros((len(words), len(block)))
-        for q, r in enumerate(block):
-            for t, n in Counter(r["tokens"]).items():
-                self.times[self.column[t], q] = n
-        self.idf = defaultdict(lambda: np.zeros(len(words)))
-        for r in token_rows:
-            self.idf[r["source"]][self.column[r["token"]]] = r["idf"]
-        self.idf = dict(self.idf)
-        self.average = {r["source"]: r["avg_length"] for r in sizes}
-        self.with_vector = [q for q, r in enumerate(block) if r["embedding"] is not None]
-        vectors = np.array([block[q]["embedding"] for q in self.with_vector], dtype=float)
-        self.vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) if len(vectors) else None
-
-    def bm25(self, source, documents):
-        out = np.zeros((len(documents), len(self.ids)))
-        idf = self.idf.get(source)
-        if idf is None:
-            return out
-        for i, tokens in enumerate(documents):
-            counts = Counter(c for c in map(self.column.get, tokens) if c is not None)
-            if counts:
-                cols = np.fromiter(counts.keys(), dtype=int)
-                tf = np.fromiter(counts.values(), dtype=float)
-                norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * len(tokens) / self.average[source])
-                weights = idf[cols] * tf * (fixed.BM25_K1 + 1) / (tf + norm)
-                out[i] = (weights[:, None] * self.times[cols]).sum(axis=0)
-        return np.round(out, DIGITS)
-
-    def dense(self, documents):
-        """Negative cosine distance, so that more is better; only queries with a vector."""
-        have = np.array([d is not None for d in documents])
-        if self.vectors is None or not have.any():
-            return have, np.zeros((0, 0))
-        vectors = np.array([d for d in documents if d is not None], dtype=float)
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-        cosine = np.einsum("nd,qd->nq", vectors, self.vectors, optimize=False)
-        return have, np.round(cosine - 1, DIGITS) + 0.0  # no negative zero
-
-    def scores(self, batch: pd.DataFrame, modes: tuple[str, ...] = MODES):
-        """(mode, source, uris, query numbers, score matrix) of every source in the batch."""
-        for source, part in batch.groupby("source", sort=False):
-            uris = part["uri"].to_numpy()
-            if "bm25" in modes:
-                yield "bm25", source, uris, range(len(self.ids)), self.bm25(source, part["tokens"])
-            have, dense = self.dense(part["embedding"]) if "dense" in modes else (None, np.zeros((0, 0)))
-            if dense.size:
-                yield "dense", source, uris[have], self.with_vector, dense
-
-
-def _best(found: pd.DataFrame, depth: int) -> pd.DataFrame:
-    found = found.sort_values(["score", "uri"], ascending=[False, True], kind="stable")
-    return found.groupby(["mode", "source", "query"], sort=False).head(depth)
-
-
-def _top_task(scorer: Scorer, depth: int, modes: tuple[str, ...]):
-    def run(batches):
-        kept: list[pd.DataFrame] = []
-        held = 0
-        for batch in batches:
-            for mode, source, uris, numbers, matrix in scorer.scores(batch, modes):
-                order = np.argsort(uris, kind="stable")
-                uris, matrix = uris[order], matrix[order]
-                for j, q in enumerate(numbers):
-                    top = np.argsort(-matrix[:, j], kind="stable")[:depth]  # equal scores stay in uri order
-                    kept.append(pd.DataFrame({"mode": mode, "source": source, "query": q, "uri": uris[top], "score": matrix[top, j]}))
-                    held += len(top)
-            if held > 500_000:
-                kept = [_best(pd.concat(kept), depth)]
-                held = len(kept[0])
-        if kept:
-            out = _best(pd.concat(kept), depth)
-            yield out.assign(query_id=[scorer.ids[q] for q in out["query"]])[["mode", "source", "query_id", "uri", "score"]]
-    return run
-
-
-def _pair_task(scorer: Scorer):
-    """Scores of listed pairs: the batch has a column `wanted` with the query numbers of each document."""
-    def run(batches):
-        for batch in batches:
-            wanted = dict(zip(zip(batch["source"], batch["uri"]), batch["wanted"]))
-            for mode, source, uris, numbers, matrix in scorer.scores(batch):
-                column = {scorer.ids[q]: j for j, q in enumerate(numbers)}
-                hits = [(i, column[q]) for i, u in enumerate(uris) for q in wanted[source, u] if q in column]
-                if hits:
-                    yield pd.DataFrame({
-                        "mode": mode, "source": source, "query_id": [scorer.ids[list(numbers)[j]] for _, j in hits],
-                        "uri": [uris[i] for i, _ in hits], "score": [matrix[i, j] for i, j in hits],
-                    })
-    return run
+def postings(corpus: DataFrame, words: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(source, uri, token, impact) of the tokens in `words`: what one occurrence of a token in a query adds to a document.
 
+    The tokens of a document stay together, so sums per document are formed before any shuffle.
+    """
+    small = broadcast_within(words, "token")
+    cut = corpus.select("source", "uri", F.size("tokens").alias("_dl"), F.explode("tokens").alias("token")).join(small, "token", "left_semi")
+    tf = cut.repartition("source", "uri").groupBy("source", "uri", "_dl", "token").agg(F.count(F.lit(1)).alias("_tf"))
+    idf = token_statistics(corpus, sizes).join(small, "token", "left_semi").select("source", "token", "idf")
+    rows = tf.join(broadcast_within(idf, "token"), ["source", "token"])
+    rows = join_small(rows, sizes.select("source", "avg_length"), "source", "inner")
+    norm = fixed.BM25_K1 * (1 - fixed.BM25_B + fixed.BM25_B * F.col("_dl") / F.col("avg_length"))
+    return rows.select("source", "uri", "token", (F.col("idf") * F.col("_tf") * (fixed.BM25_K1 + 1) / (F.col("_tf") + norm)).alias("impact"))
 
-def _count_task(scorer: Scorer, pairs: dict):
-    """For each listed pair, how many documents of the task come before it."""
-    def run(batches):
-        ahead = {key: np.zeros(len(p[0]), dtype=np.int64) for key, p in pairs.items()}
-        for batch in batches:
-            for mode, source, uris, numbers, matrix in scorer.scores(batch):
-                for j, q in enumerate(numbers):
-                    key = (mode, source, scorer.ids[q])
-                    if key in pairs:
-                        ahead[key] += _documents_ahead(*pairs[key], uris, matrix[:, j])
-        rows = [(mode, source, q, u, int(n)) for (mode, source, q), counts in ahead.items() for u, n in zip(pairs[mode, source, q][0], counts) if n]
-        yield pd.DataFrame(rows, columns=["mode", "source", "query_id", "uri", "ahead"])
-    return run
 
+def bm25_hits(corpus: DataFrame, queries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(query_id, source, uri, score) of all documents whose score is not 0, by a join of query tokens with postings.
 
-def _documents_ahead(pair_uris, pair_scores, uris, scores):
-    everything = np.concatenate([pair_uris, uris])
-    is_document = np.concatenate([np.zeros(len(pair_uris), dtype=np.int64), np.ones(len(uris), dtype=np.int64)])
-    order = np.lexsort((is_document, everything, -np.concatenate([pair_scores, scores])))
-    before = np.cumsum(is_document[order])
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return before[place[: len(pair_uris)]]
+    Query tokens are broadcast within a bound of bytes. Beyond it both sides meet by (token, salt): the postings of a token
+    are spread over the salts, so a common token is no hot key.
+    """
+    terms = queries.select("query_id", F.explode("tokens").alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
+    terms = staged(terms, "terms")
+    found = postings(corpus, terms.select("token").distinct(), sizes)
+    if fits_broadcast(terms, "token", TERM_BYTES):
+        met = found.join(F.broadcast(terms), "token")
+    else:
+        salts = corpus.sparkSession.sparkContext.defaultParallelism
+        salted = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = found.withColumn("_salt", F.pmod(F.xxhash64("uri"), F.lit(salts)).cast("int")).join(salted, ["token", "_salt"])
+    scored = met.groupBy("query_id", "source", "uri").agg(F.round(F.sum(F.col("times") * F.col("impact")), DIGITS).alias("score"))
+    return scored.where("score <> 0")
+
+
+def _unit(vectors: list) -> np.ndarray:
+    found = np.array(vectors, dtype=float)
+    return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+
+def _products(batches):
+    """Cosines of a block of documents with a block of queries, one row per pair."""
+    for batch in batches:
+        for row in batch.itertuples():
+            cosine = np.einsum("nd,qd->nq", _unit([d["embedding"] for d in row.documents]), _unit([q["embedding"] for q in row.asked]), optimize=False)
+            n, m = cosine.shape
+            yield pd.DataFrame({
+                "query_id": np.tile(np.array([q["query_id"] for q in row.asked], dtype=object), n),
+                "source": np.repeat(np.array([d["source"] for d in row.documents], dtype=object), m),
+                "uri": np.repeat(np.array([d["uri"] for d in row.documents], dtype=object), m),
+                "score": (np.round(cosine - 1, DIGITS) + 0.0).ravel(),  # no negative zero
+            })
+
+
+def _blocks(rows: DataFrame, name: str, size: int, columns: list[str]) -> tuple[DataFrame, int]:
+    """Rows in lists of about `size`, dealt by hash, and the number of lists."""
+    n = max(1, -(-rows.count() // size))
+    dealt = rows.select(F.pmod(F.xxhash64(columns[-2]), F.lit(n)).cast("int").alias("_part"), F.struct(*columns).alias("_row"))
+    return dealt.groupBy("_part").agg(F.collect_list("_row").alias(name)), n
+
+
+def dense_scores(corpus: DataFrame, queries: DataFrame, block: int = BLOCK_QUERIES) -> DataFrame:
+    """(query_id, source, uri, score) of all documents and queries with a vector; score is the negative cosine distance.
+
+    Blocks of documents and of queries are rows of two tables; each document block meets every query block once, by number.
+    """
+    ship(corpus.sparkSession)
+    documents, _ = _blocks(corpus.where(F.col("embedding").isNotNull()), "documents", BLOCK_DOCUMENTS, ["source", "uri", "embedding"])
+    asked, n = _blocks(queries.where(F.col("embedding").isNotNull()), "asked", block, ["query_id", "embedding"])
+    met = documents.select("documents", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_part")).join(asked, "_part").select("documents", "asked")
+    query, uri = queries.schema["query_id"].dataType.simpleString(), corpus.schema["uri"].dataType.simpleString()
+    return met.mapInPandas(_products, f"query_id {query}, source string, uri {uri}, score double")
 
 
 class Ranker:
-    """Rankings of one corpus for one set of queries."""
+    """Rankings of one corpus for one set of queries, as tables: scores, then positions by range and counts.
+
+    Every document has a BM25 rank in its source, also those that score 0: they come after the positive ones, by uri.
+    Documents and queries without a vector have no dense rank.
+    """
 
     def __init__(self, corpus: DataFrame, queries: DataFrame, block: int = BLOCK_QUERIES):
-        spark = corpus.sparkSession
-        ship(spark)
-        # read once per pass and block: written once as tokens instead of split again each time
         self.corpus = staged(corpus.select("source", "uri", "tokens", "embedding"), "corpus")
-        self.uri_type = corpus.schema["uri"].dataType.simpleString()
-        self.query_type = queries.schema["query_id"].dataType.simpleString()
-        tokens = staged(token_statistics(self.corpus), "tokens")
-        sizes = corpus_statistics(self.corpus).collect()  # one row per vocabulary
-        self.scorers = []
-        for rows in query_blocks(queries, block):
-            words = spark.createDataFrame([(t,) for t in sorted({t for r in rows for t in r["tokens"]})] or [("",)], "token string")
-            found = tokens.join(F.broadcast(words), "token", "left_semi").select("source", "token", "idf")  # the words of one block
-            self.scorers.append(Scorer(rows, found.collect(), sizes))
-
-    def _schema(self, last: str) -> str:
-        return f"mode string, source string, query_id {self.query_type}, uri {self.uri_type}, {last}"
+        self.asked = staged(queries.select("query_id", "tokens", "embedding"), "asked")
+        self.block = block
+
+    @functools.cached_property
+    def sizes(self) -> DataFrame:
+        return staged(corpus_statistics(self.corpus), "sizes")
+
+    @functools.cached_property
+    def longest(self) -> int:
+        """Documents of the largest source: no list is longer."""
+        return self.sizes.agg(F.max("n_docs")).first()[0] or 0
+
+    def _numbered(self, rows: DataFrame, keys: list[str], order: list, name: str, longest: int | None = None) -> DataFrame:
+        if (self.longest if longest is None else longest) > WINDOW_ROWS:
+            return number_in_order(rows, keys, order, name)
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+    @functools.cached_property
+    def hits(self) -> DataFrame:
+        return staged(bm25_hits(self.corpus, self.asked, self.sizes), "hits")
+
+    @functools.cached_property
+    def dense(self) -> DataFrame:
+        return staged(dense_scores(self.corpus, self.asked, self.block), "dense")
+
+    @functools.cached_property
+    def hit_ranks(self) -> DataFrame:
+        """Hits with their exact rank; those below 0 come after all documents that score 0."""
+        numbered = self._numbered(self.hits, ["query_id", "source"], [F.desc("score"), "uri"], "_n")
+        rows = join_small(numbered, self.counts, ["query_id", "source"], "inner")
+        rank = F.when(F.col("score") > 0, F.col("_n")).otherwise(F.col("_n") + F.col("n_docs") - F.col("n_hits"))
+        return staged(rows.select("query_id", "source", "uri", "score", rank.alias("rank")), "hit-ranks")
+
+    @functools.cached_property
+    def dense_ranks(self) -> DataFrame:
+        return staged(self._numbered(self.dense, ["query_id", "source"], [F.desc("score"), "uri"], "rank"), "dense-ranks")
+
+    @functools.cached_property
+    def counts(self) -> DataFrame:
+        """(query_id, source, n_docs, n_hits, n_positive) of every query and source."""
+        found = self.hits.groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(F.col("score") > 0).alias("n_positive"))
+        sources = F.array(*[F.struct(F.lit(r["source"]).alias("source"), F.lit(r["n_docs"]).alias("n_docs")) for r in self.sizes.collect()])  # one per vocabulary
+        every = self.asked.select("query_id", F.inline(sources))
+        rows = every.join(found, ["query_id", "source"], "left")
+        return staged(rows.select("query_id", "source", "n_docs", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_hits", "n_positive")]), "counts")
+
+    @functools.cached_property
+    def places(self) -> DataFrame:
+        """(source, uri, place): documents of a source by uri."""
+        return staged(self._numbered(self.corpus.select("source", "uri"), ["source"], ["uri"], "place"), "places")
+
+    def _zeros(self, depths: DataFrame) -> DataFrame:
+        """(query_id, source, uri, score, rank) of documents that score 0, down to the depth of each (query_id, source)."""
+        lacking = self.counts.join(depths, ["query_id", "source"]).where(F.col("depth") > F.col("n_positive"))
+        # among so many documents there are enough without a hit
+        lacking = lacking.withColumn("reach", F.col("depth") - F.col("n_positive") + F.col("n_hits"))
+        lacking = staged(lacking, "lacking")
+        reach = lacking.agg(F.max("reach")).first()[0]
+        if reach is None:
+            return self.hits.limit(0).withColumn("rank", F.lit(0).cast("long"))
+        if reach <= WINDOW_ROWS:
+            by_uri = Window.partitionBy("source").orderBy("uri")
+            first = self.corpus.select("source", "uri", F.row_number().over(by_uri).alias("place")).where(F.col("place") <= reach)
+        else:
+            first = self.places.where(F.col("place") <= reach)
+        near = join_small(first, lacking, "source", "inner").where(F.col("place") <= F.col("reach"))
+        near = near.join(self.hits, ["query_id", "source", "uri"], "left_anti")
+        near = self._numbered(near, ["query_id", "source"], ["uri"], "_n", reach)
+        rows = near.select("query_id", "source", "uri", F.lit(0.0).alias("score"), (F.col("n_positive") + F.col("_n")).alias("rank"), "depth")
+        return rows.where(F.col("rank") <= F.col("depth")).drop("depth")
 
     def top(self, depth: int, modes: tuple[str, ...] = MODES) -> DataFrame:
         """(mode, source, query_id, uri, score, rank) of the best `depth` documents per query and source."""
-        parts = [self.corpus.mapInPandas(_top_task(s, depth, modes), self._schema("score double")) for s in self.scorers]
-        best = Window.partitionBy("mode", "source", "query_id").orderBy(F.desc("score"), "uri")
-        ranked = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best))
-        return ranked.where(F.col("rank") <= depth)
-
-    def scores(self, pairs: DataFrame) -> DataFrame:
-        """(mode, source, query_id, uri, score) of the listed (source, query_id, uri)."""
+        best = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "uri")
         parts = []
-        for s in self.scorers:
-            ids = self.corpus.sparkSession.createDataFrame([(i,) for i in s.ids], f"query_id {self.query_type}")
-            wanted = pairs.join(F.broadcast(ids), "query_id", "left_semi").groupBy("source", "uri").agg(F.collect_set("query_id").alias("wanted"))  # at most a block
-            documents = join_small(self.corpus, wanted, ["source", "uri"], "inner")
-            parts.append(documents.mapInPandas(_pair_task(s), self._schema("score double")))
+        for mode in modes:
+            scored = self.hits.where("score > 0") if mode == "bm25" else self.dense
+            ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= depth)
+            if mode == "bm25":
+                ranked = ranked.withColumn("rank", F.col("rank").cast("long")).unionByName(self._zeros(self.counts.select("query_id", "source", F.lit(depth).alias("depth"))))
+                below = self.hits.where("score < 0").limit(1)
+                if not below.isEmpty():
+                    ranked = ranked.unionByName(self.hit_ranks.where((F.col("score") < 0) & (F.col("rank") <= depth)))
+            parts.append(ranked.select(F.lit(mode).alias("mode"), "source", "query_id", "uri", "score", F.col("rank").cast("int").alias("rank")))
         return reduce(DataFrame.unionByName, parts)
 
-    def ranks(self, pairs: DataFrame) -> DataFrame:
-        """Exact ranks of the listed pairs among all documents: (mode, source, query_id, uri, score, rank).
+    def within(self, depths: DataFrame) -> DataFrame:
+        """(source, query_id, uri) ranked down to the depth of each (query_id, source) in either list."""
+        keys = ["query_id", "source"]
+        parts = [self._zeros(depths).select(*keys, "uri")]
+        for ranked in (self.hit_ranks, self.dense_ranks):
+            parts.append(join_small(ranked, depths, keys, "inner").where(F.col("rank") <= F.col("depth")).select(*keys, "uri"))
+        return reduce(DataFrame.unionByName, parts).distinct()
 
-        One pass counts, in every task, the documents that come before each pair. The pairs of a block
-        travel to the tasks, so a caller lists a bounded number per query.
-        """
-        scored = staged(self.scores(pairs), "pairs")
-        parts = []
-        for s in self.scorers:
-            ids = self.corpus.sparkSession.createDataFrame([(i,) for i in s.ids], f"query_id {self.query_type}")
-            rows = scored.join(F.broadcast(ids), "query_id", "left_semi").collect()
-            grouped = defaultdict(list)
-            for r in rows:
-                grouped[r["mode"], r["source"], r["query_id"]].append((r["uri"], r["score"]))
-            listed = {k: (np.array([u for u, _ in v]), np.array([x for _, x in v])) for k, v in grouped.items()}
-            parts.append(self.corpus.mapInPandas(_count_task(s, listed), self._schema("ahead long")))
-        keys = ["mode", "source", "query_id", "uri"]
-        counted = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.sum("ahead").alias("ahead"))
-        return scored.join(counted, keys, "left").select(
-            *keys, "score", (F.coalesce("ahead", F.lit(0)) + 1).alias("rank")
-        )
+    def ranks(self, pairs: DataFrame) -> DataFrame:
+        """Exact ranks of the listed (source, query_id, uri) among all documents: (mode, source, query_id, uri, score, rank)."""
+        keys = ["query_id", "source", "uri"]
+        pairs = staged(pairs.select(*keys).distinct(), "pairs")
+        hit = pairs.join(self.hit_ranks, keys).select(*keys, "score", "rank")
+        rest = pairs.join(self.hits, keys, "left_anti")
+        # hits before a document that scores 0, by uri: its place among hits and listed documents, less the listed ones
+        wanted = self.hits.join(staged(rest.select("query_id", "source").distinct(), "asked-zeros"), ["query_id", "source"], "left_semi")
+        both = wanted.select(*keys, F.lit(0).alias("_listed")).unionByName(rest.select(*keys, F.lit(1).alias("_listed")))
+        mixed = self._numbered(both, ["query_id", "source"], ["uri"], "_all").where("_listed = 1").drop("_listed")
+        mixed = self._numbered(mixed, ["query_id", "source"], ["uri"], "_own")
+        zero = mixed.join(self.places, ["source", "uri"]).join(self.counts, ["query_id", "source"])
+        zero = zero.select(*keys, F.lit(0.0).alias("score"), (F.col("n_positive") + F.col("place") - (F.col("_all") - F.col("_own"))).alias("rank"))
+        dense = pairs.join(self.dense_ranks, keys).select(*keys, "score", "rank")
+        columns = lambda rows, mode: rows.select(F.lit(mode).alias("mode"), "source", "query_id", "uri", "score", F.col("rank").cast("long").alias("rank"))
+        return columns(hit.unionByName(zero), "bm25").unionByName(columns(dense, "dense"))
 
     def fused(self, k: int) -> DataFrame:
         """(query_id, source, uri, rank, rrf, bm25_rank, dense_rank, distance) of the best k by rank fusion.
@@ -255,17 +257,34 @@ class Ranker:
         near = staged(self.top(depth).select("source", "query_id", "uri").distinct(), "candidates")
         return fuse(self.ranks(near), k)
 
+    def fused_ranks(self, pairs: DataFrame) -> DataFrame:
+        """(query_id, source, uri, rank) of the listed pairs in the fused list of their source, exact at any depth.
+
+        What comes before a document with the fused score r has a share of at least r / 2 from one of the lists, so it lies
+        within 2 / r - 60 of it; these documents are fused, and no others can matter.
+        """
+        own = fuse(self.ranks(pairs), None, self.longest)
+        depths = own.groupBy("query_id", "source").agg((F.floor(2 / F.min("rrf")) - fixed.RRF_OFFSET + 1).cast("long").alias("depth"))
+        near = self.within(staged(depths, "depths")).unionByName(own.select("query_id", "source", "uri")).distinct()
+        ranked = fuse(self.ranks(staged(near, "near")), None, self.longest)
+        return ranked.join(pairs.select("query_id", "source", "uri").distinct(), ["query_id", "source", "uri"], "left_semi").select("query_id", "source", "uri", "rank")
+
 
-def fuse(ranks: DataFrame, k: int) -> DataFrame:
-    """Best k per query and source by the sum of 1 / (60 + rank) over both lists; ties by dense rank, then uri."""
+def fuse(ranks: DataFrame, k: int | None, longest: int = WINDOW_ROWS + 1) -> DataFrame:
+    """Best k (None: all) per query and source by the sum of 1 / (60 + rank) over both lists; ties by dense rank, then uri."""
     of = lambda mode, column: F.max(F.when(F.col("mode") == mode, F.col(column)))
     both = ranks.groupBy("query_id", "source", "uri").agg(
         of("bm25", "rank").alias("bm25_rank"), of("dense", "rank").alias("dense_rank"), of("dense", "score").alias("_dense")
     )
     share = lambda column: F.coalesce(1 / (fixed.RRF_OFFSET + F.col(column)), F.lit(0.0))
     scored = both.withColumn("rrf", share("dense_rank") + share("bm25_rank"))
-    order = Window.partitionBy("query_id", "source").orderBy(F.desc("rrf"), F.asc_nulls_last("dense_rank"), "uri")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+    order = [F.desc("rrf"), F.asc_nulls_last("dense_rank"), "uri"]
+    if k is None and longest > WINDOW_ROWS:
+        ranked = number_in_order(scored, ["query_id", "source"], order, "rank")
+    else:
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "source").orderBy(*order)))
+        ranked = ranked if k is None else ranked.where(F.col("rank") <= k)
+    return ranked.select(
         "query_id", "source", "uri", "rank", "rrf", "bm25_rank", "dense_rank", F.round(F.coalesce(0.0 - F.col("_dense"), F.lit(1.0)), 3).alias("distance")
     )
 
@@ -276,15 +295,14 @@ def menu(fused: DataFrame, corpus: DataFrame) -> DataFrame:
     return join_small(labels, fused.select("query_id", "source", "rank", "uri", "distance"), ["source", "uri"], "inner")
 
 
-def gold_ranks(ranker: Ranker, gold: DataFrame, depth: int) -> DataFrame:
-    """Rank of each query's gold document in its own corpus: exact for bm25 and dense, within `depth` for hybrid.
+def gold_ranks(ranker: Ranker, gold: DataFrame) -> DataFrame:
+    """Rank of each query's gold document in its own corpus by every mode, exact at any depth.
 
     `gold` is (query_id, source, uri), one row per query.
     """
     single = ranker.ranks(gold).select("query_id", "source", "uri", "mode", "rank")
-    hybrid = ranker.fused(depth).select("query_id", "source", "uri", F.lit("hybrid").alias("mode"), "rank")
-    keys = gold.select("query_id", "source", "uri")
-    return single.unionByName(join_small(hybrid, keys, ["query_id", "source", "uri"], "left_semi").select(*single.columns).withColumn("rank", F.col("rank").cast("long")))
+    hybrid = ranker.fused_ranks(gold).select("query_id", "source", "uri", F.lit("hybrid").alias("mode"), F.col("rank").cast("long").alias("rank"))
+    return single.unionByName(hybrid)
 
 
 def recall_at(ranks: DataFrame, gold: DataFrame, by: list[str], depths: list[int] = fixed.RECALL_DEPTHS, modes: list[str] | None = None) -> DataFrame:

@@ -8,12 +8,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.functions import naming
 from obsweave.operators import decide, evidence, graph, profile, reshape, retrieve
-from obsweave.operators.numbering import number_by
+from obsweave.operators.numbering import number_in_order
 from obsweave.session import join_small, staged
 from obsweave.sources import folder
 
@@ -26,12 +26,13 @@ MENU = "column_key string, source string, rank int, uri string, label string"
 
 @dataclass
 class Profile:
-    """Profiled dataset: raw rows, one row per column, one row per file."""
+    """Profiled dataset: raw rows, one row per column, one row per file, and the rows where a quote is never closed."""
 
     dataset_id: str
     rows: DataFrame
     columns: DataFrame
     files: DataFrame
+    unclosed: DataFrame | None = None
 
 
 @dataclass
@@ -58,13 +59,13 @@ def profile_folder(spark: SparkSession, root: str, dataset_id: str) -> Profile:
     """Find the tables below a folder and profile them. The profile is written once; it is small."""
     tables = folder.discover(spark, root).where("kind = 'table'")
     found = staged(folder.dialects(folder.heads(tables)), "dialects")
-    rows = folder.raw_rows(spark, root, found)
+    lines, blocks = folder.table_lines(spark, root, found)
+    rows = folder.rows_of(lines, blocks, found)
     columns = staged(profile.profile_columns(rows), "columns")
     files = staged(profile.profile_files(rows, columns).join(found.select("file", "sep", "encoding", "header_rows"), "file"), "files")
     keyed = columns.withColumn("column_key", naming.column_key(F.col("file"), F.col("column")))
-    # a number that follows file and position: the columns are staged rows of a few files, their count is small
-    keyed = number_by(keyed.withColumn("_place", F.dense_rank().over(Window.orderBy("file")) * 1_000_000 + F.col("pos")), "_place", "ord").drop("_place")
-    return Profile(dataset_id, rows, keyed, files)
+    keyed = number_in_order(keyed, [], ["file", "pos"], "ord")
+    return Profile(dataset_id, rows, keyed, files, folder.unclosed_quotes(blocks, found))
 
 
 def columns_named_like(columns: DataFrame, text: str) -> DataFrame:

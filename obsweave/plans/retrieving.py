@@ -6,6 +6,9 @@ of a passage is the first one that holds it.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsweave.functions import fixed, text
@@ -35,7 +38,7 @@ dense AS MATERIALIZED (SELECT query_id, source, uri, score, row_number() OVER (P
   FROM (SELECT query_id, source, uri, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) - 1, 9) AS score FROM asked a, corpus c WHERE a.embedding IS NOT NULL AND c.embedding IS NOT NULL)),
 fused AS MATERIALIZED (SELECT query_id, source, uri, b.rank AS bm25_rank, d.rank AS dense_rank, d.score AS d, coalesce(1 / (60 + d.rank), 0) + 1 / (60 + b.rank) AS rrf,
   row_number() OVER (PARTITION BY query_id, source ORDER BY coalesce(1 / (60 + d.rank), 0) + 1 / (60 + b.rank) DESC, d.rank NULLS LAST, uri) AS rank FROM bm25 b LEFT JOIN dense d USING (query_id, source, uri)),
-gold AS MATERIALIZED (SELECT item_id AS query_id, arg_min(lang, doc_id) AS source, min(doc_id) AS uri FROM documents d, benchmark b WHERE contains(d.text, b.text) AND len(string_split(b.text, ' ')) >= 6 GROUP BY item_id)"""
+gold AS MATERIALIZED (SELECT item_id AS query_id, arg_min(lang, doc_id) AS source, min(doc_id) AS uri FROM documents d, benchmark b WHERE contains(d.text, b.text) GROUP BY item_id)"""
 _WITH = f"WITH {CORPUS_SQL}"
 
 
@@ -52,19 +55,33 @@ def asked(spark, folder):
 
 
 def gold(spark, folder):
-    """First document that holds each passage of at least six words.
+    """First document that holds each passage.
 
-    Words 2 to 5 of a passage lie between spaces in every document that holds it, so they are an exact
-    join key; the full text is then compared.
+    All words of a passage but the first and the last lie between spaces in every document that holds it, so up to four
+    of them are an exact join key; passages of one or two words have their first eight characters. The full text is
+    then compared.
     """
     words = lambda c: F.split(c, " ")
-    items = table(spark, folder, "benchmark").where(F.size(words(F.col("text"))) >= 6).select(
-        F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.array_join(F.slice(words(F.col("text")), 2, 4), " ").alias("key")
-    )
+    inner = F.array_join(F.slice(words(F.col("text")), F.lit(2), F.least(F.lit(4), F.size(words(F.col("text"))) - 2)), " ")
+    n = F.size(words(F.col("text")))
+    items = table(spark, folder, "benchmark").where(F.col("text").isNotNull()).select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("passage"), F.when(n >= 3, F.least(F.lit(4), n - 2)).otherwise(0).alias("run"),
+        F.when(n >= 3, inner).otherwise(F.left("text", F.lit(8))).alias("key"))
     docs = spread(table(spark, folder, "documents"), "doc_id").withColumn("_w", words(F.col("text")))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, 4), " "))
-    keyed = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
-    near = join_small(keyed, items.select("query_id", "key"), "key", "inner").select("query_id", "doc_id")
+    some = items.select("run", F.when(F.col("run") == 0, F.length("key")).otherwise(0).alias("chars")).distinct().collect()  # at most 4 + 9 kinds of keys
+    pieces = {
+        True: lambda n: (F.size("_w"), lambda i: F.array_join(F.slice("_w", i, n), " ")),
+        False: lambda n: (F.length("text"), lambda i: F.substring("text", i, F.lit(n))),
+    }
+    keyed = []
+    for run, chars in some:
+        n = run or chars
+        size, piece = pieces[run > 0](n)
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), piece)
+        keys = docs.select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+        own = items.where((F.col("run") == run) & ((F.col("run") > 0) | (F.length("key") == chars)))
+        keyed.append(join_small(keys, own.select("query_id", "key"), "key", "inner").select("query_id", "doc_id"))
+    near = reduce(DataFrame.unionByName, keyed) if keyed else items.select("query_id", F.lit(0).cast("long").alias("doc_id"))
     full = near.join(items.select("query_id", "passage"), "query_id").join(docs.select("doc_id", "lang", "text"), "doc_id")
     return full.where(F.contains("text", F.col("passage"))).groupBy("query_id").agg(F.min_by("lang", "doc_id").alias("source"), F.min("doc_id").alias("uri"))
 
@@ -107,7 +124,7 @@ def candidate_menu(spark, folder):
 
 
 _GOLD_RANKS = """gr AS (SELECT query_id, source, uri, 'bm25' AS mode, rank FROM gold JOIN bm25 USING (query_id, source, uri) UNION ALL SELECT query_id, source, uri, 'dense', rank FROM gold JOIN dense USING (query_id, source, uri)
-  UNION ALL SELECT query_id, source, uri, 'hybrid', rank FROM gold JOIN fused USING (query_id, source, uri) WHERE rank <= 50)"""
+  UNION ALL SELECT query_id, source, uri, 'hybrid', rank FROM gold JOIN fused USING (query_id, source, uri))"""
 
 
 @query(f"{_WITH} SELECT * FROM gold")
@@ -117,13 +134,13 @@ def gold_documents(spark, folder):
 
 @query(f"{_WITH}, {_GOLD_RANKS} SELECT query_id, source, uri, mode, rank FROM gr")
 def gold_rank(spark, folder):
-    return retrieve.gold_ranks(_ranker(spark, folder), gold(spark, folder), 50)
+    return retrieve.gold_ranks(_ranker(spark, folder), gold(spark, folder))
 
 
 @query(f"{_WITH}, {_GOLD_RANKS}, ks(k) AS (VALUES {', '.join(f'({k})' for k in fixed.RECALL_DEPTHS)}) SELECT m.mode, k, count_if(rank <= k)::BIGINT AS hits, (SELECT count(*) FROM gold) AS n, round(count_if(rank <= k) / (SELECT count(*) FROM gold), 6) AS recall FROM (VALUES ('bm25'), ('dense'), ('hybrid')) m(mode), ks LEFT JOIN gr ON gr.mode = m.mode GROUP BY m.mode, k")
 def recall_at_k(spark, folder):
     wanted = gold(spark, folder)
-    ranks = retrieve.gold_ranks(_ranker(spark, folder), wanted, max(fixed.RECALL_DEPTHS))
+    ranks = retrieve.gold_ranks(_ranker(spark, folder), wanted)
     return retrieve.recall_at(ranks, wanted, ["mode"], modes=["bm25", "dense", "hybrid"]).withColumn("recall", F.round("recall", 6))
 
 
@@ -235,13 +252,13 @@ def feature_class_docs(spark, folder):
     return part.select("p_partkey", vocab.feature_class_doc().alias("doc"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS column_key, CASE WHEN p_size % 4 = 0 THEN '   ' WHEN p_size % 4 = 1 THEN NULL ELSE ' ' || p_name || ' ' END AS phrase FROM part)
-  SELECT column_key, trim(phrase) AS phrase FROM p WHERE trim(phrase) <> '' AND column_key IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)""")
+@query("""WITH p AS (SELECT 2 * p_partkey AS column_key, CASE WHEN p_size % 4 = 0 THEN '   ' WHEN p_size % 4 = 1 THEN NULL ELSE ' ' || p_name || ' ' END AS phrase FROM part)
+  SELECT column_key, trim(phrase) AS phrase FROM p WHERE trim(phrase) <> '' AND column_key IN (SELECT l_partkey FROM lineitem)""")
 def phrase_cleaning(spark, folder):
     from obsweave.operators.decide import clean_phrases
     size = F.col("p_size")
-    phrases = table(spark, folder, "part").select(F.col("p_partkey").alias("column_key"), F.when(size % 4 == 0, "   ").when(size % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("phrase"))
-    return clean_phrases(phrases, table(spark, folder, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("column_key")))
+    phrases = table(spark, folder, "part").select((2 * F.col("p_partkey")).alias("column_key"), F.when(size % 4 == 0, "   ").when(size % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("phrase"))
+    return clean_phrases(phrases, table(spark, folder, "lineitem").select(F.col("l_partkey").alias("column_key")))
 
 
 @query("""WITH c AS (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY label)

@@ -75,6 +75,18 @@ def bounded_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None
     return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= limit else None
 
 
+def fits_broadcast(small: DataFrame, text: str, limit: int = 64 << 20) -> bool:
+    """Whether the rows of a written table, with the text of one column, take at most `limit` bytes."""
+    n, chars = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return 64 * n + chars <= limit
+
+
+def broadcast_within(small: DataFrame, text: str, limit: int = 64 << 20) -> DataFrame:
+    """`small`, written once, marked for broadcast where it fits."""
+    small = staged(small, "side")
+    return F.broadcast(small) if fits_broadcast(small, text, limit) else small
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows over all cores when the input comes in fewer parts than there are; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

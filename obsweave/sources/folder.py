@@ -14,8 +14,8 @@ from pyspark.sql.types import ArrayType, StringType
 
 from obsweave.functions import fixed
 from obsweave.functions.values import known
-from obsweave.operators.numbering import number_lines
 from obsweave.session import join_small, ship, staged
+from obsweave.sources import records
 
 HEAD_LINES = 5
 ENCODING_CHARS = 4096
@@ -189,67 +189,58 @@ def _cells(line: Column, sep: str) -> Column:
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 
-def _leaves_quote_open(line: Column, sep: str) -> Column:
-    """Whether a line that begins outside quotes ends within a quoted cell."""
-    cell = f'(?:"(?:[^"]|"")*"[^{sep}]*|[^"{sep}][^{sep}]*|)'
-    return F.contains(line, F.lit('"')) & ~line.rlike(f"^{cell}(?:{sep}{cell})*$")
+def _splits_are_stable(spark: SparkSession, root: str) -> bool:
+    """Whether the input is so large that its split size is the largest one, whatever the number of cores."""
+    total = discover(spark, root).where("kind = 'table'").agg(F.sum("length")).first()[0] or 0
+    size = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return total >= records.STABLE_SPLITS * size * spark.sparkContext.defaultParallelism
 
 
-@F.pandas_udf(ArrayType(ArrayType(StringType())))
-def _records(lines: pd.Series, sep: pd.Series) -> pd.Series:
-    """Records of a whole file whose cells hold line breaks."""
-    return pd.Series([list(csv.reader([f"{x}\n" for x in own], delimiter=s)) for own, s in zip(lines, sep)])
-
-
-def _whole_records(rows: DataFrame) -> DataFrame:
-    """(file, header_rows, names, _line, cells) of the files with line breaks in quoted cells; a file is read by one task."""
-    text = F.transform(F.array_sort(F.collect_list(F.struct("_line", "_text"))), lambda x: x["_text"])
-    files = rows.groupBy("file", "header_rows", "names", "sep").agg(text.alias("_lines"))
-    return files.select("file", "header_rows", "names", F.posexplode(_records("_lines", "sep")).alias("_line", "cells"))
-
-
-def raw_rows(spark: SparkSession, root: str, found: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Rows of all tables as (file, row, names, cells), in one scan whatever their dialects.
-
-    Lines stay whole until each file's separator and encoding are joined on, so files with different
-    headers share the scan. The lines are written once to the shared folder, then get their position in
-    the file (see `number_lines`): both passes then see the same blocks.
-    """
+def table_lines(spark: SparkSession, root: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, blocks) of all tables below a folder, in one scan whatever their dialects; see `records`."""
     scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(fixed.TABLE_EXTENSIONS)).text(root)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = F.regexp_replace(path, "^file:/+", "file:/")
-    lines = scan.where(F.trim("value") != "").select(
+    lines = scan.select(
         _relative(path, _root_uri(spark, root)).alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("mono"), F.col("value").cast("binary").alias("line"),
+        F.col("value").cast("binary").alias("line"),
     )
-    numbered = number_lines(staged(lines, "lines"), "_line")
-    rows = join_small(numbered, found.select("file", "encoding", "sep", "header_rows", "names"), "file", "inner")
-    # a line that is no UTF-8 keeps its characters, though the head of its file said otherwise
-    text = F.col("line").cast("string")
-    line = F.when((F.col("encoding") == "latin-1") | ~F.is_valid_utf8(text), F.decode("line", "ISO-8859-1")).otherwise(text)
+    lines = records.annotated(lines, found, keep=not _splits_are_stable(spark, root))
+    return lines, staged(records.block_states(lines), "block-states")
+
+
+def rows_of(lines: DataFrame, blocks: DataFrame, found: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Rows of the tables as (file, row, names, cells); cells that are missing or stand for nothing are null."""
+    rows = join_small(records.records(lines, blocks), found.select("file", "encoding", "sep", "header_rows", "names"), "file", "inner")
+    # a record that is no UTF-8 keeps its characters, though the head of its file said otherwise
+    text = F.col("text").cast("string")
+    rows = rows.withColumn("_text", F.when((F.col("encoding") == "latin-1") | ~F.is_valid_utf8(text), F.decode("text", "ISO-8859-1")).otherwise(text))
     tab, semi, comma = fixed.SEPARATORS
     cells = (
         F.when(F.col("sep") == tab, _cells(F.col("_text"), tab))
         .when(F.col("sep") == semi, _cells(F.col("_text"), semi))
         .otherwise(_cells(F.col("_text"), comma))
     )
-    rows = rows.withColumn("_text", line)
-    left_open = F.lit(False)
-    for s in fixed.SEPARATORS:
-        left_open = left_open | ((F.col("sep") == s) & _leaves_quote_open(F.col("_text"), s))
-    broken = staged(rows.where(left_open).select("file").distinct(), "open-quotes")
-    plain = join_small(rows, broken, "file", "left_anti").withColumn("cells", cells)
-    columns = ["file", "header_rows", "names", "_line", "cells"]
-    rows = plain.select(*columns).unionByName(_whole_records(join_small(rows, broken, "file", "left_semi")).select(*columns))
-    rows = rows.where(F.col("_line") >= F.col("header_rows"))
+    rows = rows.where(F.col("record") >= F.col("header_rows")).withColumn("cells", cells)
     padded = F.transform("names", lambda n, i: F.get(F.col("cells"), i))
     rows = rows.select(
-        "file", (F.col("_line") - F.col("header_rows")).alias("row"), "names",
+        "file", (F.col("record") - F.col("header_rows")).alias("row"), "names",
         F.transform(padded, known).alias("cells"),
     )
     return rows if max_rows is None else rows.where(F.col("row") < max_rows)
 
 
+def raw_rows(spark: SparkSession, root: str, found: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Rows of all tables below a folder as (file, row, names, cells); `row` counts the records of a file from 0."""
+    return rows_of(*table_lines(spark, root, found), found, max_rows)
+
+
+def unclosed_quotes(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """(file, row) of each file with a quote that is never closed: from this row on its lines were taken as rows."""
+    opened = join_small(records.unclosed(blocks), found.select("file", "header_rows"), "file", "inner")
+    return opened.select("file", (F.col("record") - F.col("header_rows")).alias("row"))
+
+
 def companions(spark: SparkSession, root: str) -> DataFrame:
     """(file, source, text) of the readable companion files that are not empty."""
     listed = (

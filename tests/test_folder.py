@@ -197,3 +197,97 @@ def test_profile_reads_all_rows_and_lost_values_are_counted(spark, root):
     lost = {r["column"]: (r["present"], r["lost"]) for r in profile.values_lost(found.rows, found.columns, found.files).collect()}
     assert lost == {"level": (100_502, 1), "late": (100_502, 1)}
     assert found.columns.schema["ord"].dataType.typeName() == "long"
+
+
+def found_rows(spark, root, split=None):
+    """Rows by file and number, the unclosed quotes, and how many blocks the files were read in."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        found = folder.dialects(folder.heads(folder.discover(spark, root.path).where("kind = 'table'")))
+        lines, blocks = folder.table_lines(spark, root.path, found)
+        rows = {(r["file"], r["row"]): r["cells"] for r in folder.rows_of(lines, blocks, found).collect()}
+        return rows, {r["file"]: r["row"] for r in folder.unclosed_quotes(blocks, found).collect()}, blocks.count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_an_unclosed_quote_swallows_nothing(spark, root):
+    root("u.csv", "a,b\n" + "".join(f"{i},{'\"open' if i == 4 else 'x'}\n" for i in range(9)))
+    root("fine.csv", 'a,b\n1,"x\n\ny"\n\n2,z\n')
+    rows, unclosed, _ = found_rows(spark, root)
+    assert [rows["u.csv", i][0] for i in range(9)] == [str(i) for i in range(9)] and rows["u.csv", 4] == ["4", "open"]
+    assert unclosed == {"u.csv": 4}
+    assert rows["fine.csv", 0] == ["1", "x\n\ny"] and rows["fine.csv", 1] == ["2", "z"] and len(rows) == 11
+
+
+def test_broken_records_over_many_blocks_equal_the_csv_module(spark, root):
+    import csv
+    import io
+    import random
+
+    draw = random.Random(4)
+    values = ["x", "", 'say ""hi""', "a\nb", "\n\n", 'five"', "long " * 40, "l1\n\"\"\nl3", "a,b", "c;d", "µ\n" * 30]
+
+    def cell():
+        v = draw.choice(values)
+        return f'"{v}"' if "\n" in v or '""' in v or draw.random() < 0.4 and '"' not in v else v.replace(",", ".")
+
+    text = "i,u,v\n" + "".join(f"{i},{cell()},{cell()}\n" for i in range(3000))
+    root("big.csv", text)
+    root("tail.csv", text + 'last,"never closed\n' + "".join(f"{i},y,z\n" for i in range(2000)))
+    want = list(csv.reader(io.StringIO(text)))[1:]
+    rows, unclosed, blocks = found_rows(spark, root, "20000")
+    assert blocks > 10 and unclosed == {"tail.csv": 3000}
+    got = [rows["big.csv", i] for i in range(3000)]
+    assert [[c or "" for c in r] for r in got] == want
+    assert [rows["tail.csv", i] for i in range(3000)] == got and rows["tail.csv", 3000] == ["last", "never closed", None]
+    assert [rows["tail.csv", 3001 + i] for i in range(2000)] == [[str(i), "y", "z"] for i in range(2000)] and len(rows) == 3000 + 5001
+
+
+def test_line_functions_compose():
+    import itertools
+
+    import numpy as np
+
+    from obsweave.sources.records import composed
+
+    for functions in itertools.product([(0, 0), (0, 1), (1, 0), (1, 1)], repeat=4):
+        out, inside = (np.array(x, dtype=bool) for x in zip(*functions))
+        for start in (False, True):
+            state, want = start, []
+            for o, i in functions:
+                state = bool(i if state else o)
+                want.append(state)
+            assert composed(out, inside, start).tolist() == want
+
+
+def test_lines_are_not_shuffled_and_changed_splits_are_refused(spark, root, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    from obsweave.sources import records
+
+    monkeypatch.setattr(records, "STABLE_SPLITS", 0)  # as for inputs of many full splits: nothing is copied
+    root("f.csv", "a,b\n" + "".join(f"{i},x\n" for i in range(5000)))
+    found = folder.dialects(folder.heads(folder.discover(spark, root.path).where("kind = 'table'")))
+    rows = folder.raw_rows(spark, root.path, found)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Scan text" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert rows.where("row <> cast(cells[0] AS long)").isEmpty() and rows.count() == 5000
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+        with pytest.raises(PySparkException, match="split size"):
+            folder.rows_of(*stale(spark, root, found, before), found).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def stale(spark, root, found, size):
+    """Lines of now with blocks counted under another split size."""
+    now = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    _, blocks = folder.table_lines(spark, root.path, found)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", now)
+    return folder.table_lines(spark, root.path, found)[0], blocks

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from obsweave.operators import decide, evidence, relational
-from obsweave.operators.numbering import number_by
+from obsweave.operators.numbering import number_by, number_in_order
 from obsweave.sources import sinks
 
 FACTS = "timestamp string, variable string, site string, device string, device_type string, value double"
@@ -113,3 +113,19 @@ def test_long_structure_chunk_is_cut_the_same(spark):
     for i in range(n):
         lines += [f"  - column_key: d/f.csv::column {i}", f"    name=column {i}  observation=?  unit=?  samples=[{i}]"]
     assert text == "\n".join(lines)[:20000] + "\n…[truncated]"
+
+
+def test_numbers_in_order_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(
+        F.when(F.col("id") % 3 == 0, None).otherwise(F.when(F.col("id") % 10 == 1, "rare").otherwise("hot")).alias("key"), (F.col("id") * 7919 % 5000).alias("x"), "id")
+    got = number_in_order(rows.repartition(9), ["key"], [F.desc("x")], "no").collect()
+    for key in (None, "rare", "hot"):
+        own = sorted((r for r in got if r["key"] == key), key=lambda r: -r["x"])
+        assert [r["no"] for r in own] == list(range(1, len(own) + 1)) and own
+    whole = number_in_order(rows, [], ["x"], "no")
+    assert whole.where("no <> x + 1").isEmpty() and whole.count() == 5000
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange SinglePartition" not in plan
+    assert number_in_order(rows.limit(0), [], ["x"], "no").count() == 0

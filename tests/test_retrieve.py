@@ -106,7 +106,30 @@ def test_query_variants(rows):
     assert got[2, "raw+meta+unit+device"] == "a b ctx mm probe" and got[2, "phrase+meta+unit"] == "volume ctx mm"
 
 
-def test_scoring_emits_no_pairs(data):
+@pytest.mark.parametrize("rows_of_window", [0, 1_000_000])
+def test_fused_rank_of_any_pair(spark, data, monkeypatch, rows_of_window):
+    monkeypatch.setattr(retrieve, "WINDOW_ROWS", rows_of_window)  # 0: every list is numbered by ranges
+    corpus, queries, want = data
+    gold = spark.createDataFrame([("a", f"q{i:02d}", f"a/{(i * 31) % 400:03d}") for i in range(12)], "source string, query_id string, uri string")
+    got = {(r["mode"], r["query_id"]): r["rank"] for r in retrieve.gold_ranks(retrieve.Ranker(corpus, queries), gold).collect()}
+    for source, q, u in [tuple(g) for g in gold.collect()]:
+        ranks, order = want[source, q]
+        assert got["hybrid", q] == order.index(u) + 1 and got["bm25", q] == ranks["bm25"][u] and got.get(("dense", q)) == ranks.get("dense", {}).get(u)
+
+
+def test_common_tokens_are_salted_where_the_queries_are_many(data, monkeypatch):
+    corpus, queries, want = data
+    monkeypatch.setattr(retrieve, "TERM_BYTES", 0)
+    got = retrieve.Ranker(corpus, queries).top(5, ("bm25",)).collect()
+    assert len(got) == 2 * 5 * 12 and all(want[r["source"], r["query_id"]][0]["bm25"][r["uri"]] == r["rank"] for r in got)
+
+
+def test_bm25_runs_without_python_and_scoring_without_cross_joins(data):
     corpus, queries, _ = data
-    plan = retrieve.Ranker(corpus, queries).top(3)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "WindowGroupLimit" in plan
+    ranker = retrieve.Ranker(corpus, queries)
+    sizes = retrieve.corpus_statistics(corpus)
+    plan = retrieve.bm25_hits(corpus, queries, sizes)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    plan = retrieve.dense_scores(corpus, queries)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert "WindowGroupLimit" in ranker.top(3)._jdf.queryExecution().executedPlan().toString()

@@ -49,6 +49,30 @@ def escape(value: Column) -> Column:
     return value
 
 
+def unescape(value: Column) -> Column:
+    """Text of an N-Triples literal or address: `\\u` and `\\U` escapes by code point, letters by their sign.
+
+    Code points that are none become the replacement character; other escapes stay as they are.
+    """
+    unit, lone = r"\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}", F.lit("\ufffd")
+    pair = r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}"
+    pieces = F.regexp_extract_all(value, F.lit(rf"(?s){pair}|\\u[0-9A-Fa-f]{{4}}|\\U[0-9A-Fa-f]{{8}}|\\.|[^\\]+"), 0)
+    point = r"^\\U00(?:0(?!0[dD][89a-fA-F])[0-9A-Fa-f]|10)[0-9A-Fa-f]{4}$"
+    signs = {r"\\": "\\", r"\"": '"', r"\'": "'", r"\n": "\n", r"\r": "\r", r"\t": "\t", r"\b": "\b", r"\f": "\f"}
+
+    def sign(piece):
+        out = F.when(~F.startswith(piece, F.lit("\\")), piece)
+        hexed = F.unhex(F.replace(piece, F.lit("\\u"), F.lit("")))
+        out = out.when(piece.rlike(f"^(?:{unit}|{pair})$"), F.decode(hexed, "UTF-16BE"))
+        out = out.when(piece.rlike(point), F.decode(F.unhex(F.substring(piece, 3, 8)), "UTF-32"))
+        out = out.when(piece.rlike(r"^\\[uU][0-9A-Fa-f]{4}"), lone)
+        for escaped, raw in signs.items():
+            out = out.when(piece == escaped, raw)
+        return out.otherwise(piece)
+
+    return F.when(F.contains(value, F.lit("\\")), F.array_join(F.transform(pieces, sign), "")).otherwise(value)
+
+
 def truncate(value: Column, limit: int = fixed.EVIDENCE_CHARS) -> Column:
     return F.when(F.length(value) > limit, F.concat(F.left(value, F.lit(limit)), F.lit(fixed.TRUNCATED))).otherwise(value)
 

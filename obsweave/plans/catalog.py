@@ -6,7 +6,7 @@ import importlib
 
 from obsweave.plans import registry
 
-_MODULES = ["observing", "relating", "profiling", "retrieving", "deciding", "scoring"]
+_MODULES = ["observing", "relating", "profiling", "retrieving", "deciding", "scoring", "filing"]
 
 
 def _load() -> None:

@@ -106,7 +106,12 @@ def merged_graph(spark, folder):
   SELECT p, count(*) AS n, sum(length(line))::BIGINT AS chars,
     sum(('0x' || substr(md5(line), 1, 8))::BIGINT)::BIGINT AS code FROM lines GROUP BY p""")
 def ntriples_lines(spark, folder):
-    lines = given.whole_graph(spark, folder).select("p", sinks.nt_line().alias("line"))
+    return digest_lines(given.whole_graph(spark, folder))
+
+
+def digest_lines(triples):
+    """Lines of the triples, counted and hashed by predicate."""
+    lines = triples.select("p", sinks.nt_line().alias("line"))
     return lines.groupBy("p").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars"),
         F.sum(F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("long")).alias("code"),

@@ -40,7 +40,7 @@ def _special(facts):
     return facts.where("variable = 'error' and value < 1.0").select("device_type", "value", F.concat(F.lit("reading "), F.col("value")).alias("meaning")).distinct()
 
 
-def _cleaned(spark, folder):
+def cleaned(spark, folder):
     facts = _facts(spark, folder)
     return relational.null_special_values(facts, _special(facts))
 
@@ -84,18 +84,18 @@ def dimension_joins(spark, folder):
 
 @query(f"WITH {FACTS_SQL} SELECT event_id, device_type, value FROM cleaned")
 def special_values(spark, folder):
-    return _cleaned(spark, folder).select("event_id", "device_type", "value")
+    return cleaned(spark, folder).select("event_id", "device_type", "value")
 
 
 @query(f"""WITH {FACTS_SQL} SELECT site, device, timestamp, {', '.join(f"arg_min(value, (ts, event_id)) FILTER (variable = '{k}' AND value IS NOT NULL) AS {k}" for k in KINDS)}
   FROM cleaned WHERE value IS NOT NULL GROUP BY ALL""")
 def long_to_wide(spark, folder):
-    return relational.to_wide(_cleaned(spark, folder), ["site", "device", "timestamp"], KINDS, ["ts", "event_id"])
+    return relational.to_wide(cleaned(spark, folder), ["site", "device", "timestamp"], KINDS, ["ts", "event_id"])
 
 
 @query(f"""WITH {FACTS_SQL}, f AS (SELECT site, device, array_to_string(list_sort(list(DISTINCT variable)), ',') AS variables, count(DISTINCT timestamp) AS n_rows FROM cleaned WHERE value IS NOT NULL GROUP BY ALL) SELECT * FROM f""")
 def device_files(spark, folder):
-    return relational.device_files(_cleaned(spark, folder)).withColumn("variables", F.array_join("variables", ","))
+    return relational.device_files(cleaned(spark, folder)).withColumn("variables", F.array_join("variables", ","))
 
 
 @query(f"""WITH {FACTS_SQL}, used AS (SELECT DISTINCT site, device, device_type, variable FROM cleaned WHERE value IS NOT NULL),
@@ -106,7 +106,7 @@ def device_files(spark, folder):
   SELECT site, to_json({{'site': {{'site': site, 'description': r_name}}, 'devices': devices, 'variables': variables}})::VARCHAR AS metadata
   FROM d JOIN v USING (site) JOIN nation ON n_name = site JOIN region ON r_regionkey = n_regionkey""")
 def site_metadata(spark, folder):
-    facts = _cleaned(spark, folder)
+    facts = cleaned(spark, folder)
     no = F.lit(None).cast("string")
     devices = table(spark, folder, "customer").select(
         F.col("c_name").alias("device"), F.col("c_mktsegment").alias("device_type"), F.col("c_custkey").cast("string").alias("serial"), no.alias("description"),

@@ -247,9 +247,12 @@ def quantity_kind_docs(spark, folder):
 
 @query("""SELECT p_partkey, trim(coalesce(nullif(e, ''), p_type) || '. ' || coalesce(d, '') || ' (' || p_type || ')') AS doc FROM (SELECT *, CASE WHEN p_size < 10 THEN NULL WHEN p_size < 20 THEN '' ELSE p_name END AS e, CASE WHEN p_size > 15 THEN p_brand END AS d FROM part)""")
 def feature_class_docs(spark, folder):
+    return feature_classes(spark, folder).select("p_partkey", vocab.feature_class_doc().alias("doc"))
+
+
+def feature_classes(spark, folder):
     size = F.col("p_size")
-    part = table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("label_nl"), F.when(size >= 20, F.col("p_name")).when(size >= 10, "").alias("label_en"), F.when(size > 15, F.col("p_brand")).alias("def_en"))
-    return part.select("p_partkey", vocab.feature_class_doc().alias("doc"))
+    return table(spark, folder, "part").select("p_partkey", F.col("p_type").alias("label_nl"), F.when(size >= 20, F.col("p_name")).when(size >= 10, "").alias("label_en"), F.when(size > 15, F.col("p_brand")).alias("def_en"))
 
 
 @query("""WITH p AS (SELECT 2 * p_partkey AS column_key, CASE WHEN p_size % 4 = 0 THEN '   ' WHEN p_size % 4 = 1 THEN NULL ELSE ' ' || p_name || ' ' END AS phrase FROM part)

@@ -34,7 +34,7 @@ def _relative(path: Column, root_uri: str) -> Column:
     return F.substring(path, len(root_uri) + 2, 100_000)
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
+def discover(spark: SparkSession, root: str, tables: list[str] = fixed.TABLE_EXTENSIONS) -> DataFrame:
     """Files below `root` as (path, file, length, kind): table, readable or skipped, by extension.
 
     Only path and length are selected, so no content is read.
@@ -42,7 +42,7 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = (
-        F.when(ext.isin(fixed.TABLE_EXTENSIONS), "table")
+        F.when(ext.isin(tables), "table")
         .when(ext.isin(fixed.TEXT_EXTENSIONS), "readable")
         .otherwise("skipped")
     )
@@ -189,23 +189,23 @@ def _cells(line: Column, sep: str) -> Column:
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 
-def _splits_are_stable(spark: SparkSession, root: str) -> bool:
+def _splits_are_stable(spark: SparkSession, root: str, tables: list[str]) -> bool:
     """Whether the input is so large that its split size is the largest one, whatever the number of cores."""
-    total = discover(spark, root).where("kind = 'table'").agg(F.sum("length")).first()[0] or 0
+    total = discover(spark, root, tables).where("kind = 'table'").agg(F.sum("length")).first()[0] or 0
     size = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return total >= records.STABLE_SPLITS * size * spark.sparkContext.defaultParallelism
 
 
-def table_lines(spark: SparkSession, root: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+def table_lines(spark: SparkSession, root: str, found: DataFrame, tables: list[str] = fixed.TABLE_EXTENSIONS) -> tuple[DataFrame, DataFrame]:
     """(lines, blocks) of all tables below a folder, in one scan whatever their dialects; see `records`."""
-    scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(fixed.TABLE_EXTENSIONS)).text(root)
+    scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(tables)).text(root)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = F.regexp_replace(path, "^file:/+", "file:/")
     lines = scan.select(
         _relative(path, _root_uri(spark, root)).alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("line"),
     )
-    lines = records.annotated(lines, found, keep=not _splits_are_stable(spark, root))
+    lines = records.annotated(lines, found, keep=not _splits_are_stable(spark, root, tables))
     return lines, staged(records.block_states(lines), "block-states")
 
 

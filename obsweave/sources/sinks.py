@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsweave.functions.text import escape
-from obsweave.session import join_small
+from obsweave.session import join_small, staged
 
 # Rows that one file of a folder holds about; larger folders get several files.
 FILE_ROWS = 5_000_000
@@ -40,9 +40,42 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     triples.select(nt_line().alias("value")).write.mode("overwrite").text(path)
 
 
-def write_sites(wide: DataFrame, path: str) -> None:
-    """Wide rows, one folder per site and device."""
-    _by_folder(wide, "site", "device").write.mode("overwrite").partitionBy("site", "device").option("header", "true").csv(path)
+def write_lines(lines: DataFrame, path: str, *keys: str) -> None:
+    """Texts (value) as the lines of .csv files as they are, one folder per value of the keys; texts hold no line breaks.
+
+    Rows are written in the order in which they come; Spark's commit drops what failed attempts wrote.
+    """
+    as_is = {"sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    lines.select(*keys, "value").write.mode("overwrite").partitionBy(*keys).options(**as_is).csv(path)
+
+
+def csv_line(cells: Column) -> Column:
+    """One line of comma-separated cells, quoted where they must be; null cells are empty."""
+    def cell(c):
+        text = F.coalesce(c, F.lit(""))
+        return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+    return F.array_join(F.transform(cells, cell), ",")
+
+
+def write_sites(wide: DataFrame, path: str, keys: tuple[str, str] = ("site", "device"), order: str = "timestamp") -> None:
+    """Wide rows, one folder per site and device; every file has a header of its own with the columns its device has values in.
+
+    Columns a device never fills are not in its files. Rows come by `order`. A device of more than FILE_ROWS rows gets
+    several files, each with the header.
+    """
+    fields = [c for c in wide.columns if c not in keys]
+    own = wide.groupBy(*keys).agg(
+        F.filter(F.array(*[F.when(F.max(F.col(c).isNotNull()), F.lit(c)) for c in fields]), lambda c: c.isNotNull()).alias("_own"),
+        F.ceil(F.count(F.lit(1)) / FILE_ROWS).cast("int").alias("_files"))
+    own = staged(own, "device-columns")
+    cells = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.col(c).cast("string") for c in fields]))
+    rows = join_small(wide, own, list(keys), "inner").withColumn("_salt", F.floor(F.rand(17) * F.col("_files")).cast("int"))
+    body = rows.select(*keys, "_salt", F.lit(1).alias("_part"), F.col(order).alias("_order"), csv_line(F.transform("_own", lambda c: F.element_at(cells, c))).alias("value"))
+    heads = own.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_files") - 1)).alias("_salt"), F.lit(0).alias("_part"), F.lit(None).alias("_order"), csv_line(F.col("_own")).alias("value"))
+    lines = heads.unionByName(body).repartition(*keys, "_salt").sortWithinPartitions(*keys, "_part", "_order")
+    # a cell with line breaks takes several lines
+    lines = lines.select(*keys, F.explode(F.split("value", "\r\n|\r|\n")).alias("value"))
+    write_lines(lines, path, *keys)
 
 
 def write_report(report: DataFrame, path: str) -> None:

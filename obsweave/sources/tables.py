@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.functions.text import not_blank
+from obsweave.functions.text import not_blank, unescape
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,25 +19,47 @@ def time_window(signal: DataFrame, start: str, end: str, source: Column | None =
     return out if source is None else out.where(source)
 
 
-def ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """N-Triples lines as (s, p, o, o_kind, o_datatype, o_lang)."""
-    line = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
-    get = lambda i: F.regexp_extract("value", line, i)
-    literal = F.regexp_extract("value", r'^\s*\S+\s+\S+\s+"', 0) != ""
-    text = get(5)
-    for escaped, raw in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x00", "\\")):
-        text = F.replace(text, F.lit(escaped), F.lit(raw))
-    return (
-        spark.read.text(path).where(F.col("value").rlike(line))
-        .select(
-            F.regexp_replace(get(1), "^<|>$", "").alias("s"), get(2).alias("p"),
-            F.when(literal, text).when(get(3) != "", get(3)).otherwise(get(4)).alias("o"),
-            F.when(literal, "literal").otherwise("iri").alias("o_kind"),
-            not_blank(get(6)).alias("o_datatype"), not_blank(get(7)).alias("o_lang"),
-        )
+def ntriples_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of N-Triples files as (value, ok, s, p, o, o_kind, o_datatype, o_lang); `ok` is null for blank and comment lines.
+
+    The body of a literal ends at its first quote that is not escaped. It is found by position, so literals of any length pass.
+    """
+    lines = spark.read.text(path)
+    head = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+"
+    end = r"\s*\.\s*(?:#.*)?$"
+    iri, tail = r"^(?:<([^>]*)>|(_:\S+?))" + end, r"^(?:\^\^<([^>]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?" + end
+    rest = F.substring("value", F.length(F.regexp_extract("value", head, 0)) + 1, F.length("value"))
+    rows = lines.withColumn("_rest", F.when(F.col("value").rlike(head), rest))
+    # escapes of two signs as one that no text holds
+    slash, quote = "\ufdd0", "\ufdd1"
+    flat = F.replace(F.replace("_rest", F.lit("\\\\"), F.lit(slash)), F.lit('\\"'), F.lit(quote))
+    rows = rows.withColumn("_flat", flat).withColumn("_literal", F.startswith("_rest", F.lit('"')))
+    rows = rows.withColumn("_close", F.when(F.col("_literal"), F.locate('"', F.col("_flat"), 2)))
+    rows = rows.withColumn("_tail", F.substring("_flat", F.col("_close") + 1, F.length("_flat")))
+    body = F.substring("_flat", F.lit(2), F.col("_close") - 2)
+    body = F.replace(F.replace(body, F.lit(slash), F.lit("\\\\")), F.lit(quote), F.lit('\\"'))
+    ok = F.when(F.col("_literal"), (F.col("_close") > 0) & F.col("_tail").rlike(tail)).otherwise(F.col("_rest").rlike(iri))
+    named = lambda source, pattern, i: not_blank(F.regexp_extract(source, pattern, i))
+    subject = F.regexp_replace(F.regexp_extract("value", head, 1), "^<|>$", "")
+    return rows.select(
+        "value", F.when(~F.col("value").rlike(r"^\s*(?:#.*)?$"), F.coalesce(ok, F.lit(False))).alias("ok"),
+        unescape(subject).alias("s"), unescape(F.regexp_extract("value", head, 2)).alias("p"),
+        F.when(F.col("_literal"), unescape(body)).otherwise(unescape(F.coalesce(named("_rest", iri, 1), named("_rest", iri, 2)))).alias("o"),
+        F.when(F.col("_literal"), "literal").otherwise("iri").alias("o_kind"),
+        F.when(F.col("_literal"), unescape(named("_tail", tail, 1))).alias("o_datatype"), F.when(F.col("_literal"), named("_tail", tail, 2)).alias("o_lang"),
     )
 
 
+def ntriples(spark: SparkSession, path: str) -> DataFrame:
+    """N-Triples as (s, p, o, o_kind, o_datatype, o_lang)."""
+    return ntriples_lines(spark, path).where("ok").drop("value", "ok")
+
+
+def ntriples_rejected(spark: SparkSession, path: str) -> DataFrame:
+    """(line, n) of lines that are neither triples nor blank nor comments, and how often each occurs."""
+    return ntriples_lines(spark, path).where("NOT ok").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def feature_classes(spark: SparkSession, path: str) -> DataFrame:
     """Feature-class vocabulary from JSON lines."""
     return spark.read.schema("uri string, label_en string, label_nl string, def_en string").json(path)

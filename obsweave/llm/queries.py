@@ -14,7 +14,7 @@ from obsweave.llm import (
     warc,
 )
 from obsweave.llm.common import table
-from obsweave.session import shared_dir
+from obsweave.session import shared_dir, staged
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PII_KEY = "key of this run"  # a production run takes it from its secret store
@@ -29,8 +29,8 @@ def op7_maxent(spark: SparkSession, folder: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every page by its text, its declaration, its address and its host."""
     pages, url, html = table(spark, folder, "pages"), F.col("url"), F.col("html")
-    pages = pages.select("page_id", "url", language_id.declared_in(html).alias("lang"), language_id.visible(html).alias("text"))
-    found = language_id.identify(pages, suffix=language_id.suffix_of(url), host=language_id.host_of(url))
+    pages = staged(pages.select("page_id", "url", language_id.declared_in(html).alias("lang"), language_id.visible(html).alias("text")), "pages-text")
+    found = language_id.identify(pages, suffix=language_id.suffix_of(url), host=language_id.host_of(url), keep=["page_id", "lang"])
     return found.select("page_id", "language", "probability", "text_language", F.col("lang").alias("declared"))
 
 

@@ -25,6 +25,7 @@ and by 64-bit hashes.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ from obsweave.llm.common import components, slices
 from obsweave.session import ship, staged
 
 LINES_PER_BUCKET = 60_000
-SENT = 1 << 20  # keys that a task gathers before it sends them
+SENT = 1 << 20  # keys that a task gathers before it sends them, as machine integers
+SEEN = 1 << 18  # line hashes that a task remembers, to send a line's keys once
 BROADCAST_LINES = 1_000_000
 EDIT_EVERY = 20  # characters of a line for each edit that it may differ by
 RULE = 40  # characters from which a line without letters and digits takes part
@@ -154,11 +156,10 @@ def shared_keys(texts: DataFrame, k: int, least: int | None, buckets: int) -> Da
 
     def send(batches):
         seen: set[int] = set()
-        keys: list[int] = []
-        lines: list[int] = []
+        keys, lines = array("Q"), array("q")
 
         def out():
-            key, line = np.array(keys, dtype=np.uint64), np.array(lines, dtype=np.int64)
+            key, line = np.frombuffer(keys, dtype=np.uint64), np.frombuffer(lines, dtype=np.int64)
             to = (key >> np.uint64(20)) % np.uint64(buckets)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -179,8 +180,8 @@ def shared_keys(texts: DataFrame, k: int, least: int | None, buckets: int) -> Da
                             lines.append(h)
             if len(keys) > SENT:
                 yield out()
-                keys, lines = [], []
-            if len(seen) > SENT:
+                keys, lines = array("Q"), array("q")
+            if len(seen) > SEEN:
                 seen.clear()
         if keys:
             yield out()

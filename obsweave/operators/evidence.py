@@ -62,16 +62,14 @@ def metadata_context(documents: DataFrame, names: DataFrame) -> DataFrame:
         docs = docs.join(heads.select("dataset_id", (F.col("ord") - step).alias("ord"), F.col("head").alias(name)), ["dataset_id", "ord"], "left")
     none = F.array().cast("array<string>")
     after = F.slice(F.concat(F.coalesce("next1", none), F.coalesce("next2", none)), 1, 2)
-    wanted = names.groupBy("dataset_id").agg(F.collect_set("column").alias("columns"))  # the columns of one dataset
-    both = join_small(docs.withColumn("_all", F.concat("lines", after)), wanted, "dataset_id", "inner")
-    numbered = both.select("dataset_id", "ord", "columns", "_all", F.size("lines").alias("_n"), F.posexplode("lines").alias("no", "line"))
     fits = lambda line: (F.length(line) <= fixed.METADATA_LINE_CHARS) & ~F.contains(F.lower(line), F.lit("http"))
-    hits = numbered.where(fits(F.col("line"))).select(
-        "dataset_id", "ord", "no", F.slice("_all", F.col("no") + 1, F.lit(3)).alias("near"),
-        F.explode(F.filter("columns", lambda c: _names(F.col("line"), c))).alias("column"),
-    )
-    near = hits.select("dataset_id", "column", "ord", "no", F.posexplode("near").alias("step", "text")).withColumn("text", F.regexp_replace("text", r"^(?U)\s+|(?U)\s+$", ""))
-    near = near.where((F.col("text") != "") & fits(F.col("text")))
+    trimmed = lambda line: F.regexp_replace(line, r"^(?U)\s+|(?U)\s+$", "")
+    lines = docs.select("dataset_id", "ord", F.concat("lines", after).alias("_all"), F.posexplode("lines").alias("no", "line")).where(fits(F.col("line")))
+    near = F.transform(F.slice("_all", F.col("no") + 1, F.lit(3)), lambda x: F.when((trimmed(x) != "") & fits(trimmed(x)), trimmed(x)))
+    keyed = lines.select("dataset_id", "ord", "no", "line", near.alias("near"), F.explode(_keys(F.col("line"))).alias("_key"))
+    named = names.select("dataset_id", "column", _key(F.col("column")).alias("_key")).distinct()
+    hits = join_small(keyed, named, ["dataset_id", "_key"], "inner").where(_names(F.col("line"), F.col("column")))
+    near = hits.select("dataset_id", "column", "ord", "no", F.posexplode("near").alias("step", "text")).where(F.col("text").isNotNull())
     # a line counts where it is first seen; partial aggregation keeps repeated lines from piling up
     at = F.struct("ord", "no", "step")
     first = near.groupBy("dataset_id", "column", "text").agg(F.min(at).alias("at"))
@@ -88,6 +86,22 @@ def metadata_context(documents: DataFrame, names: DataFrame) -> DataFrame:
     return kept.groupBy("dataset_id", "column").agg(F.array_join(texts, " ").alias("context"))
 
 
+def _keys(line):
+    """Words of a line and what lies between them, lower-cased, each once."""
+    text = F.lower(line)
+    return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), 0), F.regexp_extract_all(text, F.lit(r"(?U)\W+"), 0)))
+
+
+def _key(column):
+    """What a line that names the column has among its keys: the name's first word, or the whole name if it has none.
+
+    Between word borders the first word of a name is a whole word of the line, and a name without words is all that
+    lies between two words. So lines meet only names that begin with one of their words.
+    """
+    text = F.lower(column)
+    return F.coalesce(F.nullif(F.regexp_extract(text, r"(?U)\w+", 0), F.lit("")), text)
+
+
 def _names(line, column):
     """Does the line hold the column name between word boundaries, whatever its case?
 

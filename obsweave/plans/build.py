@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.functions import naming
+from obsweave.functions import naming, text
 from obsweave.operators import decide, evidence, graph, profile, reshape, retrieve
 from obsweave.operators.numbering import number_in_order
 from obsweave.session import join_small, staged
@@ -82,15 +82,40 @@ def evidence_chunks(spark: SparkSession, root: str, found: Profile, documentatio
 def retrieval_queries(found: Profile, phrases: DataFrame, contexts: DataFrame) -> DataFrame:
     """(query_id, text) of every observable column: its phrase, or its name and file stem, and its context.
 
-    `phrases` is (column_key, phrase), `contexts` (column, context).
+    `phrases` is (column_key, phrase), `contexts` (dataset_id, column, context); contexts of other datasets do not count.
     """
-    from obsweave.functions.text import query_text
-
     columns = found.columns.where(profile.observable(F.col("role")))
     columns = columns.join(decide.clean_phrases(phrases, columns), "column_key", "left")
-    columns = join_small(columns, contexts.select("column", "context"), "column", "left")
+    own = contexts.where(F.col("dataset_id") == found.dataset_id) if "dataset_id" in contexts.columns else contexts
+    columns = join_small(columns, own.groupBy("column").agg(F.min("context").alias("context")), "column", "left")
     stem = F.regexp_replace(F.regexp_extract("file", "([^/]*)$", 1), r"\.[^.]+$", "")
-    return columns.select(F.col("column_key").alias("query_id"), query_text(F.col("column"), stem, F.col("phrase"), F.col("context")).alias("text"))
+    return columns.select(F.col("column_key").alias("query_id"), text.query_text(F.col("column"), stem, F.col("phrase"), F.col("context")).alias("text"))
+
+
+def metadata_contexts(spark: SparkSession, root: str, found: Profile) -> DataFrame:
+    """(dataset_id, column, context): lines of the dataset's companion texts, in the order of their names, that name an observable column."""
+    texts = number_in_order(folder.companions(spark, root).select("file", "text"), [], ["file"], "ord")
+    documents = texts.select(F.lit(found.dataset_id).alias("dataset_id"), (F.col("ord") - 1).alias("ord"), "text")
+    columns = found.columns.where(profile.observable(F.col("role"))).select(F.lit(found.dataset_id).alias("dataset_id"), "column").distinct()
+    return evidence.metadata_context(documents, columns)
+
+
+def folder_menus(
+    spark: SparkSession, root: str, found: Profile, phrases: DataFrame, corpus: DataFrame, k: int, vectors: DataFrame | None = None, contexts: bool = True,
+) -> DataFrame:
+    """Candidate menus of all observable columns, from the folder's own texts in one build.
+
+    `corpus` is (source, uri, label, tokens, embedding); `vectors` (query_id, embedding) holds what a model made of
+    `retrieval_queries`; without it the lists are ranked by words alone.
+    """
+    none = spark.createDataFrame([], "dataset_id string, column string, context string")
+    queries = retrieval_queries(found, phrases, metadata_contexts(spark, root, found) if contexts else none)
+    queries = queries.select("query_id", text.tokens(F.col("text")).alias("tokens"))
+    if vectors is None:
+        queries = queries.withColumn("embedding", F.lit(None).cast("array<float>"))
+    else:
+        queries = queries.join(vectors.select("query_id", "embedding"), "query_id", "left")
+    return menus(retrieve.Ranker(corpus, queries), corpus, k)
 
 
 def menus(ranker: retrieve.Ranker, corpus: DataFrame, k: int) -> DataFrame:

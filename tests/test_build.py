@@ -174,6 +174,23 @@ def test_retrieval_queries(spark, datasets):
     assert got == {"water_level": "water level inflow level in metres", "flow": "volume flow", "extra": "extra inflow", "COD1": "COD1 samples", "COD2": "COD2 samples"}
 
 
+def test_menus_from_a_folder_with_its_own_texts(spark, rows, tmp_path):
+    (tmp_path / "d.csv").write_text("time,h1,q1\n2020-01-01T00:00:00Z,1,2\n")
+    (tmp_path / "a.md").write_text("about\nh1 is the water level\nin metres\n\nend")
+    (tmp_path / "b.txt").write_text("q1: discharge of the river")
+    found = build.profile_folder(spark, str(tmp_path), "d")
+    contexts = {r["column"]: r["context"] for r in build.metadata_contexts(spark, str(tmp_path), found).collect()}
+    assert contexts == {"h1": "h1 is the water level in metres", "q1": "q1: discharge of the river"}
+    other = rows("dataset_id string, column string, context string", ("d", "h1", "mine"), ("e", "h1", "of another dataset"))
+    phrases = rows("column_key string, phrase string", ("none", "x"))
+    assert {r["text"] for r in build.retrieval_queries(found, phrases, other).collect()} == {"h1 d mine", "q1 d"}
+    corpus = rows(
+        "source string, uri string, label string, tokens array<string>, embedding array<float>", ("v", "u1", "level", ["water", "level"], None),
+        ("v", "u2", "discharge", ["discharge"], None), ("v", "u3", "other", ["nothing"], None), ("v", "u4", "more", ["else"], None), ("v", "u5", "rest", ["rest"], None))
+    got = {(r["column_key"], r["rank"]): (r["uri"], r["label"]) for r in build.folder_menus(spark, str(tmp_path), found, phrases, corpus, 2).collect()}
+    assert len(got) == 4 and got["d.csv::h1", 1] == ("u1", "level") and got["d.csv::q1", 1] == ("u2", "discharge")
+
+
 def test_slug_collisions(rows):
     cols = rows("dataset_id string, file_id string, value_col string", ("d", "f", "a b"), ("d", "f", "a-b"), ("d", "g", "a b"))
     assert [r["slug"] for r in reshape.slug_collisions(cols).collect()] == ["a-b"]

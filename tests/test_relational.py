@@ -103,6 +103,17 @@ def test_metadata_context(spark):
     got = {(r["dataset_id"], r["column"]): r["context"] for r in evidence.metadata_context(documents, wanted).collect()}
     want = {(d, n): brute_context(n, t) for d, t in texts.items() for n in names}
     assert got == {k: v for k, v in want.items() if v}
+    plan = evidence.metadata_context(documents, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_names_of_several_words_of_signs_and_of_any_case(rows):
+    text = "The Water Level_1 here\nwater-level\nwater  level\nÜBERLAUF: m%s\n%\nx water levels"
+    names = ["water level_1", "level", "Überlauf", "%", "water level", "m%s"]
+    got = evidence.metadata_context(rows("dataset_id string, ord int, text string", ("d", 0, text)), rows("dataset_id string, column string", *[("d", n) for n in names]))
+    found = {r["column"]: r["context"] for r in got.collect()}
+    want = {n: brute_context(n, text) for n in names}
+    assert found == {k: v for k, v in want.items() if v} and set(found) == {"water level_1", "level", "Überlauf", "%", "m%s"}
 
 
 def test_long_structure_chunk_is_cut_the_same(spark):

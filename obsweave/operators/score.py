@@ -131,13 +131,13 @@ def sensor_agreement(compared: DataFrame, by: list[str] = []) -> DataFrame:
     return partition_agreement(matched.select(*by, F.col("g_sensor").alias("a"), F.col("p_sensor").alias("b")), by)
 
 
-def harmonization(marked: DataFrame) -> DataFrame:
-    """Gold concepts of at least two matched columns, and whether these got one property.
+def harmonization(marked: DataFrame, by: list[str] = []) -> DataFrame:
+    """Gold concepts of at least two matched columns, and whether these got one property, for each group of `by`.
 
     Distinct answers are counted first, so a list holds vocabulary entries, not columns.
     """
-    answers = marked.groupBy("g_property", "p_property").agg(F.count(F.lit(1)).alias("n"))
-    return answers.groupBy(F.col("g_property").alias("concept")).agg(
+    answers = marked.groupBy(*by, "g_property", "p_property").agg(F.count(F.lit(1)).alias("n"))
+    return answers.groupBy(*by, F.col("g_property").alias("concept")).agg(
         F.sum("n").alias("n"), F.array_sort(F.collect_list("p_property")).alias("answers"), (F.count(F.lit(1)) == 1).alias("converged")
     ).where("n >= 2")
 
@@ -147,20 +147,22 @@ def harmonization_rate(groups: DataFrame) -> DataFrame:
     return groups.agg(n.alias("groups"), F.count_if("converged").alias("converged"), _rate(F.count_if("converged"), n).alias("rate"))
 
 
-def convergence(gold: DataFrame, pred: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Answers per concept found in at least two dataset families: (summary, counts per family).
+def convergence(gold: DataFrame, pred: DataFrame, by: list[str] = []) -> tuple[DataFrame, DataFrame]:
+    """Answers per concept found in at least two dataset families: (summary, counts per family), for each group of `by`.
 
     Both sides carry `family`; a missing prediction is a null answer. Equal counts go to the first answer
     in text order, null last.
     """
-    rows = gold.select("family", "key", F.col("property").alias("concept")).join(pred.select("family", "key", F.col("property").alias("chosen")), ["family", "key"], "left")
-    counts = rows.groupBy("concept", "family", "chosen").agg(F.count(F.lit(1)).alias("n"))
-    spread = counts.groupBy("concept").agg(F.count_distinct("family").alias("families"), F.sum("n").alias("columns")).where("families >= 2")
-    answers = counts.groupBy("concept", "chosen").agg(F.sum("n").alias("n")).groupBy("concept").agg(
+    given, keys = gold.select(*by, "family", "key", F.col("property").alias("concept")), [*by, "family", "key"]
+    rows = given.join(pred.select(*keys, F.col("property").alias("chosen")), keys, "left")
+    counts = rows.groupBy(*by, "concept", "family", "chosen").agg(F.count(F.lit(1)).alias("n"))
+    spread = counts.groupBy(*by, "concept").agg(F.count_distinct("family").alias("families"), F.sum("n").alias("columns")).where("families >= 2")
+    answers = counts.groupBy(*by, "concept", "chosen").agg(F.sum("n").alias("n")).groupBy(*by, "concept").agg(
         F.min_by(F.struct("chosen", "n"), F.struct(-F.col("n"), F.col("chosen").isNull(), F.col("chosen"))).alias("_top")
     )
-    summary = spread.join(answers, "concept").select("concept", "families", "columns", F.col("_top.chosen").alias("most_common"), F.col("_top.n").alias("on_most_common"))
-    return summary, counts.join(spread.select("concept"), "concept", "left_semi")
+    summary = spread.join(answers, [*by, "concept"]).select(
+        *by, "concept", "families", "columns", F.col("_top.chosen").alias("most_common"), F.col("_top.n").alias("on_most_common"))
+    return summary, counts.join(spread.select(*by, "concept"), [*by, "concept"], "left_semi")
 
 
 def run_variance(metrics: DataFrame, names: list[str], by: list[str] = []) -> DataFrame:

@@ -24,7 +24,7 @@ gold AS (SELECT key, {_TOKEN.format('observedProperty')} AS property, decision A
 pred AS (SELECT run, vec_id * 2 AS key, CASE WHEN (label + run) % 5 = 0 THEN 'mint:' || lang ELSE 'gemet:' || lang END AS property, CASE WHEN (label + run) % 5 = 0 THEN 'mint' ELSE 'reuse' END AS source,
     CASE WHEN label = 3 THEN 'unit:MicroS-PER-CM' WHEN label = 4 THEN NULL ELSE 'unit:src' || (vec_id * 2 % 20) END AS unit, CASE WHEN label > 6 THEN 'untyped' ELSE 'gwsw:src' || (vec_id * 2 % 20) END AS feature, 'sensor ' || label AS sensor
   FROM embeddings JOIN documents ON doc_id = vec_id, (VALUES (1), (2), (3), (4)) r(run) WHERE (vec_id + run) % 11 > 0),
-menus AS (SELECT DISTINCT doc_id AS key, 'gemet:' || l AS token FROM (SELECT doc_id, unnest([lang, 'en']) AS l FROM documents WHERE n_chars > 500)),
+menus AS (SELECT DISTINCT key, 'gemet:' || l AS token FROM (SELECT doc_id + n_chars % 2 AS key, unnest([lang, 'en']) AS l FROM documents)),
 cmp AS (SELECT coalesce(g.key, p.key) AS key, coalesce(g.run, p.run) AS run, CASE WHEN g.key IS NOT NULL AND p.key IS NOT NULL THEN 'matched' WHEN g.key IS NOT NULL THEN 'missed' ELSE 'spurious' END AS status, g.* EXCLUDE (key, run), p.property AS p_property, p.source AS p_source, p.unit AS p_unit, p.feature AS p_feature, p.sensor AS p_sensor
   FROM (SELECT gold.*, run FROM gold, (VALUES (1), (2), (3), (4)) r(run)) g FULL JOIN pred p ON g.key = p.key AND g.run = p.run),
 m0 AS (SELECT *, CASE WHEN source = 'mint' THEN p_source = 'mint' ELSE property = p_property END AS prop_ok FROM cmp WHERE status = 'matched'),
@@ -69,8 +69,9 @@ def pred(spark, folder):
 
 
 def menus(spark, folder):
-    docs = table(spark, folder, "documents").where("n_chars > 500")
-    langs = docs.select(F.col("doc_id").alias("key"), F.explode(F.array("lang", F.lit("en"))).alias("l"))
+    # every second menu is that of the next document, so some columns lack their concept
+    docs, key = table(spark, folder, "documents"), F.col("doc_id") + F.col("n_chars") % 2
+    langs = docs.select(key.alias("key"), F.explode(F.array("lang", F.lit("en"))).alias("l"))
     return langs.select("key", F.concat(F.lit(CONCEPT), "l").alias("uri"))
 
 
@@ -133,9 +134,9 @@ def partition_agreement_of_rows(spark, folder):
     return _rounded(score.partition_agreement(pairs)).withColumn("name", F.lit("lineitem"))
 
 
-@query(f"WITH {SQL} SELECT property AS concept, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_property)), ',') AS answers, count(DISTINCT p_property) = 1 AS converged FROM marked WHERE run = 1 GROUP BY property HAVING count(*) >= 2")
+@query(f"WITH {SQL} SELECT run, property AS concept, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_property)), ',') AS answers, count(DISTINCT p_property) = 1 AS converged FROM marked GROUP BY run, property HAVING count(*) >= 2")
 def harmonization(spark, folder):
-    groups = score.harmonization(marked(spark, folder).where("run = 1"))
+    groups = score.harmonization(marked(spark, folder), ["run"])
     return groups.withColumn("answers", F.array_join("answers", ","))
 
 
@@ -145,21 +146,26 @@ def harmonization_rate(spark, folder):
     return score.harmonization_rate(score.harmonization(rows)).withColumn("rate", F.round("rate", 6))
 
 
-_CONV = "r AS (SELECT g.src AS family, property AS concept, p.chosen FROM gold g LEFT JOIN (SELECT key, property AS chosen FROM pred WHERE run = 1) p USING (key)), c AS (SELECT concept, family, chosen, count(*) AS n FROM r GROUP BY ALL), w AS (SELECT concept, count(DISTINCT family) AS families, sum(n)::BIGINT AS columns FROM c GROUP BY concept HAVING count(DISTINCT family) >= 2)"
+_CONV = """r AS (SELECT run, g.src AS family, property AS concept, p.chosen FROM (SELECT * FROM gold, (VALUES (1), (2), (3), (4)) r(run)) g
+    LEFT JOIN (SELECT run, key, property AS chosen FROM pred) p USING (run, key)),
+  c AS (SELECT run, concept, family, chosen, count(*) AS n FROM r GROUP BY ALL),
+  w AS (SELECT run, concept, count(DISTINCT family) AS families, sum(n)::BIGINT AS columns FROM c GROUP BY run, concept HAVING count(DISTINCT family) >= 2)"""
 
 
 def _families(spark, folder):
     rows = gold(spark, folder).withColumn("family", F.col("src"))
-    found = pred(spark, folder).where("run = 1").join(rows.select("key", "family"), "key")
-    return score.convergence(rows, found)
+    found = pred(spark, folder).join(rows.select("key", "family"), "key")
+    return score.convergence(score.for_runs(rows, RUNS), found, ["run"])
 
 
-@query(f"WITH {SQL}, {_CONV}, a AS (SELECT concept, chosen, sum(n)::BIGINT AS n FROM c GROUP BY ALL), x AS (SELECT concept, chosen, n, row_number() OVER (PARTITION BY concept ORDER BY n DESC, chosen NULLS LAST) AS k FROM a) SELECT w.*, chosen AS most_common, n AS on_most_common FROM w JOIN x USING (concept) WHERE k = 1")
+@query(f"""WITH {SQL}, {_CONV}, a AS (SELECT run, concept, chosen, sum(n)::BIGINT AS n FROM c GROUP BY ALL),
+  x AS (SELECT run, concept, chosen, n, row_number() OVER (PARTITION BY run, concept ORDER BY n DESC, chosen NULLS LAST) AS k FROM a)
+  SELECT w.*, chosen AS most_common, n AS on_most_common FROM w JOIN x USING (run, concept) WHERE k = 1""")
 def convergence(spark, folder):
     return _families(spark, folder)[0]
 
 
-@query(f"WITH {SQL}, {_CONV} SELECT c.* FROM c JOIN w USING (concept)")
+@query(f"WITH {SQL}, {_CONV} SELECT c.* FROM c JOIN w USING (run, concept)")
 def convergence_counts(spark, folder):
     return _families(spark, folder)[1]
 
@@ -204,18 +210,18 @@ def phrase_agreement(spark, folder):
     return score.phrase_agreement(phrases, ["meta_1", "meta_2", "meta_3"], ("meta_1", "nometa"))
 
 
-@query("""WITH f AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'A'), e AS (SELECT p_partkey AS k FROM part WHERE p_size > 25)
+@query("""WITH f AS (SELECT DISTINCT 2 * l_partkey AS k FROM lineitem), e AS (SELECT 3 * p_partkey AS k FROM part)
   SELECT count(*) FILTER (f.k IS NOT NULL AND e.k IS NOT NULL) AS true_positive, count(*) FILTER (e.k IS NULL) AS false_positive, count(*) FILTER (f.k IS NULL) AS false_negative FROM f FULL JOIN e ON f.k = e.k""")
 def detection_confusion(spark, folder):
-    found = table(spark, folder, "lineitem").where("l_quantity > 45 and l_returnflag = 'A'").select(F.col("l_partkey").alias("key"))
-    return score.detection_confusion(found, table(spark, folder, "part").where("p_size > 25").select(F.col("p_partkey").alias("key")), ["key"])
+    found = table(spark, folder, "lineitem").select((2 * F.col("l_partkey")).alias("key"))
+    return score.detection_confusion(found, table(spark, folder, "part").select((3 * F.col("p_partkey")).alias("key")), ["key"])
 
 
-@query("""WITH f AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity > 45), e AS (SELECT p_partkey AS k FROM part WHERE p_size > 25)
+@query("""WITH f AS (SELECT DISTINCT 2 * l_partkey AS k FROM lineitem), e AS (SELECT 3 * p_partkey AS k FROM part)
   SELECT count(*) AS in_any, count(*) FILTER (f.k IS NOT NULL AND e.k IS NOT NULL) AS in_both, count(*) FILTER (e.k IS NULL) AS only_a, count(*) FILTER (f.k IS NULL) AS only_b FROM f FULL JOIN e ON f.k = e.k""")
 def key_sets(spark, folder):
-    found = table(spark, folder, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("key"))
-    return score.key_sets(found, table(spark, folder, "part").where("p_size > 25").select(F.col("p_partkey").alias("key")))
+    found = table(spark, folder, "lineitem").select((2 * F.col("l_partkey")).alias("key"))
+    return score.key_sets(found, table(spark, folder, "part").select((3 * F.col("p_partkey")).alias("key")))
 
 
 _VOCAB = "vocabulary AS (SELECT DISTINCT 'gemet:' || lang AS token FROM documents WHERE lang <> 'es' UNION SELECT DISTINCT 'unit:' || source FROM documents WHERE doc_id % 3 > 0 AND source < 'src5' UNION SELECT DISTINCT 'gwsw:' || source FROM documents)"

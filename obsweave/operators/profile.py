@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsweave.functions import fixed, naming, values
-from obsweave.session import join_small
+from obsweave.session import join_small, staged
 
 VOTE_ROWS = 500
 
@@ -151,9 +151,9 @@ def shown(value: Column, dtype: Column, decimal: Column) -> Column:
     )
 
 
-def sample_values(cell: DataFrame, columns: DataFrame, n: int = 5) -> DataFrame:
-    """Values of the first n rows of every column, nulls left out, in row order."""
-    head = cell.where((F.col("row") < n) & F.col("value").isNotNull())
+def sample_values(first: DataFrame, columns: DataFrame, n: int = 5) -> DataFrame:
+    """Values of the first n rows of every column, nulls left out, in row order; they are among the first n values."""
+    head = first.where(F.col("row") < n)
     text = head.join(columns.select("file", "pos", "dtype", "decimal"), ["file", "pos"]).withColumn(
         "_t", shown(F.col("value"), F.col("dtype"), F.col("decimal"))
     ).where(F.col("_t").isNotNull())
@@ -184,20 +184,32 @@ def _head(rows: DataFrame, max_rows: int | None) -> DataFrame:
     return rows if max_rows is None else rows.where(F.col("row") < max_rows)
 
 
-def profile_columns(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
+def profile(rows: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(columns, files): both profiles from two scans, one for counts and one for the first values of every column."""
+    first = _first(rows, max_rows)
+    columns = staged(profile_columns(rows, max_rows, first), "columns")
+    return columns, staged(profile_files(rows, columns, max_rows, first), "files")
+
+
+def _first(rows: DataFrame, max_rows: int | None) -> DataFrame:
+    """The first values of every column, at most VOTE_ROWS each, written once: votes, samples, formats and gaps come from them."""
+    return staged(first_values(cells(_head(rows, max_rows)), VOTE_ROWS), "first-values")
+
+
+def profile_columns(rows: DataFrame, max_rows: int | None = None, first: DataFrame | None = None) -> DataFrame:
     """Profile of every column over all rows, or over the first `max_rows` rows of each file.
 
     Number and date forms are votes of the first values of a column; `values_lost` counts what they cost.
     """
     cell = cells(_head(rows, max_rows))
-    first = first_values(cell, VOTE_ROWS)
+    first = _first(rows, max_rows) if first is None else first
     columns = typed(column_counts(cell), column_votes(first))
     is_date = datetime_test(F.col("column"), F.col("iso_first"), F.col("format"))
     columns = columns.withColumn("is_datetime", F.coalesce(is_date, F.lit(False)))
     by_file = Window.partitionBy("file")  # the columns of one file
     first_date = F.min(F.when(F.col("is_datetime"), F.col("pos"))).over(by_file)
     columns = columns.withColumn("is_timestamp", F.coalesce(first_date == F.col("pos"), F.lit(False)))
-    columns = columns.join(sample_values(cell, columns), ["file", "pos"], "left")
+    columns = columns.join(sample_values(first, columns), ["file", "pos"], "left")
     no_range = F.col("is_datetime")
     return columns.select(
         "file", "pos", "column", "dtype", "null_pct",
@@ -209,7 +221,7 @@ def profile_columns(rows: DataFrame, max_rows: int | None = None) -> DataFrame:
     )
 
 
-def profile_files(rows: DataFrame, columns: DataFrame, max_rows: int | None = None) -> DataFrame:
+def profile_files(rows: DataFrame, columns: DataFrame, max_rows: int | None = None, first: DataFrame | None = None) -> DataFrame:
     """Profile of every file: rows, decimal mark, timestamp column with its format, offset and frequency."""
     stamp = F.when(F.col("role") == "timestamp", F.col("pos"))
     files = columns.groupBy("file").agg(
@@ -218,8 +230,9 @@ def profile_files(rows: DataFrame, columns: DataFrame, max_rows: int | None = No
         F.min_by("format", stamp).alias("datetime_format"), F.min_by("timezone", stamp).alias("timezone"),
     )
     stamps = columns.where(F.col("role") == "timestamp").select("file", "pos", "column", "format")
-    cell = cells(_head(rows, max_rows)).join(stamps.select("file", "pos"), ["file", "pos"], "left_semi")
-    freq = frequencies(first_values(cell, 100), stamps).select("file", "frequency")
+    if first is None:
+        first = first_values(cells(_head(rows, max_rows)).join(stamps.select("file", "pos"), ["file", "pos"], "left_semi"), 100)
+    freq = frequencies(first, stamps).select("file", "frequency")
     sampled = F.lit(False) if max_rows is None else F.col("row_count") == max_rows
     return files.join(freq, "file", "left").withColumn("row_count_sampled", sampled)
 

@@ -61,8 +61,8 @@ def profile_folder(spark: SparkSession, root: str, dataset_id: str) -> Profile:
     found = staged(folder.dialects(folder.heads(tables)), "dialects")
     lines, blocks = folder.table_lines(spark, root, found)
     rows = folder.rows_of(lines, blocks, found)
-    columns = staged(profile.profile_columns(rows), "columns")
-    files = staged(profile.profile_files(rows, columns).join(found.select("file", "sep", "encoding", "header_rows"), "file"), "files")
+    columns, files = profile.profile(rows)
+    files = staged(files.join(found.select("file", "sep", "encoding", "header_rows"), "file"), "files")
     keyed = columns.withColumn("column_key", naming.column_key(F.col("file"), F.col("column")))
     keyed = number_in_order(keyed, [], ["file", "pos"], "ord")
     return Profile(dataset_id, rows, keyed, files, folder.unclosed_quotes(blocks, found))

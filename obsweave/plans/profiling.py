@@ -9,7 +9,6 @@ from obsweave.operators import evidence, profile
 from obsweave.plans import build
 from obsweave.plans.given import _iso
 from obsweave.plans.registry import query
-from obsweave.session import staged
 from obsweave.sources import folder as folders
 from obsweave.sources.tables import table
 
@@ -75,7 +74,7 @@ def profile_columns(spark, folder):
   FROM p LEFT JOIN best USING (file) GROUP BY file""")
 def profile_files(spark, folder):
     rows = _rows(spark, folder)
-    out = profile.profile_files(rows, profile.profile_columns(rows))
+    _, out = profile.profile(rows)
     return out.select("file", "row_count", "decimal", "n_columns", "datetime_column", "datetime_format", "frequency", "row_count_sampled")
 
 
@@ -176,8 +175,7 @@ def numeric_coercion(spark, folder):
   CASE WHEN CASE WHEN decimal = ',' THEN vc ELSE vd END >= 0.9 THEN try_cast(replace(value, ',', '.') AS DOUBLE)::VARCHAR ELSE value END AS value FROM cells JOIN d USING (file)""")
 def normalize_values(spark, folder):
     rows = _messy(spark, folder)
-    cols = staged(profile.profile_columns(rows), "columns")
-    out = profile.normalize(rows, cols, profile.profile_files(rows, cols))
+    out = profile.normalize(rows, *profile.profile(rows))
     return out.select("file_id", "row", "column", "value_num", "value")
 
 
@@ -185,16 +183,14 @@ def normalize_values(spark, folder):
   SELECT file AS file_id, 'level' AS "column", count(*) AS present, count(*) FILTER (kept IS NULL) AS lost FROM k GROUP BY file""")
 def values_lost(spark, folder):
     rows = _messy(spark, folder)
-    cols = staged(profile.profile_columns(rows), "columns")
-    return profile.values_lost(rows, cols, profile.profile_files(rows, cols))
+    return profile.values_lost(rows, *profile.profile(rows))
 
 
 @query("""SELECT event_type AS file_id, event_id AS row, CASE event_type WHEN 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+01:00' WHEN 'error' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
     WHEN 'signup' THEN strftime(ts, '%Y-%m-%dT00:00:00') ELSE strftime(ts, '%Y-%m-%dT%H:%M:00') END AS result_time, value AS value_num FROM events""")
 def normalize_rows(spark, folder):
     rows = _times(spark, folder).withColumn("names", F.array(F.lit("time"), F.lit("value")))
-    cols = staged(profile.profile_columns(rows), "columns")
-    out = profile.normalize(rows, cols, profile.profile_files(rows, cols))
+    out = profile.normalize(rows, *profile.profile(rows))
     return out.where("column = 'value'").select("file_id", "row", "result_time", "value_num")
 
 
@@ -206,8 +202,7 @@ def row_cap(spark, folder):
     rows = table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("file"), (F.row_number().over(by_file) - 1).alias("row"), F.array(F.lit("value")).alias("names"),
         F.array(F.col("value").cast("string")).alias("cells"))
-    cols = staged(profile.profile_columns(rows), "columns")
-    long = profile.normalize(rows, cols, profile.profile_files(rows, cols), max_rows=40)
+    long = profile.normalize(rows, *profile.profile(rows), max_rows=40)
     return long.groupBy(F.col("file_id").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.max("row").alias("last_row"))
 
 

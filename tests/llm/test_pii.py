@@ -82,6 +82,20 @@ def test_phones_with_spaces_and_dates_day_first(rows, spark):
     assert moved.select("m").distinct().count() == days.count()
 
 
+def test_long_unbroken_texts_take_time_in_proportion(rows):
+    import time
+
+    n = 1_000_000
+    texts = ["a" * n + "1", "7" * n, "." * n + "1", "a." * (n // 2) + "1", "x@" + "a." * (n // 2) + "b", "a@" * (n // 2), "-" * n + "1", "password=" + "a" * n, "1.1." * (n // 4), "a" * n + "@b.org"]
+    docs = rows("doc_id int, text string", *enumerate(texts)).repartition(1)
+    pii.pseudonymize(docs.limit(1), "k").collect()
+    start = time.time()
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymize(docs, "k").collect()}
+    assert time.time() - start < 60  # ten texts of a megabyte, on a slow machine
+    assert [got[i] == texts[i] for i in range(10)] == [True] * 4 + [False] + [True] * 2 + [False, True, False]
+    assert got[9].endswith("@mail.invalid") and len(got[9]) < 40
+
+
 def test_odd_documents(odd_documents, no_documents):
     done = pii.pseudonymize(odd_documents, "k")
     assert done.columns.count("found") == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,23 @@ from obsweave.session import ship, staged
 # Rows that a Python task turns into one Arrow batch at a time.
 SLICE = 512
 
+_FORGETTING: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Names what an operator keeps in a Python worker between its tasks."""
+    _FORGETTING[owner] = forget
+
+
+def alone(owner: str) -> None:
+    """Called by a task of `owner`: a worker serves one operator after another, and drops what the others keep in it."""
+    others = [forget for name, forget in _FORGETTING.items() if name != owner]
+    for forget in others:
+        forget()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsweave.llm.common import components, slices
+from obsweave.llm.common import alone, components, slices
 from obsweave.session import ship, staged
 
 LINES_PER_BUCKET = 60_000
@@ -155,6 +155,7 @@ def shared_keys(texts: DataFrame, k: int, least: int | None, buckets: int) -> Da
     ship(texts.sparkSession)
 
     def send(batches):
+        alone("line dedup")
         seen: set[int] = set()
         keys, lines = array("Q"), array("q")
 
@@ -209,6 +210,7 @@ def occurrences(docs: DataFrame, least: int | None) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
+        alone("line dedup")
         for batch in slices(batches):
             found = [[(i, line_hash(x)) for i, x in part_lines(t, least)] for t in batch.column(1).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsweave.llm.common import slices
+from obsweave.llm.common import remembers, slices
 from obsweave.session import ship, staged
 
 # Words whose ids a Python worker remembers at most; then it starts anew.
@@ -38,6 +38,13 @@ _PUNCTUATED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 _LOADED: dict = {}
 
 
+def _forget() -> None:
+    _LOADED.clear()
+
+
+remembers("packing", _forget)
+
+
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
     """Ids of whole texts, little-endian with 4 bytes each.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from obsweave.operators.numbering import number_in_order
 from obsweave.session import join_small, staged
 
 
@@ -112,22 +113,27 @@ def site_manifest(files: DataFrame, gold_columns: DataFrame) -> DataFrame:
 
 
 def greedy_cover(pairs: DataFrame, costs: DataFrame) -> DataFrame:
-    """Sites that cover all variables: each round takes the site with most uncovered variables, then
+    """Sites that cover all variables: each step takes the site with most uncovered variables, then
     the lowest cost, then the first name.
 
-    `pairs` is (site, variable), `costs` (site, columns). A round is one aggregation and brings one row
-    to the driver; what is left is written to the shared folder, so lineage does not grow. There are as
-    many rounds as sites in the answer.
+    `pairs` is (site, variable), `costs` (site, columns). A site that comes before all sites with which it shares an
+    uncovered variable keeps its gain until it is taken, as only those could lower it and theirs never rise. A round
+    takes all such sites at once. Gains fall from step to step, so the steps are the order of (gain, cost, name) at
+    the time of taking. There are as many rounds as the longest chain of sites that wait for one another; only whether
+    variables are left reaches the driver.
     """
-    spark = pairs.sparkSession
-    left = staged(pairs.select("site", "variable").distinct(), "cover")
-    chosen: list[tuple[int, str, int]] = []
-    while True:
-        gain = left.groupBy("site").agg(F.count(F.lit(1)).alias("gain")).join(costs.select("site", "columns"), "site")
-        best = gain.orderBy(F.desc("gain"), "columns", "site").limit(1).collect()
-        if not best:
-            break
-        chosen.append((len(chosen) + 1, best[0]["site"], best[0]["gain"]))
-        covered = left.where(F.col("site") == best[0]["site"]).select("variable")
+    known = costs.select("site", "columns")
+    left = staged(pairs.select("site", "variable").distinct().join(known, "site"), "cover")
+    taken = left.select("site", "columns", F.lit(0).cast("long").alias("gain")).limit(0)
+    while not left.isEmpty():
+        gains = left.groupBy("site").agg(F.count(F.lit(1)).alias("gain"))
+        place = F.struct((-F.col("gain")).alias("loss"), "columns", "site")
+        placed = join_small(left, gains, "site", "inner").withColumn("place", place)
+        firsts = placed.groupBy("variable").agg(F.min("place").alias("first"))
+        won = join_small(placed, firsts, "variable", "inner").groupBy("site", "columns", "gain").agg(F.bool_and(F.col("place") == F.col("first")).alias("won"))
+        won = staged(won.where("won").drop("won"), "cover-taken")
+        taken = taken.unionByName(won)
+        covered = join_small(left, won.select("site"), "site", "left_semi").select("variable").distinct()
         left = staged(join_small(left, covered, "variable", "left_anti"), "cover")
-    return spark.createDataFrame(chosen, "step int, site string, gain long")
+    steps = number_in_order(taken, [], [F.desc("gain"), "columns", "site"], "step")
+    return steps.select(F.col("step").cast("int").alias("step"), "site", "gain")

@@ -54,6 +54,17 @@ def test_greedy_cover(spark):
     assert [r["site"] for r in got] == want
 
 
+def test_sites_that_share_nothing_are_taken_in_one_round(rows, monkeypatch):
+    rounds = []
+    staged = relational.staged
+    monkeypatch.setattr(relational, "staged", lambda df, name: rounds.append(name) or staged(df, name))
+    pairs = [(f"s{i:02d}", f"v{i}-{k}") for i in range(30) for k in range(1 + i % 3)] + [("t", "v0-0"), ("no cost", "w")]
+    costs = rows("site string, columns int", *[(f"s{i:02d}", 2) for i in range(30)], ("t", 1))
+    got = relational.greedy_cover(rows("site string, variable string", *pairs), costs).orderBy("step").collect()
+    assert [(r["step"], r["gain"]) for r in got] == [(i + 1, 3 - i // 10) for i in range(30)] and "s00" not in {r["site"] for r in got}
+    assert rounds.count("cover-taken") == 1
+
+
 def test_number_by_across_buckets(spark):
     df = spark.range(0, 1000).where("id % 3 = 0").withColumnRenamed("id", "ord")
     got = number_by(df, "ord", "no", bucket=50).orderBy("ord").collect()

@@ -1,6 +1,8 @@
 """Near-duplicate vectors: sorted passes over random-hyperplane hashes, compared within windows.
 
-1. Equal vectors of a group are one row with a count.
+1. Equal vectors of a group are one row with a count. Vectors of one label often lie in a cone, where hyperplanes through
+   the origin part little; so each group's mean direction is taken off before hashing, and its number of passes follows
+   from its size and from how far its vectors are spread around that mean.
 2. Each pass draws its own hyperplanes. A vector's signs, read as one number, are its sort key; vectors are ordered by
    group, key and id, and each is compared with the `window` next ones. The order is cut into blocks that also hold
    the first `window` rows of the next block, so no neighbours are lost at block borders, and equal keys may be split
@@ -25,10 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import components
-from obsweave.session import ship, staged
+from obsweave.session import join_small, ship, staged
 
 BITS = 48
 BLOCK = 1024
+CENTRES = 10_000  # groups whose centres are broadcast
 
 
 def hyperplanes(dims: int, passes: int, seed: int) -> np.ndarray:
@@ -40,11 +43,22 @@ def unit(lists) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def passes_for(n: int, window: int, cosine: float, recall: float) -> int:
-    """Passes after which a pair at the threshold met in a window with the wanted probability, for n vectors of one group."""
-    bits = max(1.0, math.log2(max(n, 2) / window))
-    hit = (1 - math.acos(cosine) / math.pi) ** bits
-    return max(2, math.ceil(math.log(1 - recall) / math.log(1 - min(hit, 0.999))))
+def group_centres(reps: DataFrame, window: int, cosine: float, recall: float, most: int) -> DataFrame:
+    """(group, dims, centre, passes) of every group and length of vectors.
+
+    Two unit vectors at the threshold, seen from a mean of squared length m, are on average at the cosine
+    1 - (1 - cosine) / (1 - m) to each other; passes are counted for that angle.
+    """
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = reps.select("group", F.size("v").alias("dims"), F.posexplode("v").alias("i", "x"), norm.alias("norm"))
+    means = rows.groupBy("group", "dims", "i").agg(F.avg(F.col("x") / F.col("norm")).alias("x"), F.count(F.lit(1)).alias("n"))
+    centre = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"])  # one entry per dimension
+    groups = means.groupBy("group", "dims").agg(centre.alias("centre"), F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("m"))
+    seen = F.greatest(F.lit(-0.5), 1 - (1 - F.lit(cosine)) / F.greatest(1 - F.col("m"), F.lit(1e-9)))
+    bits = F.greatest(F.lit(1.0), F.log2(F.greatest(F.col("n"), F.lit(2)) / window))
+    hit = F.least(F.lit(0.999), F.pow(1 - F.acos(seen) / math.pi, bits))
+    passes = F.ceil(F.lit(math.log(1 - recall)) / F.log(1 - hit))
+    return groups.select("group", "dims", "centre", F.least(F.lit(most), F.greatest(F.lit(2), passes)).cast("int").alias("passes"))
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, group_col: str) -> DataFrame:
@@ -56,7 +70,7 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, group_col
     return rows.distinct().groupBy("group", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("rep", F.monotonically_increasing_id())
 
 
-def window_links(reps: DataFrame, passes: int, window: int, cosine: float, seed: int) -> DataFrame:
+def window_links(reps: DataFrame, centres: DataFrame, window: int, cosine: float, seed: int) -> DataFrame:
     """(a, b) links between neighbours of any pass."""
     ship(reps.sparkSession)
     kind = reps.schema["rep"].dataType.simpleString()
@@ -65,22 +79,30 @@ def window_links(reps: DataFrame, passes: int, window: int, cosine: float, seed:
     def keyed(batches):
         planes = {}
         for batch in batches:
-            lists = batch.column(2).to_pylist()
-            keys = np.zeros((passes, len(lists)), dtype=np.int64)
+            lists, passes = batch.column(2).to_pylist(), batch.column(4).to_numpy()
+            centres, most = batch.column(3).to_pylist(), int(passes.max(initial=0))
             by_dims = {}
             for i, x in enumerate(lists):
                 by_dims.setdefault(len(x), []).append(i)
+            keys = np.zeros((most, len(lists)), dtype=np.int64)
             for dims, at in by_dims.items():
-                if dims not in planes:
-                    planes[dims] = hyperplanes(dims, passes, seed)
-                signs = np.einsum("pbd,nd->pnb", planes[dims], np.array([lists[i] for i in at])) > 0
-                keys[:, at] = signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-            for p in range(passes):
+                own = int(passes[at].max())
+                if dims not in planes or len(planes[dims]) < own:
+                    planes[dims] = hyperplanes(dims, own, seed)
+                seen = unit([lists[i] for i in at]) - np.array([centres[i] for i in at])
+                for p in range(own):
+                    keys[p, at] = (seen @ planes[dims][p].T > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+            for p in range(most):
+                some = np.flatnonzero(passes > p)
+                rows = batch.take(pa.array(some))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p] * len(lists), pa.int32()), batch.column(0), pa.array(keys[p]), batch.column(1), batch.column(2)],
+                    [pa.array([p] * len(some), pa.int32()), rows.column(0), pa.array(keys[p, some]), rows.column(1), rows.column(2)],
                     names=["pass", "group", "key", "rep", "v"])
 
-    rows = reps.select("group", "rep", "v").mapInArrow(keyed, f"pass int, group {group}, key long, rep {kind}, v array<double>")
+    # one row per group: centres are broadcast within a bound, else joined by shuffle
+    own = (F.col("group") == F.col("of")) & (F.size("v") == F.col("dims"))
+    centred = join_small(reps.select("group", "rep", "v"), centres.withColumnRenamed("group", "of"), own, "inner", CENTRES)
+    rows = centred.select("group", "rep", "v", "centre", "passes").mapInArrow(keyed, f"pass int, group {group}, key long, rep {kind}, v array<double>")
     parts = max(1, reps.sparkSession.sparkContext.defaultParallelism)
     rows = rows.repartitionByRange(max(parts, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "pass", "group", "key", "rep")
     rows = rows.sortWithinPartitions("pass", "group", "key", "rep").withColumn("at", F.monotonically_increasing_id())
@@ -179,12 +201,14 @@ def counted_links(members: DataFrame, cosine: float) -> DataFrame:
 
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str = "label",
-    cosine: float = 0.98, window: int = 64, recall: float = 0.995, seed: int = 7,
+    cosine: float = 0.98, window: int = 64, recall: float = 0.995, seed: int = 7, most_passes: int = 256,
 ) -> DataFrame:
-    """Per row: id, n_links (vectors linked directly), component_id (smallest id reachable, itself included), kept (id = component_id)."""
+    """`most_passes` bounds the passes of groups so narrow that single links hardly show in any order.
+
+    Per row: id, n_links (vectors linked directly), component_id (smallest id reachable, itself included), kept (id = component_id)."""
     reps = staged(distinct_vectors(vectors, id_col, vector_col, group_col), "vectors-distinct")
-    largest = reps.groupBy("group").count().agg(F.max("count")).first()[0] or 1
-    links = staged(window_links(reps, passes_for(largest, window, cosine, recall), window, cosine, seed), "vectors-links")
+    centres = staged(group_centres(reps, window, cosine, recall, most_passes), "vectors-centres")
+    links = staged(window_links(reps, centres, window, cosine, seed), "vectors-links")
     labels = components(links, "vectors").withColumnRenamed("id", "rep")
     members = staged(reps.join(labels, "rep").select("rep", "id", "v", "copies", "component"), "vectors-grouped")
     linked = counted_links(members, cosine)

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from obsweave.llm.near_vectors import near_vectors, passes_for
+from obsweave.llm.near_vectors import group_centres, near_vectors
 
 
 def brute(ids, labels, vectors, cosine=0.98):
@@ -48,5 +48,33 @@ def test_odd_vectors_link_with_nothing(rows):
     assert near_vectors(vectors.limit(0)).count() == 0
 
 
-def test_more_vectors_take_more_passes():
-    assert passes_for(1000, 64, 0.98, 0.99) < passes_for(10**9, 64, 0.98, 0.99) < 100
+def test_more_vectors_and_narrower_cones_take_more_passes(rows):
+    rng = np.random.default_rng(3)
+
+    def passes(n, mean, most=256):
+        v = rng.standard_normal((n, 32))
+        v = np.sqrt(1 - mean) * v / np.linalg.norm(v, axis=1, keepdims=True)
+        v[:, 0] += np.sqrt(mean)
+        reps = rows("group int, v array<double>", *[(0, x.tolist()) for x in v])
+        return group_centres(reps, 64, 0.98, 0.99, most).first()["passes"]
+
+    assert 2 <= passes(200, 0.0) < passes(3000, 0.0) < passes(3000, 0.9) < 100
+    assert passes(3000, 0.97, most=20) == 20
+
+
+@pytest.mark.parametrize("mean, dims", [(0.8, 64), (0.95, 64), (0.9, 384)])
+def test_pairs_within_a_cone_are_found(rows, mean, dims):
+    rng = np.random.default_rng(1)
+    n, cosine = 1000, 0.983
+    base = rng.standard_normal((n, dims))
+    base[:, 0] = 0
+    base *= np.sqrt(1 - mean) / np.linalg.norm(base, axis=1, keepdims=True)
+    base[:, 0] = np.sqrt(mean)
+    step = rng.standard_normal((n, dims))
+    step -= (step * base).sum(axis=1, keepdims=True) * base
+    twin = cosine * base + np.sqrt(1 - cosine ** 2) * step / np.linalg.norm(step, axis=1, keepdims=True)
+    vectors = np.concatenate([base, twin])
+    got = near_vectors(rows("vec_id long, embedding array<double>, label int", *[(i, v.tolist(), 0) for i, v in enumerate(vectors)])).collect()
+    want = brute(list(range(2 * n)), [0] * (2 * n), vectors)
+    assert sum(r["n_links"] for r in got) >= 0.99 * sum(k for k, _ in want.values())
+    assert all(r["n_links"] <= want[r["vec_id"]][0] for r in got)

@@ -177,7 +177,8 @@ class Ranker:
     def counts(self) -> DataFrame:
         """(query_id, source, n_docs, n_hits, n_positive) of every query and source."""
         found = self.hits.groupBy("query_id", "source").agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(F.col("score") > 0).alias("n_positive"))
-        sources = F.array(*[F.struct(F.lit(r["source"]).alias("source"), F.lit(r["n_docs"]).alias("n_docs")) for r in self.sizes.collect()])  # one per vocabulary
+        sizes = self.sizes.collect()  # one row per vocabulary
+        sources = F.array(*[F.struct(F.lit(r["source"]).alias("source"), F.lit(r["n_docs"]).alias("n_docs")) for r in sizes])
         every = self.asked.select("query_id", F.inline(sources))
         rows = every.join(found, ["query_id", "source"], "left")
         return staged(rows.select("query_id", "source", "n_docs", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_hits", "n_positive")]), "counts")
@@ -215,7 +216,8 @@ class Ranker:
             scored = self.hits.where("score > 0") if mode == "bm25" else self.dense
             ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= depth)
             if mode == "bm25":
-                ranked = ranked.withColumn("rank", F.col("rank").cast("long")).unionByName(self._zeros(self.counts.select("query_id", "source", F.lit(depth).alias("depth"))))
+                zeros = self._zeros(self.counts.select("query_id", "source", F.lit(depth).alias("depth")))
+                ranked = ranked.withColumn("rank", F.col("rank").cast("long")).unionByName(zeros)
                 below = self.hits.where("score < 0").limit(1)
                 if not below.isEmpty():
                     ranked = ranked.unionByName(self.hit_ranks.where((F.col("score") < 0) & (F.col("rank") <= depth)))
@@ -244,7 +246,8 @@ class Ranker:
         zero = mixed.join(self.places, ["source", "uri"]).join(self.counts, ["query_id", "source"])
         zero = zero.select(*keys, F.lit(0.0).alias("score"), (F.col("n_positive") + F.col("place") - (F.col("_all") - F.col("_own"))).alias("rank"))
         dense = pairs.join(self.dense_ranks, keys).select(*keys, "score", "rank")
-        columns = lambda rows, mode: rows.select(F.lit(mode).alias("mode"), "source", "query_id", "uri", "score", F.col("rank").cast("long").alias("rank"))
+        rank = F.col("rank").cast("long").alias("rank")
+        columns = lambda rows, mode: rows.select(F.lit(mode).alias("mode"), "source", "query_id", "uri", "score", rank)
         return columns(hit.unionByName(zero), "bm25").unionByName(columns(dense, "dense"))
 
     def fused(self, k: int) -> DataFrame:
@@ -267,7 +270,8 @@ class Ranker:
         depths = own.groupBy("query_id", "source").agg((F.floor(2 / F.min("rrf")) - fixed.RRF_OFFSET + 1).cast("long").alias("depth"))
         near = self.within(staged(depths, "depths")).unionByName(own.select("query_id", "source", "uri")).distinct()
         ranked = fuse(self.ranks(staged(near, "near")), None, self.longest)
-        return ranked.join(pairs.select("query_id", "source", "uri").distinct(), ["query_id", "source", "uri"], "left_semi").select("query_id", "source", "uri", "rank")
+        keys = ["query_id", "source", "uri"]
+        return ranked.join(pairs.select(*keys).distinct(), keys, "left_semi").select(*keys, "rank")
 
 
 def fuse(ranks: DataFrame, k: int | None, longest: int = WINDOW_ROWS + 1) -> DataFrame:

@@ -26,7 +26,8 @@ _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 def _order_files(spark, folder):
     """Orders as one text file per priority, each in a dialect of its own; the files end in .txt, as Spark writes texts."""
     orders = table(spark, folder, "orders")
-    key, price, status, who = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), F.col("o_orderstatus"), F.col("o_custkey").cast("string")
+    key, price, who = (F.col(c).cast("string") for c in ("o_orderkey", "o_totalprice", "o_custkey"))
+    status = F.col("o_orderstatus")
     note = F.concat(F.lit('"first line of '), who, F.lit(', ""'), status, F.lit('""\n\nlast line"'))
     priority = F.col("o_orderpriority")
     row = (
@@ -55,7 +56,8 @@ def file_dialects(spark, folder):
     found = folders.discover(spark, _order_files(spark, folder), ["txt"])
     dialects = folders.dialects(folders.heads(found.where("kind = 'table'"))).join(found.select("file", "kind"), "file")
     priority = F.url_decode(F.regexp_extract("file", "priority=([^/]*)/", 1))
-    return dialects.select(priority.alias("priority"), "kind", "encoding", "sep", F.col("header_rows").cast("int").alias("header_rows"), F.array_join("names", "|").alias("names"))
+    return dialects.select(
+        priority.alias("priority"), "kind", "encoding", "sep", F.col("header_rows").cast("int").alias("header_rows"), F.array_join("names", "|").alias("names"))
 
 
 @query("""SELECT o_orderpriority AS priority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS row, o_orderkey::VARCHAR AS key,
@@ -83,12 +85,14 @@ def ntriples_scan(spark, folder):
     literal = F.when(even, F.array_join(letters, "")).otherwise(F.replace(escape(F.col("text")), F.lit("\t"), F.lit("\\t")))
     subject = F.concat(F.lit("<http://example.org/doc/"), F.col("doc_id").cast("string"), F.lit("> <http://example.org/text> \""))
     line = F.concat(subject, literal, F.lit('"@'), F.col("lang"), F.when(F.col("doc_id") % 3 == 0, ' . # a "comment" .').otherwise(" ."))
-    other = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("not a triple "), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 10 == 4, "").otherwise("# only a comment")
+    tenth = F.col("doc_id") % 10
+    other = F.when(tenth == 3, F.concat(F.lit("not a triple "), F.col("doc_id").cast("string"))).when(tenth == 4, "").otherwise("# only a comment")
     path = _path(spark, "triples")
     docs.select(F.explode(F.array(line, other)).alias("value")).write.text(path)
-    read = tables.ntriples(spark, path).select(F.regexp_extract("s", r"(\d+)$", 1).cast("long").alias("doc_id"), F.lit("triple").alias("kind"), F.col("o_lang").alias("lang"), F.md5("o").alias("code"))
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("long").alias("doc_id")
+    read = tables.ntriples(spark, path).select(number("s"), F.lit("triple").alias("kind"), F.col("o_lang").alias("lang"), F.md5("o").alias("code"))
     rejected = tables.ntriples_rejected(spark, path).select(
-        F.regexp_extract("line", r"(\d+)$", 1).cast("long").alias("doc_id"), F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("lang"), F.md5("line").alias("code"))
+        number("line"), F.lit("rejected").alias("kind"), F.lit(None).cast("string").alias("lang"), F.md5("line").alias("code"))
     return read.unionByName(rejected)
 
 
@@ -107,7 +111,8 @@ def companion_files(spark, folder):
     path = _path(spark, "companions")
     docs = table(spark, folder, "documents").where("text IS NOT NULL").repartition("lang").sortWithinPartitions("lang", "doc_id")
     docs.select("lang", "text").write.partitionBy("lang").text(path)
-    return folders.companions(spark, path).select(F.regexp_extract("file", "lang=([^/]*)/", 1).alias("lang"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("code"))
+    return folders.companions(spark, path).select(
+        F.regexp_extract("file", "lang=([^/]*)/", 1).alias("lang"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("code"))
 
 
 @query(ORACLES["normalize_rows"])
@@ -115,7 +120,8 @@ def normalized_files(spark, folder):
     """Normalized rows through their files."""
     path = _path(spark, "normalized")
     sinks.write_normalized(profiling.normalize_rows(spark, folder), path)
-    return spark.read.schema("row long, result_time string, value_num double, file_id string").parquet(path).select("file_id", "row", "result_time", "value_num")
+    read = spark.read.schema("row long, result_time string, value_num double, file_id string").parquet(path)
+    return read.select("file_id", "row", "result_time", "value_num")
 
 
 _UNPIVOT = ", ".join(f"{{'variable': '{k}', 'value': {k}}}" for k in relating.KINDS)
@@ -132,7 +138,8 @@ def site_files(spark, folder):
     found = folders.dialects(folders.heads(folders.discover(spark, path).where("kind = 'table'")))
     rows = folders.raw_rows(spark, path, found)
     part = lambda name: F.url_decode(F.regexp_extract("file", f"{name}=([^/]*)/", 1)).alias(name)
-    cells = rows.select(part("site"), part("device"), F.get("cells", F.lit(0)).alias("timestamp"), F.posexplode(F.arrays_zip("names", "cells")).alias("pos", "c")).where("pos > 0")
+    cells = rows.select(
+        part("site"), part("device"), F.get("cells", F.lit(0)).alias("timestamp"), F.posexplode(F.arrays_zip("names", "cells")).alias("pos", "c")).where("pos > 0")
     return cells.select("site", "device", "timestamp", F.col("c.names").alias("variable"), F.col("c.cells").cast("double").alias("value"))
 
 
@@ -150,15 +157,16 @@ def feature_class_lines(spark, folder):
 
 @query("""SELECT p_type AS dataset, p_partkey::VARCHAR AS variable, p_name AS "column", CASE WHEN p_size % 2 = 0 THEN 'reuse' ELSE 'mint' END AS decision, p_brand AS accepted FROM part""")
 def gold_files(spark, folder):
-    """Gold rows through nested JSON files, one per kind of part."""
+    """Gold rows through nested JSON files, by kind of part."""
     part = table(spark, folder, "part")
-    row = F.struct(
-        F.col("p_partkey").cast("string").alias("variable"), F.col("p_name").alias("column"), F.when(F.col("p_size") % 2 == 0, "reuse").otherwise("mint").alias("decision"),
-        F.array("p_brand").alias("accept"))
-    # a gold file is one document by its form: rows of one kind, as many as its readers hold
-    files = part.groupBy(F.col("p_type").alias("kind")).agg(F.to_json(F.struct(F.first("p_type").alias("dataset"), F.collect_list(row).alias("observations"))).alias("value"))
+    decision = F.when(F.col("p_size") % 2 == 0, "reuse").otherwise("mint").alias("decision")
+    row = F.struct(F.col("p_partkey").cast("string").alias("variable"), F.col("p_name").alias("column"), decision, F.array("p_brand").alias("accept"))
+    # a gold file is one document by its form, so a file holds at most 10,000 parts
+    block = F.floor(F.col("p_partkey") / 10_000).alias("block")
+    document = F.to_json(F.struct(F.first("p_type").alias("dataset"), F.collect_list(row).alias("observations")))
+    files = part.groupBy(F.col("p_type").alias("kind"), block).agg(document.alias("value"))
     path = _path(spark, "gold")
-    files.repartition("kind").write.partitionBy("kind").text(path)
+    files.repartition("kind", "block").write.partitionBy("kind", "block").text(path)
     read = tables.gold(spark, path)
     return read.select("dataset", "variable", "column", "decision", F.get("accept", F.lit(0)).alias("accepted"))
 
@@ -169,4 +177,5 @@ def report_files(spark, folder):
     path = _path(spark, "report")
     facts = relating.cleaned(spark, folder)
     sinks.write_report(relational.device_files(facts), path)
-    return spark.read.schema("site string, device string, variables array<string>, n_rows long").json(path).withColumn("variables", F.array_join("variables", ","))
+    read = spark.read.schema("site string, device string, variables array<string>, n_rows long").json(path)
+    return read.withColumn("variables", F.array_join("variables", ","))

@@ -109,7 +109,8 @@ def _by_state(name: str) -> Column:
 def block_states(lines: DataFrame) -> DataFrame:
     """One row per block: (file, block, n, state, records_before, filled_before, broken, open_nb, open_record).
 
-    `broken` blocks may hold lines that begin or end inside a quoted cell. `open_nb` and `open_record` are the count of filled lines and the record at a quote that the file never closes, else null.
+    `broken` blocks may hold lines that begin or end inside a quoted cell. `open_nb` and `open_record` are the count of filled
+    lines and the record at a quote that the file never closes, else null.
     """
     def last_opening(h):
         opens = ~F.col(f"before_{h}") & F.col(f"after_{h}")
@@ -137,7 +138,8 @@ def block_states(lines: DataFrame) -> DataFrame:
     never_closed = F.max_by("end", "block").over(file)
     at_end = lambda c: F.when(never_closed, F.col(f"open.{c}"))
     return rows.select(
-        "file", "block", "n", "state", "records_before", "filled_before", (F.col("state") | F.col("opening").isNotNull()).alias("broken"), at_end("nb").alias("open_nb"), at_end("record").alias("open_record"))
+        "file", "block", "n", "state", "records_before", "filled_before", (F.col("state") | F.col("opening").isNotNull()).alias("broken"),
+        at_end("nb").alias("open_nb"), at_end("record").alias("open_record"))
 
 
 def unclosed(blocks: DataFrame) -> DataFrame:

@@ -76,7 +76,10 @@ def columns_named_like(columns: DataFrame, text: str) -> DataFrame:
 def evidence_chunks(spark: SparkSession, root: str, found: Profile, documentation: bool = True) -> DataFrame:
     """(source, text) of the files' structure and, with documentation, the companion texts."""
     chunks = evidence.structure_chunks(found.columns)
-    return chunks.unionByName(evidence.companion_chunks(folder.companions(spark, root))) if documentation else evidence.structure_only(chunks)
+    if not documentation:
+        return evidence.structure_only(chunks)
+    # the first piece of a text is longer than a chunk may be, or all of it
+    return chunks.unionByName(evidence.companion_chunks(folder.companions(spark, root).where("piece = 0")))
 
 
 def retrieval_queries(found: Profile, phrases: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -94,7 +97,7 @@ def retrieval_queries(found: Profile, phrases: DataFrame, contexts: DataFrame) -
 
 def metadata_contexts(spark: SparkSession, root: str, found: Profile) -> DataFrame:
     """(dataset_id, column, context): lines of the dataset's companion texts, in the order of their names, that name an observable column."""
-    texts = number_in_order(folder.companions(spark, root).select("file", "text"), [], ["file"], "ord")
+    texts = number_in_order(staged(folder.companions(spark, root).select("file", "piece", "text"), "companions"), [], ["file", "piece"], "ord")
     documents = texts.select(F.lit(found.dataset_id).alias("dataset_id"), (F.col("ord") - 1).alias("ord"), "text")
     columns = found.columns.where(profile.observable(F.col("role"))).select(F.lit(found.dataset_id).alias("dataset_id"), "column").distinct()
     return evidence.metadata_context(documents, columns)

@@ -111,8 +111,7 @@ def companion_files(spark, folder):
     path = _path(spark, "companions")
     docs = table(spark, folder, "documents").where("text IS NOT NULL").repartition("lang").sortWithinPartitions("lang", "doc_id")
     docs.select("lang", "text").write.partitionBy("lang").text(path)
-    return folders.companions(spark, path).select(
-        F.regexp_extract("file", "lang=([^/]*)/", 1).alias("lang"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("code"))
+    return folders.companion_digests(spark, path).select(F.regexp_extract("file", "lang=([^/]*)/", 1).alias("lang"), "chars", "code")
 
 
 @query(ORACLES["normalize_rows"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import csv
+import hashlib
 import io
 from urllib.parse import quote, urlsplit
 
@@ -20,6 +21,8 @@ from obsweave.sources import records
 HEAD_LINES = 5
 ENCODING_CHARS = 4096
 ENCODING_READ = 8192
+PIECE = 1 << 20
+_WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _root_uri(spark: SparkSession, root: str) -> str:
@@ -241,16 +244,62 @@ def unclosed_quotes(blocks: DataFrame, found: DataFrame) -> DataFrame:
     return opened.select("file", (F.col("record") - F.col("header_rows")).alias("row"))
 
 
+def _pieces(path: str, size: int = PIECE):
+    """The text of a file without white space around it, in pieces that end with a line break, the last one excepted.
+
+    A piece has at least `size` characters. Lines of several pieces are cut too, each part longer than lines that count as evidence.
+    """
+    decoder = codecs.getincrementaldecoder("utf-8")("replace")
+    text = ""  # what is read and not given yet
+    begun = False
+    with _open(path) as raw:
+        while data := raw.read(size):
+            text += decoder.decode(data)
+            if not begun:
+                text = text.lstrip(_WHITE)
+                begun = text != ""
+            body = len(text.rstrip(_WHITE))
+            cut = text.rfind("\n", size - 1, body) + 1 or (3 * size if body >= 4 * size else 0)
+            if cut:
+                yield text[:cut]
+                text = text[cut:]
+    text = (text + decoder.decode(b"", final=True)).rstrip(_WHITE)
+    text = text if begun else text.lstrip(_WHITE)
+    if text:
+        yield text
+
+
+def _readable(spark: SparkSession, root: str) -> DataFrame:
+    """(path, file, source) of the companion files, whose content the listing does not read."""
+    ship(spark)
+    listed = discover(spark, root).where("kind = 'readable'")
+    return listed.select("path", "file", F.regexp_extract("path", "([^/]+)$", 1).alias("source"))
+
+
 def companions(spark: SparkSession, root: str) -> DataFrame:
-    """(file, source, text) of the readable companion files that are not empty."""
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _any_case(fixed.TEXT_EXTENSIONS))
-        .load(root)
-    )
-    valid = F.make_valid_utf8(F.col("content").cast("string"))
-    text = F.regexp_replace(F.regexp_replace(valid, r"^(?U)\s+", ""), r"(?U)\s+$", "")
-    return listed.select(
-        _relative(F.col("path"), _root_uri(spark, root)).alias("file"),
-        F.regexp_extract("path", "([^/]+)$", 1).alias("source"), text.alias("text"),
-    ).where(F.col("text") != "")
+    """(file, source, piece, text) of the readable companion files that are not empty.
+
+    Files come in pieces, cut between lines and numbered from 0, so that no task holds a large file; a small one is one piece.
+    """
+    def read(batches):
+        for batch in batches:
+            for path, file, source in zip(batch["path"], batch["file"], batch["source"]):
+                for i, text in enumerate(_pieces(path)):
+                    yield pd.DataFrame({"file": [file], "source": [source], "piece": [i], "text": [text.removesuffix("\n").removesuffix("\r")]})
+
+    return _readable(spark, root).mapInPandas(read, "file string, source string, piece long, text string")
+
+
+def companion_digests(spark: SparkSession, root: str) -> DataFrame:
+    """(file, source, chars, code) of the same files: the length of the whole text and its MD5, in memory of a few pieces."""
+    def read(batches):
+        for batch in batches:
+            for path, file, source in zip(batch["path"], batch["file"], batch["source"]):
+                chars, code = 0, hashlib.md5()
+                for text in _pieces(path):
+                    chars += len(text)
+                    code.update(text.encode())
+                if chars:
+                    yield pd.DataFrame({"file": [file], "source": [source], "chars": [chars], "code": [code.hexdigest()]})
+
+    return _readable(spark, root).mapInPandas(read, "file string, source string, chars long, code string")

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +103,17 @@ def test_companions(spark, root):
     assert got == {"meta.json": '{"a": 1}', "bad.md": "�"}
 
 
+def test_large_companions_come_in_pieces(spark, root):
+    long = "x" * 700
+    body = "\n".join(f"line {i}\r" for i in range(100)) + "\n\n" + long + "µ end"
+    root("notes.txt", " \n\u3000" + body + "\x85\n \n")
+    root("blank.txt", " \n" * 500)
+    pieces = list(folder._pieces(f"{root.path}/notes.txt", 64))
+    assert "".join(pieces) == body and len(pieces) > 10 and max(map(len, pieces)) <= 256
+    got = [tuple(r) for r in folder.companion_digests(spark, root.path).collect()]
+    assert got == [("notes.txt", "notes.txt", len(body), hashlib.md5(body.encode()).hexdigest())]
+
+
 def columns(spark, root):
     found = build.profile_folder(spark, root.path, "d")
     return {(r["file"], r["column"]): r for r in found.columns.collect()}, {r["file"]: r for r in found.files.collect()}

@@ -33,6 +33,12 @@ def test_every_line_of_ntriples_is_read_or_rejected(spark, tmp_path):
     assert {tuple(r) for r in tables.ntriples_rejected(spark, str(tmp_path)).collect()} == {('<http://e/s> <http://e/p> "open .', 1), ("nonsense", 2)}
 
 
+def test_a_line_meets_its_pattern_once(spark, tmp_path):
+    (tmp_path / "t.nt").write_text("<http://e/s> <http://e/p> <http://e/o> .\n")
+    plan = tables.ntriples(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and "regexp_extract(" not in plan
+
+
 def test_every_device_file_has_its_own_columns(rows, tmp_path, monkeypatch):
     wide = rows("site string, device string, timestamp string, h double, q double, note string",
                 ("s", "d", "t2", 1.0, None, None), ("s", "d", "t1", None, None, 'a "b", c\nd'), ("s", "e", "t1", None, 2.5, None), ("s 2", "f/g", "t1", None, None, None))

@@ -29,9 +29,9 @@ from obsweave.llm.common import alone, slices
 from obsweave.session import ship, staged
 
 BUCKETS = 1 << 15
-LANGUAGES = 64  # languages that are told apart: the most often declared
+LANGUAGES = 64  # languages of one text model; more of them take several, one after the other
 REMEMBERED = 100_000
-HOSTS_BROADCAST = 50_000
+BROADCAST_KEYS = 50_000  # rows of a table of evidence that is broadcast, fewer with more than LANGUAGES languages
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 _BORDER = ord("\n")
@@ -128,7 +128,7 @@ class TextModel:
             self.rows = np.concatenate([self.rows, *new])
 
     def likelihoods(self, texts: list[str | None]) -> list[list[float]]:
-        """Mean log likelihood per word and language, relative to the best, times the square root of the number of words."""
+        """Mean log likelihood per word for each language, and the number of words behind it."""
         split = [tokens_of(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.forget()
@@ -137,23 +137,40 @@ class TextModel:
         for tokens in split:
             at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
             *sums, n = self.rows[at].sum(0, dtype=np.float64)
-            mean = np.array(sums) / max(n, 1)
-            out.append(((mean - mean.max()) * np.sqrt(n)).tolist())
+            out.append([*(np.array(sums) / max(n, 1)).tolist(), float(n)])
         return out
 
 
-def with_text_evidence(rows: DataFrame, model: TextModel, text_col: str) -> DataFrame:
-    """`rows` with __text: a log likelihood for each language, 0 for the best."""
+def with_means(rows: DataFrame, model: TextModel, text_col: str) -> DataFrame:
+    """`rows` with the means of the model's languages put behind __mean, and __words, the number of words."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
+    names = [c for c in rows.columns if c not in ("__mean", "__words")]
 
     def run(batches):
         alone("language ID")
         for batch in slices(batches):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.likelihoods(texts), pa.list_(pa.float64()))], names=[*batch.schema.names, "__text"])
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            found = shared.value.likelihoods(columns[text_col].to_pylist())
+            before = columns["__mean"].to_pylist() if "__mean" in columns else [[]] * len(found)
+            means = pa.array([[*x, *y[:-1]] for x, y in zip(before, found)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[columns[c] for c in names], means, pa.array([y[-1] for y in found], pa.float64())], names=[*names, "__mean", "__words"])
         shared.value.forget()  # workers outlive their tasks
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__text", T.ArrayType(T.DoubleType()))]))
+    more = [T.StructField("__mean", T.ArrayType(T.DoubleType())), T.StructField("__words", T.DoubleType())]
+    return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in names], *more]))
+
+
+def with_text_evidence(rows: DataFrame, learn: DataFrame, names: list[str], text_col: str) -> DataFrame:
+    """`rows` with __text: for each language the mean log likelihood per word relative to the best, times the square root of the number of words.
+
+    A model holds LANGUAGES of them; with more, the rows pass one model after the other and are written in between.
+    """
+    for start in range(0, len(names), LANGUAGES):
+        if start:
+            rows = staged(rows, "language-means")
+        rows = with_means(rows, TextModel(trigram_counts(learn, names[start:start + LANGUAGES])), text_col)
+    best = F.array_max("__mean")
+    return rows.withColumn("__text", F.transform("__mean", lambda x: (x - best) * F.sqrt("__words"))).drop("__mean", "__words")
 
 
 def domain_of(host: Column) -> Column:
@@ -161,31 +178,43 @@ def domain_of(host: Column) -> Column:
     return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
 
 
+def _total(numbers: str) -> Column:
+    return F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x)
+
+
 def _share_table(counts: DataFrame, key: str, n_languages: int) -> DataFrame:
     """(key, n: array of counts by language)."""
-    sums = [F.sum(F.when(F.col("best") == k, F.col("c")).otherwise(0)).cast("double") for k in range(n_languages)]
-    return counts.where(F.col(key).isNotNull()).groupBy(key).agg(F.array(*sums).alias("n"))
+    sums = counts.where(F.col(key).isNotNull()).groupBy(key, "best").agg(F.sum("c").cast("double").alias("c"))
+    found = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("best", "c"))).alias("n"))  # at most n_languages
+    return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(n_languages - 1)), lambda k: F.coalesce(F.try_element_at("n", k), F.lit(0.0))).alias("n"))
 
 
 def host_priors(counts: DataFrame, n_languages: int, overall: list[float], strength: float) -> DataFrame:
     """(host, prior: array of log probabilities): host smoothed by domain, domain by all rows."""
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     base = F.array(*map(F.lit, overall))
     hosts = _share_table(counts, "host", n_languages).withColumn("domain", domain_of(F.col("host")))
     domains = _share_table(counts.withColumn("domain", domain_of(F.col("host"))), "domain", n_languages)
-    domains = domains.select("domain", F.zip_with("n", base, lambda n, p: (n + strength * p)).alias("d"), total("n").alias("dt"))
+    domains = domains.select("domain", F.zip_with("n", base, lambda n, p: (n + strength * p)).alias("d"), _total("n").alias("dt"))
     domains = domains.select("domain", F.transform("d", lambda x: x / (F.col("dt") + strength)).alias("d"))
-    joined = hosts.join(domains, "domain").withColumn("ht", total("n"))
+    joined = hosts.join(domains, "domain").withColumn("ht", _total("n"))
     return joined.select("host", F.zip_with("n", "d", lambda n, p: F.log((n + strength * p) / (F.col("ht") + strength))).alias("prior"))
 
 
-def _likelihood_table(counts: DataFrame, key: str, n_languages: int, overall: list[float], strength: float, most: int) -> dict[str, list[float]]:
-    """For each value of `key`, log P(value | language) up to a constant; the `most` frequent values only, others say nothing.
+def likelihoods_of(counts: DataFrame, key: str, n_languages: int, overall: list[float], strength: float) -> DataFrame:
+    """(key, likely: array of log P(value | language) up to a constant) for each value of `key`.
 
     That is P(language | value) / P(language), smoothed towards 1.
     """
-    rows = _share_table(counts, key, n_languages).withColumn("t", F.aggregate("n", F.lit(0.0), lambda s, x: s + x)).orderBy(F.desc("t"), key).limit(most).collect()
-    return {r[key]: [float(np.log((n + strength * p) / (r["t"] + strength) / p)) for n, p in zip(r["n"], overall)] for r in rows}
+    base = F.array(*map(F.lit, overall))
+    sums = _share_table(counts, key, n_languages).withColumn("t", _total("n"))
+    return sums.select(key, F.zip_with("n", base, lambda n, p: F.log((n + strength * p) / (F.col("t") + strength) / p)).alias("likely"))
+
+
+def with_evidence(rows: DataFrame, evidence: DataFrame, key: str, name: str, n_languages: int) -> DataFrame:
+    """`rows` with the evidence of __key as __name; beyond the bound the join shuffles, and adaptive execution splits hot keys."""
+    evidence = staged(evidence.toDF(f"__{key}", f"__{name}"), f"language-{name}")
+    small = evidence.count() <= min(BROADCAST_KEYS, BROADCAST_KEYS * LANGUAGES // n_languages)
+    return rows.join(F.broadcast(evidence) if small else evidence, f"__{key}", "left")
 
 
 def identify(
@@ -202,7 +231,7 @@ def identify(
     declared = F.lower(F.col(declared_col)) if declared_col else null
     learn = model_rows if model_rows is not None else docs.select(declared.alias("declared"), F.col(text_col).alias("text"))
     learn = learn.where("declared is not null")
-    names = [r["declared"] for r in learn.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
+    names = [r["declared"] for r in learn.select("declared").distinct().collect()]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("language", "probability", "text_language")]
     if not names:
         return docs.select(*kept, null.alias("language"), F.lit(None).cast("double").alias("probability"), null.alias("text_language"))
@@ -210,7 +239,7 @@ def identify(
     n = len(names)
     text = [] if text_col in kept else [F.col(text_col).alias("__body")]
     rows = docs.select(*kept, *text, declared.alias("__declared"), (suffix if suffix is not None else null).alias("__suffix"), (host if host is not None else null).alias("__host"))
-    rows = with_text_evidence(rows, TextModel(trigram_counts(learn, names)), "__body" if text else text_col)
+    rows = with_text_evidence(rows, learn, names, "__body" if text else text_col)
     rows = staged(rows.drop("__body"), "language-evidence")
     best = F.array_position("__text", F.array_max("__text")).cast("int") - 1
     has_text = F.exists("__text", lambda x: x < 0) if n > 1 else F.lit(True)
@@ -220,16 +249,12 @@ def identify(
     total = sum(seen.values())
     overall = [(seen.get(k, 0) + 1) / (total + n) for k in range(n)]
     evidence = [F.transform("__text", lambda x: F.greatest(x * weight, F.lit(-bound)))]
-    for key in ("declared", "suffix"):
-        table = _likelihood_table(counts, key, n, overall, strength, 4096)
-        if table:
-            flat = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in table.items() for x in pair))
-            evidence.append(F.coalesce(F.element_at(flat, F.col(f"__{key}")), F.array(*[F.lit(0.0)] * n)))
+    for key, given in (("declared", declared_col is not None), ("suffix", suffix is not None)):
+        if given:
+            rows = with_evidence(rows, likelihoods_of(counts, key, n, overall, strength), key, f"of_{key}", n)
+            evidence.append(F.coalesce(f"__of_{key}", F.array(*[F.lit(0.0)] * n)))
     if host is not None:
-        priors = host_priors(counts, n, overall, strength).withColumnRenamed("host", "__host").withColumnRenamed("prior", "__prior")
-        priors = staged(priors, "language-hosts")
-        # beyond the bound the join shuffles, and adaptive execution splits hot hosts
-        rows = rows.join(F.broadcast(priors) if priors.count() <= HOSTS_BROADCAST else priors, "__host", "left")
+        rows = with_evidence(rows, host_priors(counts, n, overall, strength), "host", "prior", n)
     prior = F.array(*(F.lit(float(np.log(p))) for p in overall))
     evidence.append(F.coalesce(F.col("__prior"), prior) if host is not None else prior)
     score = evidence[0]

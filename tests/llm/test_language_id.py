@@ -34,6 +34,22 @@ def test_evidence_is_fused(pages):
     assert all(r["text_language"] is None and 0.3 < r["probability"] <= 1 for r in odd.values())
 
 
+def test_every_declared_language_and_value_counts(rows, monkeypatch):
+    random.seed(4)
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(70)]
+    words = {x: ["".join(random.choices("abcdefghijklmnop", k=7)) for _ in range(30)] for x in names}
+    data = [(i, " ".join(random.choices(words[x], k=30)), x, f"s{i}") for i, x in enumerate(names * 4)]
+    pages = rows("page_id long, text string, lang string, tld string", *data)
+    got = li.identify(pages, suffix=F.col("tld")).collect()
+    assert [r["page_id"] for r in got if not r["language"] == r["text_language"] == r["lang"]] == []  # 70 languages, two models
+    monkeypatch.setattr(li, "LANGUAGES", 100)
+    once = {r["page_id"]: tuple(r) for r in li.identify(pages, suffix=F.col("tld")).collect()}
+    assert {r["page_id"]: tuple(r) for r in got} == once
+    # values of evidence are tables: each has its row, however many there are
+    counts = rows("best int, declared string, c long", *[(i % 2, f"v{i}", 5) for i in range(5000)])
+    assert li.likelihoods_of(counts, "declared", 2, [0.5, 0.5], 20.0).count() == 5000
+
+
 def test_priors_are_smoothed_by_domain(spark):
     counts = spark.createDataFrame([("a.x.org", 0, 1000), ("b.x.org", 1, 1), ("c.y.org", 1, 1)], "host string, best int, c long")
     prior = {r["host"]: r["prior"] for r in li.host_priors(counts, 2, [0.5, 0.5], 20.0).collect()}

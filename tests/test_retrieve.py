@@ -133,3 +133,14 @@ def test_bm25_runs_without_python_and_scoring_without_cross_joins(data):
     plan = retrieve.dense_scores(corpus, queries)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert "WindowGroupLimit" in ranker.top(3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_that_sum_scores_follow_the_pairs(spark, rows, monkeypatch):
+    corpus = rows("source string, uri long, tokens array<string>", *[("a", i, ["x", "y", f"t{i}"]) for i in range(100)])
+    asked = rows("query_id long, tokens array<string>", *[(i, ["x", f"t{i}"]) for i in range(10)])
+    sizes = retrieve.corpus_statistics(corpus)
+    few = {tuple(r) for r in retrieve.bm25_hits(corpus, asked, sizes).collect()}
+    monkeypatch.setattr(retrieve, "TASK_PAIRS", 10)
+    hits = retrieve.bm25_hits(corpus, asked, sizes)
+    assert hits.rdd.getNumPartitions() == 100
+    assert {tuple(r) for r in hits.collect()} == few

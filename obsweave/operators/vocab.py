@@ -10,6 +10,9 @@ from obsweave.session import join_small
 
 DESCRIPTIONS = [fixed.QUDT + "plainTextDescription", fixed.DCTERMS_DESCRIPTION, fixed.RDFS_COMMENT]
 
+# Parts that the units of one spelling are dealt into.
+_SALTS = 16
+
 
 def quantity_kind_docs(triples: DataFrame, namespace: str = fixed.QUANTITY_KIND) -> DataFrame:
     """(uri, label, doc) with doc = 'label. description'.
@@ -66,4 +69,7 @@ def units_index(units: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     codes = F.concat(F.coalesce("ucum_codes", none), F.coalesce("symbols", none))
     keys = units.select("uri", F.explode(codes).alias("raw")).select("uri", F.explode(F.array(F.col("raw"), fold_unit(F.col("raw")))).alias("key"))
-    return keys.groupBy("key").agg(F.min("uri").alias("unit_uri"))
+    # minima of texts sort their rows: these are dealt out first, frequent keys too, so that no task sorts a whole scan split
+    dealt = keys.withColumn("_salt", F.pmod(F.xxhash64("uri"), F.lit(_SALTS))).repartition("key", "_salt")
+    firsts = dealt.groupBy("key", "_salt").agg(F.min("uri").alias("uri"))
+    return firsts.groupBy("key").agg(F.min("uri").alias("unit_uri"))

@@ -79,3 +79,15 @@ def test_stream_equals_batch(spark, tmp_path):
     want = graph.observation_triples(given.observations(spark, SMALL, "orders"))
     got = spark.read.parquet(str(sink))
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
+
+
+def test_spellings_are_dealt_out_before_they_are_sorted(spark):
+    from obsweave.operators import vocab
+
+    units = spark.createDataFrame([(f"u{i % 50:02}", ["m²"], [f"x{i}"]) for i in range(200)], "uri string, ucum_codes array<string>, symbols array<string>")
+    found = vocab.units_index(units)
+    lowest = plan(found).splitlines()
+    aggregates = [i for i, line in enumerate(lowest) if "Aggregate" in line]
+    assert "_salt" in " ".join(line for line in lowest[aggregates[-1]:] if "Exchange hashpartitioning" in line)
+    got = {r["key"]: r["unit_uri"] for r in found.collect()}
+    assert got["m²"] == got["m2"] == "u00" and got["x149"] == "u49" and len(got) == 202

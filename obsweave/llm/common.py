@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,7 @@ from obsweave.session import ship, staged
 # Rows that a Python task turns into one Arrow batch at a time.
 SLICE = 512
 
+_LIBC = ctypes.CDLL(None)
 _FORGETTING: dict[str, Callable[[], None]] = {}
 
 
@@ -29,7 +31,9 @@ def alone(owner: str) -> None:
         forget()
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # what earlier tasks freed goes back to the system
+        _LIBC.malloc_trim(0)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

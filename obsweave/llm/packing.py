@@ -17,7 +17,6 @@ from __future__ import annotations
 import bisect
 import os
 import re
-import struct
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -27,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsweave.llm.common import remembers, slices
+from obsweave.llm.common import alone, remembers, slices
 from obsweave.session import ship, staged
 
 # Words whose ids a Python worker remembers at most; then it starts anew.
 REMEMBERED = 400_000
+TOGETHER = 256  # words of letters that are encoded as one text
+_DIGIT = "1"
 
 _PUNCTUATED = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -45,6 +46,25 @@ def _forget() -> None:
 remembers("packing", _forget)
 
 
+def _coded(tokenizer, words: list[bytes]):
+    """(word, ids) of each word. Words of letters are encoded many at once with digits between them: a digit is a piece by itself."""
+    texts = [w.decode() for w in words]
+    apart = tokenizer.encode(_DIGIT, add_special_tokens=False).ids
+    joined = [k for k, t in enumerate(texts) if t.isalpha()] if len(apart) == 1 else []
+    runs = [joined[i:i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
+    done = set()
+    for run, coded in zip(runs, tokenizer.encode_batch_fast(["".join(texts[k] + _DIGIT for k in run) for run in runs], add_special_tokens=False)):
+        ids = np.array(coded.ids, dtype="<u4")
+        ends = (4 * np.flatnonzero(ids == apart[0])).tolist()
+        if len(ends) == len(run):
+            raw = ids.tobytes()
+            yield from zip([words[k] for k in run], [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends)])
+            done.update(run)
+    left = [k for k in range(len(words)) if k not in done]
+    for k, coded in zip(left, tokenizer.encode_batch_fast([texts[k] for k in left], add_special_tokens=False)):
+        yield words[k], np.array(coded.ids, dtype="<u4").tobytes()
+
+
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
     """Ids of whole texts, little-endian with 4 bytes each.
 
@@ -60,16 +80,13 @@ def word_ids(path: str, texts: list[str]) -> list[bytes]:
     if len(known) > REMEMBERED:
         known.clear()
     split = [(raw if b"<|" in raw else raw.lower()).split() for raw in (t.encode() for t in texts)]
-    found = [list(map(known.get, words)) for words in split]
-    new = list({w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None})
+    new = set().union(*split).difference(known)
     # punctuation after a letter is a token of its own, so such words consist of two that may be known
     parts = {w: m.groups() for w in new if (m := _PUNCTUATED.fullmatch(w)) and m[1].decode()[-1].isalpha()}
     bare = list({x for w in new for x in parts.get(w, (w,)) if x not in known})
-    for word, coded in zip(bare, tokenizer.encode_batch_fast([w.decode() for w in bare], add_special_tokens=False)):
-        ids = coded.ids
-        known[word] = struct.pack(f"<{len(ids)}I", *ids)
+    known.update(_coded(tokenizer, bare))
     known.update({w: known[x] + known[y] for w, (x, y) in parts.items()})
-    return [b"".join([known[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @dataclass
@@ -197,6 +214,7 @@ def tokenized(docs: DataFrame, path: str, end: int, size: int, id_col: str, text
     ship(docs.sparkSession)
 
     def run(batches):
+        alone("packing")
         part, tails, full = TaskContext.get().partitionId(), defaultdict(int), 0
         last = np.array([end], dtype="<u4").tobytes()
         for batch in slices(batches):

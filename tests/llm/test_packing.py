@@ -65,3 +65,22 @@ def test_documents_are_whole_and_sequences_gapless(odd_documents, no_documents):
         assert end <= 4096
     assert packing.pack(no_documents, PATH).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_words_of_letters_share_a_call():
+    random.seed(5)
+    theirs, sizes = Tokenizer.from_file(PATH), []
+
+    class Counting:
+        def encode(self, *args, **named):
+            return theirs.encode(*args, **named)
+
+        def encode_batch_fast(self, texts, **named):
+            sizes.append(len(texts))
+            return theirs.encode_batch_fast(texts, **named)
+
+    words = sorted({"".join(random.choice("abcdefgéüßσ日") for _ in range(random.randint(1, 12))) for _ in range(2000)} | {"a1", "½a", "éa"})
+    found = dict(packing._coded(Counting(), [w.encode() for w in words]))
+    assert len(found) == len(words) and sum(sizes) < 100
+    for w in words:
+        assert np.frombuffer(found[w.encode()], "<u4").tolist() == theirs.encode(w, add_special_tokens=False).ids

@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from obsweave.llm.common import alone as release
 from obsweave.llm.common import components, slices
 from obsweave.session import ship, staged
 
@@ -89,11 +90,17 @@ def some(hashes: np.ndarray) -> np.ndarray:
     return hashes[(hashes >> np.uint64(17)) % np.uint64(SHARE) == 0]
 
 
-def shared_counts(sets: DataFrame, buckets: int, whole: bool = False) -> DataFrame:
-    """(id, n, part, shared): for each row of `sets`, how many of its `part` tested (or all) shingles other rows hold too."""
+def shared_counts(sets: DataFrame, buckets: int, whole: bool = False, words: int | None = None) -> DataFrame:
+    """(id, n, part, shared): for each row of `sets`, how many of its `part` tested (or all) shingles other rows hold too.
+
+    `sets`: (id, n, set), or (id, text) whose sets are made of so many `words` in the same task: of two Python functions
+    in a row, each would have a worker of its own.
+    """
+    ship(sets.sparkSession)
     kind = sets.schema["id"].dataType.simpleString()
 
     def send(batches):
+        release("ngram join")
         task, number = TaskContext.get().partitionId() << 33, 0
         rows: list[tuple] = []
         tested: list[np.ndarray] = []
@@ -131,14 +138,18 @@ def shared_counts(sets: DataFrame, buckets: int, whole: bool = False) -> DataFra
         names = ["bucket", "row", "id", "n", "part", "here", "lone", "owner", "known"]
         for batch in slices(batches):
             id_type = batch.column(0).type
-            for i, n, s in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                rows.append((task + number, i, n))
-                hashes = np.frombuffer(s, np.uint64)
+            if words is None:
+                found = (np.frombuffer(s, np.uint64) for s in batch.column(2).to_pylist())
+            else:
+                found = (shingle_hashes(t, words) for t in batch.column(1).to_pylist())
+            for i, hashes in zip(batch.column(0).to_pylist(), found):
+                rows.append((task + number, i, len(hashes)))
                 tested.append(hashes if whole else some(hashes))
                 size, number = size + len(tested[-1]), number + 1
             if size > SENT:
                 yield from out()
                 rows, tested, size = [], [], 0
+        _HASHES.clear()  # workers outlive their tasks
         if rows:
             yield from out()
 
@@ -298,11 +309,12 @@ def may_link(percent: int):
 def ngram_join(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links of Jaccard similarity >= percent / 100)."""
     buckets = max(16, -(-docs.count() // DOCS_PER_BUCKET))
-    counted = staged(shared_counts(shingled(docs, size, id_col, text_col), buckets), "ngram-counted")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counted = staged(shared_counts(rows, buckets, words=size), "ngram-counted")
     ids = counted.where(may_link(percent)).where("id is not null").select("id").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    left = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+    left = rows.join(ids, "id", "left_semi")
     sets = staged(shingled(left, size, "id", "text").where("n > 0").withColumn("sig", F.sha2("set", 256)), "ngram-sets")
     classes = staged(sets.groupBy("sig").agg(F.min("id").alias("rep")), "ngram-classes")
     reps = sets.join(classes.select("sig", F.col("rep").alias("id")), ["sig", "id"], "left_semi").dropDuplicates(["sig"])

@@ -13,6 +13,13 @@ from obsweave.functions import naming
 from obsweave.functions.fixed import QUDT, RDF_TYPE, RDFS_LABEL, SOSA
 from obsweave.session import join_small
 
+# What each question looks at in a graph (see `graph.observation_triples`).
+NEEDED = {
+    "shared_properties": [SOSA + "Observation", SOSA + "observedProperty"],
+    "converted_range": [SOSA + "Observation", SOSA + "observedProperty", SOSA + "hasResult", QUDT + "numericValue", QUDT + "unit"],
+    "sensors": [SOSA + "Observation", SOSA + "observedProperty", SOSA + "madeBySensor"],
+}
+
 
 def _shared(counts: DataFrame) -> DataFrame:
     """From counts per (property_uri, dataset): at most one row per dataset and property by now."""

@@ -5,6 +5,7 @@ All of it is one projection and one generator per input row: nothing is shuffled
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,15 @@ def _triple(s: Column, p: str, o: Column, datatype: Column | None = None, lang:
     )
 
 
-def _spread(df: DataFrame, triples: list[Column]) -> DataFrame:
-    """The triples of every row that have a subject and an object."""
+def _spread(df: DataFrame, triples: list[Column], only: Collection[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """The triples of every row that have a subject and an object.
+
+    With `only`, triples whose predicate (of types: class) is not in it are not built; `names` says what each one has.
+    """
+    if only is not None:
+        triples = [t for t, name in zip(triples, names, strict=True) if name in only]
+        if not triples:
+            return df.limit(0).select(F.inline(F.array(_triple(F.lit(None).cast("string"), "", F.lit(None).cast("string")))))
     return df.select(F.inline(F.array(*triples))).where(F.col("s").isNotNull() & F.col("o").isNotNull())
 
 
@@ -32,8 +40,15 @@ def _time(s: Column) -> Column:
     return _triple(s, SOSA + "resultTime", F.col("result_time"), F.lit(XSD + "dateTime"), literal=True)
 
 
-def observation_triples(obs: DataFrame) -> DataFrame:
-    """Observations and their results.
+OBSERVATION_NAMES = [
+    SOSA + "Observation", *(SOSA + p for p in ("resultTime", "madeBySensor", "observedProperty", "hasFeatureOfInterest", "hasResult", "hasSimpleResult")),
+    QUDT + "QuantityValue", QUDT + "numericValue", QUDT + "unit",
+]
+SAMPLE_NAMES = [SOSA + p for p in ("Sample", "isSampleOf", "isResultOf", "Sampling", "resultTime", "hasResult", "madeBySampler", "hasFeatureOfInterest")]
+
+
+def observation_triples(obs: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """Observations and their results; with `only`, of these predicates and (for types) classes.
 
     The feature of interest is the mapped one, or the row's sample in a sampled file. With a unit the
     value hangs on a result node, which exists even when the value is missing; without one it is a
@@ -57,11 +72,11 @@ def observation_triples(obs: DataFrame) -> DataFrame:
         _triple(result, RDF_TYPE, F.lit(QUDT + "QuantityValue")),
         _triple(result, QUDT + "numericValue", F.col("value"), F.col("_dtype"), literal=True),
         _triple(result, QUDT + "unit", F.col("unit_uri")),
-    ])
+    ], only, OBSERVATION_NAMES)
 
 
-def sample_triples(rows: DataFrame) -> DataFrame:
-    """One sample and one sampling per row of a sampled file.
+def sample_triples(rows: DataFrame, only: Collection[str] | None = None) -> DataFrame:
+    """One sample and one sampling per row of a sampled file; `only` as for observations.
 
     Rows carry sample_prefix, sampling_prefix, row, result_time, sampler_uri and sample_feature_uri.
     """
@@ -76,7 +91,7 @@ def sample_triples(rows: DataFrame) -> DataFrame:
         _triple(sampling, SOSA + "hasResult", sample),
         _triple(sampling, SOSA + "madeBySampler", F.col("sampler_uri")),
         _triple(sampling, SOSA + "hasFeatureOfInterest", F.col("sample_feature_uri")),
-    ])
+    ], only, SAMPLE_NAMES)
 
 
 def declarations(entities: DataFrame) -> DataFrame:

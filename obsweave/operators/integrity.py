@@ -22,6 +22,16 @@ SHAPES = {
     "Sampling": ["madeBySampler", "hasFeatureOfInterest", "resultTime", "hasResult"],
 }
 
+# What each check looks at: predicates, and classes of types (see `graph.observation_triples`). Dangling links need every type.
+NEEDED = {
+    "cardinality": [SOSA + q for c, ps in SHAPES.items() for q in (c, *"|".join(ps).split("|"))],
+    "dangling": [*LINKS, *(SOSA + c for c in SHAPES), QUDT + "QuantityValue"],
+    "unused": [SOSA + x for pair in DECLARED for x in pair],
+    "completeness": [QUDT + "QuantityValue", QUDT + "numericValue", QUDT + "unit", SOSA + "resultTime"],
+    "sample_shape": [SOSA + x for x in ("Sample", "Sampling", "isSampleOf", "madeBySampler", "hasFeatureOfInterest")],
+    "not_about_samples": [SOSA + x for x in ("Observation", "Sample", "hasFeatureOfInterest")],
+}
+
 
 def _is_a(name: str) -> Column:
     return (F.col("p") == RDF_TYPE) & (F.col("o") == name)
@@ -63,7 +73,8 @@ def cardinality(triples: DataFrame) -> DataFrame:
     """
     needed = sorted({p for ps in SHAPES.values() for p in ps})
     count = lambda ps: F.count_if(F.col("p").isin([SOSA + p for p in ps.split("|")]))
-    per = triples.where(F.col("p").isin([RDF_TYPE] + [SOSA + q for p in needed for q in p.split("|")])).groupBy("s").agg(
+    member = (F.col("p") == RDF_TYPE) & F.col("o").isin([SOSA + c for c in SHAPES])
+    per = triples.where(member | F.col("p").isin([SOSA + q for p in needed for q in p.split("|")])).groupBy("s").agg(
         *[F.max(_is_a(SOSA + c)).alias(f"is_{c}") for c in SHAPES], *[count(p).alias(p) for p in needed],
     )
     checks = F.array(*[
@@ -76,16 +87,17 @@ def cardinality(triples: DataFrame) -> DataFrame:
     )
 
 
-def _ends(triples: DataFrame) -> DataFrame:
-    """Per identifier whether it is typed, with which declared classes, and which links name it.
+def _ends(triples: DataFrame, links: list[str] = LINKS, classes: list[str] | None = None) -> DataFrame:
+    """Per identifier, of those with one of the classes or links (all by default), whether it is typed, with which declared classes, and which links name it.
 
     One pass and one aggregation of flags, instead of joining the graph with itself: a triple counts for its
     subject when it gives a type and for its object when it is a link. An identifier named by a third of all
     triples is already one row per task before the shuffle.
     """
     p, is_type = F.col("p"), F.col("p") == RDF_TYPE
+    is_type = is_type if classes is None else is_type & F.col("o").isin(classes)
     no = F.lit(None).cast("string")
-    link = p.isin(LINKS) & (F.col("o_kind") == "iri")
+    link = p.isin(links) & (F.col("o_kind") == "iri")
     both = F.array(
         F.struct(F.when(is_type, F.col("s")).alias("id"), F.col("o").alias("class"), no.alias("link")),
         F.struct(F.when(link, F.col("o")).alias("id"), no.alias("class"), p.alias("link")),
@@ -94,7 +106,7 @@ def _ends(triples: DataFrame) -> DataFrame:
     some = lambda test: F.coalesce(F.bool_or(test), F.lit(False))
     return rows.groupBy("id").agg(
         some(F.col("class").isNotNull()).alias("typed"), *[some(F.col("class") == SOSA + c).alias(f"is_{c}") for c, _ in DECLARED],
-        *[some(F.col("link") == x).alias(f"by_{x.rsplit('/', 1)[-1]}") for x in LINKS],
+        *[some(F.col("link") == x).alias(f"by_{x.rsplit('/', 1)[-1]}") for x in links],
     )
 
 
@@ -112,13 +124,15 @@ def dangling(triples: DataFrame) -> DataFrame:
 
 def unused(triples: DataFrame) -> DataFrame:
     """Declared entities no link names, counted by class."""
-    return _positive(_ends(triples).agg(*[F.count_if(F.col(f"is_{c}") & ~F.col(f"by_{x}")).alias(c) for c, x in DECLARED]), "class")
+    ends = _ends(triples, [SOSA + x for _, x in DECLARED], [SOSA + c for c, _ in DECLARED])
+    return _positive(ends.agg(*[F.count_if(F.col(f"is_{c}") & ~F.col(f"by_{x}")).alias(c) for c, x in DECLARED]), "class")
 
 
 def completeness(triples: DataFrame) -> DataFrame:
     """Quantity values without number or unit, and times that are not xsd:dateTime."""
     mine = triples.where(_is_a(QUDT + "QuantityValue") | F.col("p").isin(QUDT + "numericValue", QUDT + "unit", SOSA + "resultTime"))
-    per = mine.groupBy("s").agg(
+    # times need no subject: all of them are one group
+    per = mine.groupBy(F.when(F.col("p") != SOSA + "resultTime", F.col("s")).alias("s")).agg(
         F.max(_is_a(QUDT + "QuantityValue")).alias("qv"),
         F.max(F.col("p") == QUDT + "numericValue").alias("num"), F.max(F.col("p") == QUDT + "unit").alias("unit"),
         F.count_if((F.col("p") == SOSA + "resultTime") & ~F.col("o_datatype").eqNullSafe(XSD + "dateTime")).alias("untyped"),
@@ -134,7 +148,7 @@ def sample_shape(triples: DataFrame) -> DataFrame:
     """Counts of samples, samplings and links to a sample as feature of interest, in one pass by identifier."""
     p, is_foi = F.col("p"), F.col("p") == SOSA + "hasFeatureOfInterest"
     no = F.lit(None).cast("string")
-    wanted = p.isin(RDF_TYPE, SOSA + "isSampleOf", SOSA + "madeBySampler") | is_foi
+    wanted = _is_a(SOSA + "Sample") | _is_a(SOSA + "Sampling") | p.isin(SOSA + "isSampleOf", SOSA + "madeBySampler") | is_foi
     both = F.array(
         F.struct(F.when(~is_foi, F.col("s")).alias("id"), p.alias("p"), F.col("o").alias("o")),
         F.struct(F.when(is_foi, F.col("o")).alias("id"), p.alias("p"), no.alias("o")),

@@ -13,6 +13,10 @@ Below EDIT_EVERY characters only exact repeats count. These need no keys: equal
    candidate lines; most lines end here.
 2. Candidates of a key are first compared with the smallest line of the key. Lines that fall together so are one
    group; other pairs of a key are compared only between groups.
+   A key with many more pairs than entries says too little: its lines are cut into PIECES pieces. At most k pieces hold
+   edits, so two near lines agree outside some k of them, and a hash of all the rest is a narrower key. Where that has
+   too many pairs again, the k pieces that were left out are cut the same way, down to single characters. So no pair
+   within the edits is lost, and keys with many pairs hold lines that differ by hardly more than the edits.
 3. Of each group of lines the first occurrence by document id and line number stays; later ones are removed. A line
    that repeats exactly is a group by itself.
 
@@ -26,6 +30,8 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import lru_cache
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,8 @@ SENT = 1 << 20  # keys that a task gathers before it sends them, as machine inte
 SEEN = 1 << 18  # line hashes that a task remembers, to send a line's keys once
 BROADCAST_LINES = 1_000_000
 EDIT_EVERY = 20  # characters of a line for each edit that it may differ by
+CROWDED = 8  # pairs for each entry of a key beyond which the key is narrowed
+PIECES = 8  # that a line, or what a key left open of it, is cut into
 RULE = 40  # characters from which a line without letters and digits takes part
 _SPACE = " \t\x0b\f\r"
 _WORD = re.compile(r"[^\W_]")
@@ -108,12 +116,12 @@ def within(a: str, b: str, k: int) -> int:
         left = diag & up
         if j <= m:  # along the diagonal
             score += not diag & middle
+            if score > 2 * k:  # no cell of the band is further than k from the middle, and no diagonal falls
+                return k + 1
         else:  # past the last row: the cell slides up within the band
             at += 1
             bit = 1 << (k - at)
             score += bool(right & bit) - bool(left & bit)
-        if j == m and score > 2 * k:
-            return k + 1
         up = left | (full & ~((diag >> 1) | right))
         down = (diag >> 1) & right
     return min(score, k + 1)
@@ -246,23 +254,122 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: int | None) -> D
     return both.mapInArrow(run, "a long, b long")
 
 
+@lru_cache(maxsize=1 << 14)
+def openings(windows: tuple[tuple[int, int, int], ...], k: int, probe: bool) -> list[tuple[list, list]]:
+    """Ways to have all edits in at most k pieces of the open windows: (spans that must agree, windows still open).
+
+    A window is (start in this line, characters in the shorter line, characters more in the longer line). The order of the ways is the
+    same for both lines.
+    """
+    cut = []  # (window, from, to) in characters of the shorter line
+    for w, (_, size, _) in enumerate(windows):
+        n = min(max(2, PIECES // len(windows)), max(size, 1))
+        cut += [(w, size * i // n, size * (i + 1) // n) for i in range(n)]
+    ways = []
+    for chosen in combinations(range(len(cut)), min(k, len(cut))):
+        for shifts in product(range(-k, k + 1), repeat=len(chosen)):
+            more = [0] * len(windows)
+            for c, shift in zip(chosen, shifts):
+                more[cut[c][0]] += shift
+            if sum(map(abs, shifts)) > k or more != [x for _, _, x in windows] or any(cut[c][2] - cut[c][1] + x < 0 for c, x in zip(chosen, shifts)):
+                continue
+            spans, left = [], []
+            for w, (start, size, total) in enumerate(windows):
+                at, moved = start, 0
+                for c, shift in zip(chosen, shifts):
+                    v, low, high = cut[c]
+                    if v == w:
+                        spans.append((at, start + low + moved * probe))
+                        left.append((start + low + moved * probe, high - low, shift))
+                        moved += shift
+                        at = start + high + moved * probe
+                spans.append((at, start + size + total * probe))
+            ways.append(([x for x in spans if x[0] < x[1]], left))
+    return ways
+
+
+def whole(length: int, k: int, least: int | None):
+    """(key, is probe, windows) of a line that is open from end to end, for every length of a line that may be near it."""
+    own = edits(length, k, least)
+    for more in range(own + 1):
+        yield length * (k + 1) + more, False, ((0, length, more),)
+    for m in range(max(length - own, least or EDIT_EVERY), length + 1):
+        if length - m <= edits(m, k, least):
+            yield m * (k + 1) + length - m, True, ((0, m, length - m),)
+
+
+def narrower_keys(line: str, key: int, probe: bool, windows, k: int, least: int | None):
+    """(key, windows): keys within a key, one for each way to have all edits in few pieces of its windows."""
+    shorter = len(line) - probe * sum(more for _, _, more in windows)
+    for way, (spans, left) in enumerate(openings(windows, edits(shorter, k, least), probe)):
+        text = "".join([line[a:b] for a, b in spans])
+        yield xxhash.xxh64_intdigest(text.encode(), seed=(key * 0x9E3779B97F4A7C15 + way) & 0xFFFFFFFFFFFFFFFF), left
+
+
+def narrowed(crowded: DataFrame, texts: DataFrame, k: int, least: int | None, name: str) -> DataFrame:
+    """(key, line, probe, windows) of narrower keys that two lines share. `crowded`: (key, line, probe, windows), windows null where the line is open."""
+    def run(batches):
+        for batch in slices(batches, 64):
+            keys, lines, probes, opened = array("Q"), array("q"), [], []
+            for key, line, probe, flat, text in zip(*(batch.column(c).to_pylist() for c in ("key", "line", "probe", "windows", "content"))):
+                if flat is None:
+                    entries = whole(len(text), k, least)
+                else:
+                    entries = [(key, probe, tuple(zip(flat[::3], flat[1::3], flat[2::3])))]
+                for key, probe, windows in entries:
+                    for new, left in narrower_keys(text, key, probe, windows, k, least):
+                        keys.append(new)
+                        lines.append(line)
+                        probes.append(probe)
+                        opened.append([x for window in left for x in window])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.frombuffer(keys, np.uint64).astype(np.int64)), pa.array(np.frombuffer(lines, np.int64)),
+                pa.array(probes, pa.bool_()), pa.array(opened, pa.list_(pa.int32()))], names=["key", "line", "probe", "windows"])
+
+    both = crowded.join(texts, "line").select("key", "line", "probe", "windows", "content")
+    made = staged(both.mapInArrow(run, "key long, line long, probe boolean, windows array<int>"), f"{name}-made")
+    met = made.groupBy("key").agg(F.min("line").alias("lo"), F.max("line").alias("hi"), F.max("probe").alias("p"), F.min("probe").alias("q"))
+    return made.join(met.where("lo <> hi and p and not q").select("key"), "key", "left_semi")
+
+
 def near_lines(docs: DataFrame, k: int, least: int | None, n_lines: int) -> DataFrame:
     """(line, component) of distinct lines within few edits of another, grouped by the smallest hash reachable. `docs`: (id, text)."""
     buckets = max(16, -(-n_lines // LINES_PER_BUCKET))
     keys = staged(shared_keys(docs.select("text"), k, least, buckets), "lines-keys")
     texts = staged(texts_of(docs, keys.select("line").distinct(), least), "lines-texts")
-    smallest = keys.groupBy("key").agg(F.min("line").alias("a"))
-    stars = keys.select("key", F.col("line").alias("b")).join(smallest, "key").where("a <> b").select("a", "b").distinct()
-    links = staged(verified(stars, texts, k, least), "lines-stars")
-    groups = components(links, "lines")
-    grouped = keys.join(groups.withColumnRenamed("id", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-    several = grouped.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    grouped = staged(grouped.join(several, "key"), "lines-grouped")
-    left = grouped.where("not probe").select("key", F.col("line").alias("x"), F.col("component").alias("cx"))
-    right = grouped.where("probe").select("key", F.col("line").alias("y"), F.col("component").alias("cy"))
-    pairs = left.join(right, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = staged(verified(pairs, texts, k, least), "lines-links")
-    return components(links.union(more), "lines-all").withColumnRenamed("id", "line")
+    level, wide = 0, F.lit(True)
+    while True:
+        name = f"lines-{level}"
+        keys = keys.join(keys.groupBy("key").agg(F.min("line").alias("a")), "key")
+        stars = keys.select("a", F.col("line").alias("b")).where("a <> b").distinct()
+        found = staged(verified(stars, texts, k, least), f"{name}-stars")
+        if not level:
+            links, groups = found, components(found, "lines").withColumnRenamed("id", "line")
+        grouped = keys.join(groups, "line", "left").withColumn("component", F.coalesce("component", "line"))
+        if level:  # what falls together with the smallest line of a narrower key is one group within that key
+            links = links.union(found)
+            near = found.select("a", F.col("b").alias("line"), F.lit(True).alias("near"))
+            grouped = grouped.join(near, ["a", "line"], "left").withColumn("component", F.when(F.col("near") | (F.col("a") == F.col("line")), F.col("a")).otherwise(F.col("component")))
+        several = grouped.groupBy("key").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_if("probe").alias("p"), F.count_if(~F.col("probe")).alias("q"))
+        several = several.where("lo <> hi").select("key", (F.col("p") * F.col("q") > CROWDED * (F.col("p") + F.col("q"))).alias("crowded"))
+        grouped = staged(grouped.join(several, "key").withColumn("crowded", F.col("crowded") & wide), f"{name}-grouped")
+        few = grouped.where("not crowded")
+        left = few.where("not probe").select("key", F.col("line").alias("x"), F.col("component").alias("cx"))
+        right = few.where("probe").select("key", F.col("line").alias("y"), F.col("component").alias("cy"))
+        pairs = left.join(right, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        links = links.union(staged(verified(pairs, texts, k, least), f"{name}-links"))
+        crowded = grouped.where("crowded")
+        if crowded.isEmpty():
+            return components(links, "lines-all").withColumnRenamed("id", "line")
+        if level:
+            crowded = crowded.select("key", "line", "probe", "windows")
+        else:
+            crowded = crowded.select(F.lit(0).cast("long").alias("key"), "line", F.lit(False).alias("probe"), F.lit(None).cast("array<int>").alias("windows")).distinct()
+        keys = staged(narrowed(crowded, texts, k, least, name), f"{name}-narrowed")
+        # a window is open while it has more than one character of the shorter line
+        level += 1
+        wide = F.exists(F.filter("windows", lambda x, i: i % 3 == 1), lambda x: x > 1)
 
 
 def repeated_lines(docs: DataFrame, k: int = 2, least: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -123,3 +123,34 @@ def test_every_length_equals_brute_force(rows):
     want = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in docs}
     got = ld.without_repeated_lines(rows("doc_id long, text string", *docs)).collect()
     assert {r["doc_id"]: r["text"] for r in got} == want
+
+
+def test_narrower_keys_lose_no_pair():
+    random.seed(6)
+    for _ in range(200):
+        k, a = random.randint(1, 2), "".join(random.choices("abcd", k=random.randint(5, 60)))
+        a, b = sorted((a, edited(a, random.randint(1, k))), key=len)
+        if a == b or distance(a, b) > k:
+            continue
+        x, y = ({(key, w) for key, p, w in ld.whole(len(t), k, 1) if p == probe} for t, probe in ((a, False), (b, True)))
+        for _ in range(2):
+            x = {(key, tuple(left)) for old, w in x for key, left in ld.narrower_keys(a, old, False, w, k, 1)}
+            y = {(key, tuple(left)) for old, w in y for key, left in ld.narrower_keys(b, old, True, w, k, 1)}
+            both = {key for key, _ in x} & {key for key, _ in y}
+            assert both, (a, b, k)
+            x, y = ({z for z in entries if z[0] in both} for entries in (x, y))
+
+
+def test_lines_with_a_common_passage_are_not_all_compared(rows, monkeypatch):
+    random.seed(7)
+    passage = "".join(random.choices("abcd ", k=60))
+    heads = ["".join(random.choices("abcdefgh", k=30)) for _ in range(150)]
+    heads += [edited(h, 2) for h in heads[:20]]
+    lines = [h + passage for h in heads]
+    compared, verified = [], ld.verified
+    monkeypatch.setattr(ld, "verified", lambda pairs, *rest: compared.append(pairs.count()) or verified(pairs, *rest))
+    got = ld.without_repeated_lines(rows("doc_id long, text string", *enumerate(lines)), 2, 10).collect()
+    want = brute(list(enumerate(lines)), 2, 10)
+    assert {r["doc_id"]: (r["text"], r["removed_lines"]) for r in got} == want
+    assert sum(n for _, n in want.values()) >= 15
+    assert sum(compared) < 10 * len(lines)  # of 14,365 pairs

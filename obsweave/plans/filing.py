@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from obsweave.operators import relational
 from obsweave.plans import given, observing, profiling, relating, retrieving
 from obsweave.plans.registry import ORACLES, query
-from obsweave.session import shared_dir
+from obsweave.session import shared_dir, staged
 from obsweave.sources import folder as folders
 from obsweave.sources import sinks, tables
 from obsweave.sources.tables import table
@@ -134,7 +134,8 @@ def site_files(spark, folder):
     """The wide export through its files: every cell of every column that a device has, empty ones included."""
     path = _path(spark, "sites")
     sinks.write_sites(relating.long_to_wide(spark, folder), path)
-    found = folders.dialects(folders.heads(folders.discover(spark, path).where("kind = 'table'")))
+    # the heads of the files are read once; two joins look at them
+    found = staged(folders.dialects(folders.heads(folders.discover(spark, path).where("kind = 'table'"))), "dialects")
     rows = folders.raw_rows(spark, path, found)
     part = lambda name: F.url_decode(F.regexp_extract("file", f"{name}=([^/]*)/", 1)).alias(name)
     cells = rows.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import contextlib
 import csv
 import hashlib
 import io
@@ -22,6 +23,7 @@ HEAD_LINES = 5
 ENCODING_CHARS = 4096
 ENCODING_READ = 8192
 PIECE = 1 << 20
+LISTING_TASKS = 4
 _WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
@@ -37,12 +39,25 @@ def _relative(path: Column, root_uri: str) -> Column:
     return F.substring(path, len(root_uri) + 2, 100_000)
 
 
+@contextlib.contextmanager
+def _few_listing_tasks(spark: SparkSession):
+    """Folders are listed by a few tasks a core; otherwise Spark takes one task for every folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), LISTING_TASKS * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discover(spark: SparkSession, root: str, tables: list[str] = fixed.TABLE_EXTENSIONS) -> DataFrame:
     """Files below `root` as (path, file, length, kind): table, readable or skipped, by extension.
 
     Only path and length are selected, so no content is read.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    with _few_listing_tasks(spark):
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = (
         F.when(ext.isin(tables), "table")
@@ -192,23 +207,27 @@ def _cells(line: Column, sep: str) -> Column:
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
 
 
-def _splits_are_stable(spark: SparkSession, root: str, tables: list[str]) -> bool:
-    """Whether the input is so large that its split size is the largest one, whatever the number of cores."""
-    total = discover(spark, root, tables).where("kind = 'table'").agg(F.sum("length")).first()[0] or 0
+def _splits_are_stable(spark: SparkSession, scan: DataFrame) -> bool:
+    """Whether the input is so large that its split size is the largest one, whatever the number of cores.
+
+    The scan has listed its files, so their bytes are known without listing them again.
+    """
+    total = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     size = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return total >= records.STABLE_SPLITS * size * spark.sparkContext.defaultParallelism
 
 
 def table_lines(spark: SparkSession, root: str, found: DataFrame, tables: list[str] = fixed.TABLE_EXTENSIONS) -> tuple[DataFrame, DataFrame]:
     """(lines, blocks) of all tables below a folder, in one scan whatever their dialects; see `records`."""
-    scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(tables)).text(root)
+    with _few_listing_tasks(spark):
+        scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(tables)).text(root)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = F.regexp_replace(path, "^file:/+", "file:/")
     lines = scan.select(
         _relative(path, _root_uri(spark, root)).alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("line"),
     )
-    lines = records.annotated(lines, found, keep=not _splits_are_stable(spark, root, tables))
+    lines = records.annotated(lines, found, keep=not _splits_are_stable(spark, scan))
     return lines, staged(records.block_states(lines), "block-states")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from obsweave.functions import fixed, naming
 from obsweave.operators import decide, vocab
 from obsweave.plans.registry import query
+from obsweave.session import staged
 from obsweave.sources.tables import table
 
 CONCEPT = "http://example.org/concept/"
@@ -125,12 +126,13 @@ def sampled_files(spark, folder):
 
 def resolved(spark, folder):
     cols = columns(spark, folder).drop(*_EXTRA)
-    return decide.resolve(cols, decisions(spark, folder), menus(spark, folder), index(spark), features(spark, folder), samplers(spark, folder), sampled_files(spark, folder))
+    return decide.resolve(cols, decisions(spark, folder), staged(menus(spark, folder), "menus"), index(spark), features(spark, folder), samplers(spark, folder), sampled_files(spark, folder))
 
 
 def _guarded(spark, folder):
     df = decide.demote(decide.decided(columns(spark, folder).drop(*_EXTRA), decisions(spark, folder)))
-    return decide.guard_membership(decide.expand_curies(df, menus(spark, folder)), menus(spark, folder))
+    listed = staged(menus(spark, folder), "menus")  # two steps look something up in them
+    return decide.guard_membership(decide.expand_curies(df, listed), listed)
 
 
 @query(f"WITH {SQL} SELECT column_key, resolved, CASE WHEN resolved THEN uri1 END AS property_uri, CASE WHEN resolved THEN label1 END AS property_label, CASE WHEN resolved THEN source1 END AS property_source FROM g2")
@@ -147,7 +149,7 @@ def curie_expansion(spark, folder):
 
 @query(f"WITH {SQL} SELECT column_key, property_uri, property_label, property_source FROM h")
 def label_unify(spark, folder):
-    return decide.unify_labels(_guarded(spark, folder)).select("column_key", "property_uri", "property_label", "property_source")
+    return decide.unify_labels(staged(_guarded(spark, folder), "guarded")).select("column_key", "property_uri", "property_label", "property_source")
 
 
 @query(f"WITH {SQL} SELECT property_uri, arg_min(property_label, ord) AS label, arg_min(property_source, ord) AS source FROM r WHERE property_uri IS NOT NULL GROUP BY property_uri")

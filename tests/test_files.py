@@ -51,3 +51,21 @@ def test_every_device_file_has_its_own_columns(rows, tmp_path, monkeypatch):
     sinks.write_sites(wide, str(tmp_path / "v"))
     parts = [open(p).read() for p in glob.glob(str(tmp_path / "v/site=s/device=d/*.csv"))]
     assert all(p.startswith("timestamp,h,note\n") for p in parts)
+
+
+def test_a_graph_is_written_compressed_in_many_files_and_plain_lines_are_read_as_by_the_pattern(spark, rows, tmp_path, monkeypatch):
+    odd = ["plain", "", " . ", 'a "b"', "a>b", 'x"^^<y> .', "a\\nb", "line\nbreak", '" .', "> .", "µ  "]
+    literals = [(f"http://e/{i}", "http://e/p", o, "literal", d, lang) for i, o in enumerate(odd) for d, lang in ((None, None), ("http://e/int", None), (None, "en"))]
+    graph = rows("s string, p string, o string, o_kind string, o_datatype string, o_lang string",
+                 *literals, *[(f"http://e/{i}", "http://e/p", f"http://e/{i}", "iri", None, None) for i in range(40)], ("http://e/<", "http://e/\"", "http://e/ <", "iri", None, None))
+    monkeypatch.setattr(sinks, "GRAPH_LINES", 5, raising=False)
+    sinks.write_ntriples(graph.coalesce(1), str(tmp_path / "g"))
+    files = glob.glob(str(tmp_path / "g/part-*"))
+    assert len(files) == 15 and all(f.endswith(".txt.gz") for f in files)
+    assert sorted(map(str, tables.ntriples(spark, str(tmp_path / "g")).collect())) == sorted(map(str, graph.collect()))
+    spaced = ['<http://e/s> <http://e/p>  <http://e/o> .', '<http://e/s> <http://e/p> "a" "b" .', '<http://e/s> <http://e/p> "a"^^<b> . x', '<a> <b> "c"^^<d>> .', '<a> <b> <c> . .', '<a> <b> <c>', '<> <> <> .',
+              '<a> <b> "" .', '<a> <b> " .', '<a> <b> ""^^<d> .', '<a> <b> "c" .>', '<a> <b> "c"@en .', '<a> <b> "c"^^<> .', '<a> <b> < > .', '<a> x<b> <c> .', '<a> <b> "c"^<d> .', '<a> <b> "c\\" .']
+    (tmp_path / "s.nt").write_text("\n".join(spaced))
+    fast = tables.ntriples_lines(spark, str(tmp_path / "s.nt")).collect()
+    monkeypatch.setattr(tables, "_plain_parts", lambda cut: F.lit(None).cast("array<string>"))
+    assert fast == tables.ntriples_lines(spark, str(tmp_path / "s.nt")).collect()

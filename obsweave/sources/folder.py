@@ -7,9 +7,9 @@ import contextlib
 import csv
 import hashlib
 import io
-from urllib.parse import quote, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -17,22 +17,24 @@ from pyspark.sql.types import ArrayType, StringType
 from obsweave.functions import fixed
 from obsweave.functions.values import known
 from obsweave.session import join_small, ship, staged
-from obsweave.sources import records
+from obsweave.sources import files, records
+from obsweave.sources.files import LISTING_TASKS, opened
 
 HEAD_LINES = 5
 ENCODING_CHARS = 4096
 ENCODING_READ = 8192
 PIECE = 1 << 20
-LISTING_TASKS = 4
+# Beyond this many tables, files of at most SMALL_FILE bytes are read whole by the tasks that annotate their lines: what Spark
+# knows about each file of a scan is held by the driver.
+MANY_FILES = 10_000
+SMALL_FILE = 8 << 20
+SMALL_TASK = 1_000
 _WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _root_uri(spark: SparkSession, root: str) -> str:
     """Root folder spelled the way file paths in query results are."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.makeQualified(path).toString().rstrip("/")
+    return files.qualified(spark, root)[1].toString().rstrip("/")
 
 
 def _relative(path: Column, root_uri: str) -> Column:
@@ -54,17 +56,17 @@ def _few_listing_tasks(spark: SparkSession):
 def discover(spark: SparkSession, root: str, tables: list[str] = fixed.TABLE_EXTENSIONS) -> DataFrame:
     """Files below `root` as (path, file, length, kind): table, readable or skipped, by extension.
 
-    Only path and length are selected, so no content is read.
+    Folders are listed by tasks, so the driver holds none of their files, and no content is read.
     """
-    with _few_listing_tasks(spark):
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    root_uri = _root_uri(spark, root)
+    listed = files.listed(spark, root_uri)
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = (
         F.when(ext.isin(tables), "table")
         .when(ext.isin(fixed.TEXT_EXTENSIONS), "readable")
         .otherwise("skipped")
     )
-    return listed.select("path", _relative(F.col("path"), _root_uri(spark, root)).alias("file"), "length", kind.alias("kind"))
+    return listed.select("path", _relative(F.col("path"), root_uri).alias("file"), "length", kind.alias("kind"))
 
 
 def _any_case(extensions: list[str]) -> str:
@@ -72,16 +74,6 @@ def _any_case(extensions: list[str]) -> str:
     return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in extensions) + "}"
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    parts = urlsplit(path)
-    if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_stream("/" + path.split(":", 1)[-1].lstrip("/"))
-    system, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
-    return system.open_input_stream(inner)
-
-
 def _encoding(raw) -> str:
     """utf-8 when the reads that give the first characters decode, else latin-1."""
     decoder = codecs.getincrementaldecoder("utf-8")()
@@ -112,9 +104,9 @@ def _read_heads(batches):
     for batch in batches:
         found = []
         for path in batch["path"]:
-            with _open(path) as raw:
+            with opened(path) as raw:
                 encoding = _encoding(raw)
-            with _open(path) as raw:
+            with opened(path) as raw:
                 found.append((encoding, _head_lines(raw, encoding)))
         yield batch[["path", "file"]].assign(
             encoding=[e for e, _ in found], lines=[lines for _, lines in found]
@@ -217,16 +209,44 @@ def _splits_are_stable(spark: SparkSession, scan: DataFrame) -> bool:
     return total >= records.STABLE_SPLITS * size * spark.sparkContext.defaultParallelism
 
 
-def table_lines(spark: SparkSession, root: str, found: DataFrame, tables: list[str] = fixed.TABLE_EXTENSIONS) -> tuple[DataFrame, DataFrame]:
-    """(lines, blocks) of all tables below a folder, in one scan whatever their dialects; see `records`."""
-    with _few_listing_tasks(spark):
-        scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(tables)).text(root)
+def _scanned(scan: DataFrame, root_uri: str) -> DataFrame:
+    """(file, block, line) of a scan of texts."""
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     path = F.regexp_replace(path, "^file:/+", "file:/")
-    lines = scan.select(
-        _relative(path, _root_uri(spark, root)).alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    return scan.select(
+        _relative(path, root_uri).alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.col("value").cast("binary").alias("line"),
     )
+
+
+def _with_length(batches):
+    for batch in batches:
+        yield batch.append_column("length", pa.array([files.length(p) for p in batch["path"].to_pylist()], pa.int64()))
+
+
+def _lines_of_many(spark: SparkSession, root: str, found: DataFrame) -> DataFrame:
+    """Annotated lines of many files, written once. Only files above SMALL_FILE are scanned, and these are few for their bytes."""
+    ship(spark)
+    sized = staged(found.select("path", "file", "sep").mapInArrow(_with_length, "path string, file string, sep string, length long"), "sizes")
+    small, large = sized.where(F.col("length") <= SMALL_FILE), sized.where(F.col("length") > SMALL_FILE)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-small.count() // SMALL_TASK))
+    lines = staged(records.annotated_files(small.drop("length").repartition(tasks)), "lines")
+    paths = [r["path"] for r in large.select("path").collect()]
+    if not paths:
+        return lines
+    # the paths are names, not patterns
+    scan = spark.read.option("globPaths", "false").text(paths)
+    return lines.unionByName(records.annotated(_scanned(scan, _root_uri(spark, root)), large, keep=True))
+
+
+def table_lines(spark: SparkSession, root: str, found: DataFrame, tables: list[str] = fixed.TABLE_EXTENSIONS) -> tuple[DataFrame, DataFrame]:
+    """(lines, blocks) of all tables below a folder, in one scan whatever their dialects; see `records`."""
+    if found.select("file").limit(MANY_FILES + 1).count() > MANY_FILES:
+        lines = _lines_of_many(spark, root, found)
+        return lines, staged(records.block_states(lines), "block-states")
+    with _few_listing_tasks(spark):
+        scan = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _any_case(tables)).text(root)
+    lines = _scanned(scan, _root_uri(spark, root))
     lines = records.annotated(lines, found, keep=not _splits_are_stable(spark, scan))
     return lines, staged(records.block_states(lines), "block-states")
 
@@ -271,7 +291,7 @@ def _pieces(path: str, size: int = PIECE):
     decoder = codecs.getincrementaldecoder("utf-8")("replace")
     text = ""  # what is read and not given yet
     begun = False
-    with _open(path) as raw:
+    with opened(path) as raw:
         while data := raw.read(size):
             text += decoder.decode(data)
             if not begun:

@@ -11,6 +11,7 @@ its own, and `unclosed` names it. Blank lines are records only inside quoted cel
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsweave.session import broadcast_within, join_small, ship, staged
+from obsweave.sources.files import opened
 
 # Where the split size follows from the number of cores, lines are written once, so that later passes see the same blocks;
 # inputs of this many full splits a core keep their blocks and are read again instead.
 STABLE_SPLITS = 16
+BATCH_LINES = 10_000
 _ANNOTATED = (
     "file string, block long, i int, nb int, rec_out int, rec_in int, before_out boolean, after_out boolean,"
     " before_in boolean, after_in boolean, blank boolean, line binary")
@@ -102,6 +105,31 @@ def annotated(lines: DataFrame, dialects: DataFrame, keep: bool) -> DataFrame:
     return staged(out, "lines") if keep else out
 
 
+def _annotate_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _ANNOTATED.split(", ")]
+    for batch in batches:
+        kept, n = [], 0
+        for path, file, sep in zip(*(batch[c].to_pylist() for c in ("path", "file", "sep"))):
+            with opened(path) as raw:
+                lines = raw.read().removeprefix(codecs.BOM_UTF8).splitlines()
+            if not lines:
+                continue
+            lines = pa.array(lines, pa.binary())
+            columns = [pa.array(x) for x in Block().annotate(lines, sep)]
+            whose = [pa.repeat(file, len(lines)), pa.repeat(pa.scalar(0, pa.int64()), len(lines))]
+            kept, n = [*kept, pa.RecordBatch.from_arrays([*whose, *columns, lines], names=names)], n + len(lines)
+            if n >= BATCH_LINES:
+                yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+                kept, n = [], 0
+        if kept:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
+def annotated_files(found: DataFrame) -> DataFrame:
+    """The same for small files (path, file, sep), each read whole as one block; a task holds a file and a few lines of others."""
+    return found.mapInArrow(_annotate_files, _ANNOTATED)
+
+
 def _by_state(name: str) -> Column:
     return F.when(F.col("state"), F.col(f"{name}_in")).otherwise(F.col(f"{name}_out"))
 

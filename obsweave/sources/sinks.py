@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from obsweave.functions.text import escape
 from obsweave.session import join_small, staged
+from obsweave.sources import files
 
 # Rows that one file of a folder holds about; larger folders get several files.
 FILE_ROWS = 5_000_000
@@ -46,16 +47,6 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
     out.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).option("maxRecordsPerFile", GRAPH_LINES).text(path)
 
 
-def write_lines(lines: DataFrame, path: str, *keys: str) -> None:
-    """Texts (value) as the lines of .csv files as they are, one folder per value of the keys; texts hold no line breaks.
-
-    Rows are written in the order in which they come; Spark's commit drops what failed attempts wrote. Tasks move their own
-    files into place, so that the driver does not move every file by itself; an attempt that is repeated writes the same names.
-    """
-    as_is = {"mapreduce.fileoutputcommitter.algorithm.version": "2", "sep": "\u0001", "quote": "\u0000", "escape": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    lines.select(*keys, "value").write.mode("overwrite").partitionBy(*keys).options(**as_is).csv(path)
-
-
 def csv_line(cells: Column) -> Column:
     """One line of comma-separated cells, quoted where they must be; null cells are empty."""
     def cell(c):
@@ -79,12 +70,12 @@ def write_sites(wide: DataFrame, path: str, keys: tuple[str, str] = ("site", "de
     rows = join_small(wide, own, list(keys), "inner").withColumn("_salt", F.floor(F.rand(17) * F.col("_files")).cast("int"))
     body = rows.select(*keys, "_salt", F.lit(1).alias("_part"), F.col(order).alias("_order"), csv_line(F.transform("_own", lambda c: F.element_at(cells, c))).alias("value"))
     heads = own.select(*keys, F.explode(F.sequence(F.lit(0), F.col("_files") - 1)).alias("_salt"), F.lit(0).alias("_part"), F.lit(None).alias("_order"), csv_line(F.col("_own")).alias("value"))
-    files = own.agg(F.sum("_files")).first()[0] or 0
-    parts = max(wide.sparkSession.sparkContext.defaultParallelism, -(-files // TASK_FILES))
-    lines = heads.unionByName(body).repartition(parts, *keys, "_salt").sortWithinPartitions(*keys, "_part", "_order")
+    n = own.agg(F.sum("_files")).first()[0] or 0
+    parts = max(wide.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_FILES))
+    lines = heads.unionByName(body).repartition(parts, *keys, "_salt").sortWithinPartitions(*keys, "_salt", "_part", "_order")
     # a cell with line breaks takes several lines
-    lines = lines.select(*keys, F.explode(F.split("value", "\r\n|\r|\n")).alias("value"))
-    write_lines(lines, path, *keys)
+    lines = lines.select(*keys, "_salt", F.explode(F.split("value", "\r\n|\r|\n")).alias("value"))
+    files.write_lines(lines, path, keys, "_salt")
 
 
 def write_report(report: DataFrame, path: str) -> None:
